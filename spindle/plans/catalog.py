@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindle.plans import q_graph, q_inventory, q_quality, q_retrieval, q_timeseries  # noqa: F401
+from spindle.plans import q_graph, q_inventory, q_quality, q_retrieval, q_sources, q_timeseries  # noqa: F401
 from spindle.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
