@@ -17,11 +17,12 @@ def induced(edges: DataFrame, nodes, by: Sequence[str] = ()) -> DataFrame:
     ``by``: extra key columns of ``nodes`` (e.g. ``start``) giving one subgraph
     per key -- for G30 pass the reach set ``(start, node)``.
     """
-    n = nodes if isinstance(nodes, DataFrame) else as_nodes(edges.sparkSession, nodes)
+    n = nodes if isinstance(nodes, DataFrame) else as_nodes(edges.sparkSession, nodes, dict(edges.dtypes)["src"])
     if not by:
         n = n.select("node").distinct()
         return (edges.join(n.withColumnRenamed("node", "src"), "src", "left_semi")
-                     .join(n.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+                     .join(n.withColumnRenamed("node", "dst"), "dst", "left_semi")
+                     .select(*edges.columns))
     keys = list(by)
     a = n.select(*keys, F.col("node").alias("src"))
     b = n.select(*keys, F.col("node").alias("dst"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.operators.graph.frontier import ARROW, walk_paths
+from spindle.operators.graph.frontier import ARROW, Rounds, walk_paths
 from spindle.session import cut_lineage
 
 
@@ -22,17 +22,17 @@ def cycle_core(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     incoming or whose target has no outgoing edge. Empty iff the graph is acyclic."""
     core = cut_lineage(edges.select("src", "dst").distinct())
     n = core.count()
-    rounds = 0
-    while max_rounds is None or rounds < max_rounds:
+    rounds = Rounds()
+    while max_rounds is None or rounds.k < max_rounds:
         has_in = core.select(F.col("dst").alias("src")).distinct()
         has_out = core.select(F.col("src").alias("dst")).distinct()
-        nxt = cut_lineage(core.join(has_in, "src", "left_semi").join(has_out, "dst", "left_semi"))
-        m = nxt.count()
-        core = nxt
-        rounds += 1
+        core, m = rounds.materialise(core.join(has_in, "src", "left_semi").join(has_out, "dst", "left_semi")
+                                     .select("src", "dst"))
         if m == n:
             break
         n = m
+    core = cut_lineage(core)
+    rounds.release()
     return core
 
 

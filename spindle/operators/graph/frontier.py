@@ -8,9 +8,10 @@
 * :func:`walk_paths` -- path frontier: rows are whole paths (``array``),
   extended by one edge per round, with an exact membership cycle guard.
 
-The driver only decides when to stop (one ``isEmpty`` per round). Every round
-output is written to the reliable checkpoint folder, which cuts the lineage
-and lets a lost executor be replaced without recomputing earlier rounds.
+The driver only decides when to stop: one ``count`` per round, which is also
+the job that materialises the round (persisted, spilling to disk). Every few
+rounds the state is written to the reliable checkpoint folder, which cuts the
+lineage, so a lost executor replays at most a few rounds.
 The edge table is hash-partitioned on ``src`` and checkpointed once, so the
 rounds shuffle only the (small) frontier; when the frontier is small AQE
 broadcasts it from its measured size and the edge side is not moved at all.
@@ -20,12 +21,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindle.session import cut_lineage
 
 ARROW = " -> "
+CHECKPOINT_EVERY = 4
+
+
+class Rounds:
+    """Materialises one frame per round with a single job (``count``).
+
+    Frames are persisted (memory, spilling to disk); every ``every`` rounds
+    the frame is written to the reliable checkpoint folder instead, which
+    bounds the lineage a lost executor has to replay. Call :meth:`release`
+    when the loop result has been consumed or checkpointed.
+    """
+
+    def __init__(self, every: int = CHECKPOINT_EVERY):
+        self.every = max(1, every)
+        self.k = 0
+        self.held: list[DataFrame] = []
+
+    def cut_now(self) -> bool:
+        return self.k % self.every == 0
+
+    def materialise(self, df: DataFrame) -> tuple[DataFrame, int]:
+        self.k += 1
+        if self.cut_now():
+            out = cut_lineage(df)
+        else:
+            out = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self.held.append(out)
+        return out, out.count()
+
+    def release(self) -> None:
+        for f in self.held:
+            f.unpersist()
+        self.held = []
 
 
 def as_nodes(spark, starts, node_type: str | None = None) -> DataFrame:
@@ -70,7 +105,7 @@ def bfs(edges: DataFrame, starts, *, per_start: bool = True, max_level: int | No
     spark = edges.sparkSession
     e = edges if prepared else prepared_edges(edges)
     key = ["start", "node"] if per_start else ["node"]
-    s = as_nodes(spark, starts)
+    s = as_nodes(spark, starts, dict(edges.dtypes)["src"])
     cols = [F.col("node").alias("start")] if per_start else []
     front = s.select(*cols, "node", F.lit(0).alias("level"))
     if parents:
@@ -81,13 +116,14 @@ def bfs(edges: DataFrame, starts, *, per_start: bool = True, max_level: int | No
     visited = front
     done = None
     level = 0
+    rounds = Rounds()
     tgt = targets.select(F.col(targets.columns[0]).alias("node")).distinct() if targets is not None else None
     while max_level is None or level < max_level:
         if tgt is not None:
             hit = front.join(tgt, "node", "left_semi")
             if per_start:
                 hit = hit.select("start").distinct()
-                done = hit if done is None else cut_lineage(done.unionByName(hit).distinct())
+                done = hit if done is None else done.unionByName(hit)
                 front = front.join(done, "start", "left_anti")
             elif not hit.isEmpty():
                 break
@@ -101,13 +137,18 @@ def bfs(edges: DataFrame, starts, *, per_start: bool = True, max_level: int | No
         new = (step.groupBy(*key).agg(*aggs)
                    .join(visited.select(*key), key, "left_anti")
                    .withColumn("level", F.lit(level + 1)))
-        new = new.select(*visited.columns)
-        new = cut_lineage(new)
-        if new.isEmpty():
+        new, n = rounds.materialise(new.select(*visited.columns))
+        if n == 0:
             break
-        visited = cut_lineage(visited.unionByName(new))
+        visited = visited.unionByName(new)
+        if rounds.cut_now():
+            visited = cut_lineage(visited)
+            if done is not None:
+                done = cut_lineage(done)
         front = new
         level += 1
+    visited = cut_lineage(visited)
+    rounds.release()
     return visited
 
 
@@ -125,7 +166,7 @@ def walk_paths(edges: DataFrame, starts, *, max_levels: int, guard: str = "path"
     """
     spark = edges.sparkSession
     e = prepared_edges(edges, collapse=collapse)
-    s = as_nodes(spark, starts)
+    s = as_nodes(spark, starts, dict(edges.dtypes)["src"])
     front = cut_lineage(s.select(F.col("node").alias("start"), F.array(F.col("node")).alias("path"),
                                  F.col("node").alias("last")))
     sinks = None
@@ -139,40 +180,49 @@ def walk_paths(edges: DataFrame, starts, *, max_levels: int, guard: str = "path"
     if emit == "all":
         out.append(front)
     elif emit == "leaf":
-        out.append(cut_lineage(front.join(sinks, "last", "left_semi")))
+        out.append(front.join(sinks, "last", "left_semi"))
     level = 0
+    rounds = Rounds()
     while level < max_levels:
         step = front.join(e, front["last"] == e["src"])
         if guard == "path":
             step = step.filter(~F.array_contains("path", F.col("dst")))
         elif guard == "above_start":
-            closing = step.filter(F.col("dst") == F.col("start"))
             if emit == "cycle":
-                out.append(cut_lineage(closing.select("start", "path", F.col("dst").alias("last"))))
+                out.append(step.filter(F.col("dst") == F.col("start")).select("start", "path", F.col("dst").alias("last")))
             step = step.filter((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst")))
         nxt = step.select("start", F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("last"))
         if emit_truncated and guard == "path":
             stuck = front.join(sinks, "last", "left_anti").join(
                 nxt.select("start", F.slice("path", 1, level + 1).alias("path")).distinct(),
                 ["start", "path"], "left_anti")
-            out.append(cut_lineage(stuck.withColumn("truncated", F.lit(True))))
-        nxt = cut_lineage(nxt)
-        if nxt.isEmpty():
+            out.append(stuck.withColumn("truncated", F.lit(True)))
+        nxt, n = rounds.materialise(nxt)
+        if n == 0:
             break
         level += 1
         if emit == "all":
             out.append(nxt)
         elif emit in ("leaf", "end"):
-            out.append(cut_lineage(nxt.join(sinks, "last", "left_semi")))
+            out.append(nxt.join(sinks, "last", "left_semi"))
         if emit == "end":
             nxt = nxt.join(sinks, "last", "left_anti")
+        if rounds.cut_now() and len(out) > 1:
+            out = [cut_lineage(_union_all([_shape(o, emit_truncated) for o in out]))]
         front = nxt
-    if emit_truncated:
-        out = [o if "truncated" in o.columns else o.withColumn("truncated", F.lit(False)) for o in out]
-    res = _union_all([o.select("start", "path", *(["truncated"] if emit_truncated else [])) for o in out])
+    res = cut_lineage(_union_all([_shape(o, emit_truncated) for o in out]))
+    rounds.release()
     return res.withColumn("levels", (F.size("path") - 1).cast("int"))
 
 
+def _shape(o: DataFrame, emit_truncated: bool) -> DataFrame:
+    if emit_truncated:
+        if "truncated" not in o.columns:
+            o = o.withColumn("truncated", F.lit(False))
+        return o.select("start", "path", "truncated")
+    return o.select("start", "path")
+
+
 def path_text(path: str | Column, sep: str = ARROW) -> Column:
     p = F.col(path) if isinstance(path, str) else path
     return F.array_join(F.transform(p, lambda x: x.cast("string")), sep)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindle.operators.graph.frontier import ARROW, as_nodes, path_text, prepared_edges, walk_paths
+from spindle.operators.graph.frontier import ARROW, Rounds, as_nodes, path_text, prepared_edges, walk_paths
 from spindle.session import cut_lineage
 
 
@@ -26,7 +26,7 @@ def leaf_paths(edges: DataFrame, starts, max_levels: int = 1000, emit_truncated:
 def paths_between(edges: DataFrame, starts, ends, max_levels: int = 1000) -> DataFrame:
     """All simple paths from each start to each end node (a path stops at its end)."""
     spark = edges.sparkSession
-    ends_df = as_nodes(spark, ends)
+    ends_df = as_nodes(spark, ends, dict(edges.dtypes)["src"])
     return walk_paths(edges, starts, max_levels=max_levels, guard="path", emit="end", ends=ends_df) \
         .filter(F.col("levels") > 0)
 
@@ -95,25 +95,33 @@ def path_counts(edges: DataFrame, starts, max_level: int = 1000) -> DataFrame:
     """
     spark = edges.sparkSession
     e = prepared_edges(edges)
-    s = as_nodes(spark, starts)
+    s = as_nodes(spark, starts, dict(edges.dtypes)["src"])
     has_out = e.select(F.col("src").alias("node")).distinct().withColumn("has_out", F.lit(True))
     front = cut_lineage(s.select(F.col("node").alias("start"), "node", F.lit(1).cast("long").alias("n")))
     totals = []
     level = 0
+    rounds = Rounds()
     while True:
-        totals.append(cut_lineage(
-            front.join(has_out, "node", "left").groupBy("start").agg(
-                F.sum("n").alias("walks"),
-                F.sum(F.when(F.col("has_out").isNull(), F.col("n")).otherwise(F.lit(0))).alias("leaf_paths"))))
+        totals.append(front.join(has_out, "node", "left").groupBy("start").agg(
+            F.sum("n").alias("walks"),
+            F.sum(F.when(F.col("has_out").isNull(), F.col("n")).otherwise(F.lit(0))).alias("leaf_paths")))
         if level >= max_level:
             break
         nxt = (front.join(e, front.node == e.src).groupBy("start", F.col("dst").alias("node"))
                     .agg(F.sum("n").alias("n")))
-        nxt = cut_lineage(nxt)
-        if nxt.isEmpty():
+        nxt, n = rounds.materialise(nxt)
+        if n == 0:
             break
+        if rounds.cut_now():
+            totals = [cut_lineage(_sum_totals(totals))]
         front = nxt
         level += 1
+    res = cut_lineage(_sum_totals(totals))
+    rounds.release()
+    return res
+
+
+def _sum_totals(totals):
     allt = totals[0]
     for t in totals[1:]:
         allt = allt.unionByName(t)

@@ -21,6 +21,7 @@ from spindle.operators.graph import shortest as GS
 from spindle.operators.graph.frontier import path_text
 from spindle.plans import bindings as b
 from spindle.plans.registry import r4, register
+from spindle.session import cut_lineage
 
 DAG = b.flow_sql(True)
 CYC = b.flow_sql(False)
@@ -80,11 +81,17 @@ w(start, last, path) AS (
 
 
 def dag(spark, sf):
-    return b.flow_edges(spark, sf, acyclic=True)
+    """FLOW_DAG edges, materialised once: every loop round and the final
+    projections read the checkpoint instead of re-running the lineitem join."""
+    return cut_lineage(b.flow_edges(spark, sf, acyclic=True))
 
 
 def cyc(spark, sf):
-    return b.flow_edges(spark, sf, acyclic=False)
+    return cut_lineage(b.flow_edges(spark, sf, acyclic=False))
+
+
+def part(spark, sf):
+    return cut_lineage(b.part_edges(spark, sf))
 
 
 def part_starts(spark, sf):
@@ -177,7 +184,7 @@ def g8(spark, sf):
 
 @register("g8_part_descendants", bfs_sql(b.PART_SQL, PART_STARTS_SQL, per_start=False) + " SELECT node, level FROM bfs")
 def g8p(spark, sf):
-    return GR.reach(b.part_edges(spark, sf), part_starts(spark, sf), per_start=False)
+    return GR.reach(part(spark, sf), part_starts(spark, sf), per_start=False)
 
 
 @register("g9_reach_with_degrees", bfs_sql(DAG, roots_sql(DAG)) + """,
@@ -208,7 +215,7 @@ od AS (SELECT src AS node, count(*) AS out_degree FROM e GROUP BY 1)
 SELECT bfs.node AS node, od.out_degree AS out_degree FROM bfs JOIN od ON bfs.node = od.node
 WHERE level > 0 AND od.out_degree > 10""")
 def g11(spark, sf):
-    return GR.hub_descendants(b.part_edges(spark, sf), part_starts(spark, sf), 10, per_start=False)
+    return GR.hub_descendants(part(spark, sf), part_starts(spark, sf), 10, per_start=False)
 
 
 @register("g12_bfs_levels_to_target", bfs_sql(DAG, roots_sql(DAG)) + f""",
@@ -228,7 +235,7 @@ od AS (SELECT src AS node, count(*) AS out_degree FROM e GROUP BY 1)
 SELECT level, count(*) AS nodes, CAST(sum(od.out_degree) AS BIGINT) AS out_edges
 FROM bfs LEFT JOIN od ON bfs.node = od.node GROUP BY level""")
 def g12p(spark, sf):
-    e = b.part_edges(spark, sf)
+    e = part(spark, sf)
     r = GR.reach(e, part_starts(spark, sf), per_start=False)
     od = E.out_degrees(e)
     return r.join(od, "node", "left").groupBy("level").agg(F.count(F.lit(1)).alias("nodes"),
@@ -430,7 +437,7 @@ def g25(spark, sf):
 @register("g23_part_shortest_paths", bfs_sql(b.PART_SQL, PART_STARTS_SQL) +
           " SELECT start, node AS leaf_node, path, level AS path_length FROM bfs WHERE level > 0")
 def g23p(spark, sf):
-    return GS.shortest_paths(b.part_edges(spark, sf), part_starts(spark, sf), max_level=None, to="all")
+    return GS.shortest_paths(part(spark, sf), part_starts(spark, sf), max_level=None, to="all")
 
 
 # ------------------------------------------------------------------ cycles
