@@ -101,6 +101,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 1, vec: str = "vec", id_
     for bi in range(nblocks):
         # bounded by max_query_bytes: the block travels with the task closure
         qpdf = qb.filter(F.col("__blk") == bi).select("qid", "qvec").toPandas()
+        if len(qpdf) == 0:
+            continue
         parts.append(c.mapInPandas(_block_top_k(qpdf, k, vec, id_col, metric), schema))
     cand = parts[0]
     for p in parts[1:]:

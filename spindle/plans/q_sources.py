@@ -39,7 +39,8 @@ def _lp_lines(spark, sf):
 
 
 def _esc(x: str) -> str:
-    return f"replace(replace(replace(replace(CAST({x} AS VARCHAR), '\\', '\\\\'), ',', '\\,'), '=', '\\='), ' ', '\\ ')"
+    return (f"replace(replace(replace(replace(replace(CAST({x} AS VARCHAR), '\\', '\\\\'), '\"', '\\\"'), ',', '\\,'), "
+            f"'=', '\\='), ' ', '\\ ')")
 
 
 LP_SQL = f"""SELECT file_id, '{MEAS}' || ',type=' || {_esc('type')} || ',permissions=' || lpad(format('{{:o}}', mode & 511), 3, '0')

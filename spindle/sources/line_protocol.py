@@ -75,9 +75,10 @@ def field_value(fields: str | Column, key: str, kind: str = "string") -> Column:
 
 
 def escape_tag(c: Column) -> Column:
-    """Backslash, comma, equals and space escaped (backslash first, so every value round-trips)."""
+    """Backslash, quote, comma, equals and space escaped (backslash first, so every
+    value round-trips)."""
     out = F.regexp_replace(c.cast("string"), r"\\", r"\\\\")
-    for ch in (",", "=", " "):
+    for ch in ('"', ",", "=", " "):
         out = F.regexp_replace(out, ch, "\\\\" + ch)
     return out
 
@@ -118,4 +119,4 @@ def to_line_protocol(df: DataFrame, measurement: str, tags: Sequence[str] | Mapp
 
 
 def escape_key(k: str) -> str:
-    return k.replace("\\", "\\\\").replace(",", "\\,").replace("=", "\\=").replace(" ", "\\ ")
+    return k.replace("\\", "\\\\").replace('"', '\\"').replace(",", "\\,").replace("=", "\\=").replace(" ", "\\ ")
