@@ -29,6 +29,7 @@ from spindle.session import cut_lineage
 
 ARROW = " -> "
 CHECKPOINT_EVERY = 4
+MS_BFS_MIN_STARTS = 64
 
 
 class Rounds:
@@ -99,6 +100,15 @@ def bfs(edges: DataFrame, starts, *, per_start: bool = True, max_level: int | No
     before (BFS tree); ``path`` is the smallest path text among the shortest
     paths (text ``a -> b -> c``).
 
+    Paths are chosen without comparing text in the aggregation: every frontier
+    row carries ``pkey``, a number that orders the paths of one start and
+    level like their text. Two shortest paths to a node differ first in
+    their parents' paths (no path of a level is a prefix of another), so the
+    smallest text extends the parent with the smallest ``pkey`` -- a
+    ``min(long)`` that hash-aggregates map-side. The next level's keys come
+    from one distributed sort on ``(start, parent key, node text)`` with
+    ``monotonically_increasing_id`` (order-preserving after a sort).
+
     ``targets``: a start stops expanding after the level on which it reaches a
     target node; that level is kept complete.
     """
@@ -106,14 +116,19 @@ def bfs(edges: DataFrame, starts, *, per_start: bool = True, max_level: int | No
     e = edges if prepared else prepared_edges(edges)
     key = ["start", "node"] if per_start else ["node"]
     s = as_nodes(spark, starts, dict(edges.dtypes)["src"])
+    if per_start and not (paths or parents or targets is not None):
+        s = cut_lineage(s)
+        if s.count() > MS_BFS_MIN_STARTS:  # below one batch the bitmask saves little
+            return ms_bfs(e, s, max_level=max_level)
     cols = [F.col("node").alias("start")] if per_start else []
     front = s.select(*cols, "node", F.lit(0).alias("level"))
     if parents:
         front = front.withColumn("parent", F.lit(None).cast(s.schema["node"].dataType))
     if paths:
-        front = front.withColumn("path", F.col("node").cast("string"))
+        front = _keyed(front.withColumn("path", F.col("node").cast("string")), per_start, F.lit(0).cast("long"))
     front = cut_lineage(front)
-    visited = front
+    out_cols = [c for c in front.columns if c != "pkey"]
+    visited = front.select(*out_cols)
     done = None
     level = 0
     rounds = Rounds()
@@ -129,18 +144,25 @@ def bfs(edges: DataFrame, starts, *, per_start: bool = True, max_level: int | No
                 break
         step = front.join(e, front.node == e.src).select(
             *([F.col("start")] if per_start else []), F.col("dst").alias("node"),
-            F.col("node").alias("prev"),
-            *([F.concat(F.col("path"), F.lit(ARROW), F.col("dst").cast("string")).alias("path")] if paths else []))
+            F.col("node").alias("prev"), *([F.col("pkey").alias("ppkey")] if paths else []))
         aggs = [F.min("prev").alias("parent")] if parents else [F.count(F.lit(1)).alias("_n")]
         if paths:
-            aggs.append(F.min("path").alias("path"))
+            aggs.append(F.min("ppkey").alias("ppkey"))
         new = (step.groupBy(*key).agg(*aggs)
                    .join(visited.select(*key), key, "left_anti")
                    .withColumn("level", F.lit(level + 1)))
-        new, n = rounds.materialise(new.select(*visited.columns))
+        if paths:
+            pk = (["start"] if per_start else []) + ["ppkey"]
+            pp = front.select(*(["start"] if per_start else []), F.col("pkey").alias("ppkey"), F.col("path").alias("ppath"))
+            new = new.join(pp, pk).withColumn(
+                "path", F.concat(F.col("ppath"), F.lit(ARROW), F.col("node").cast("string")))
+            new = _keyed(new, per_start, None).select(*out_cols, "pkey")
+        else:
+            new = new.select(*out_cols)
+        new, n = rounds.materialise(new)
         if n == 0:
             break
-        visited = visited.unionByName(new)
+        visited = visited.unionByName(new.select(*out_cols))
         if rounds.cut_now():
             visited = cut_lineage(visited)
             if done is not None:
@@ -152,6 +174,72 @@ def bfs(edges: DataFrame, starts, *, per_start: bool = True, max_level: int | No
     return visited
 
 
+def ms_bfs(edges: DataFrame, starts: DataFrame, max_level: int | None = None, width: int = 64) -> DataFrame:
+    """Per-start BFS levels with the starts packed into bitmasks (multi-source
+    BFS, Then et al., VLDB 2014).
+
+    Starts are numbered densely (distributed numbering, no single task) and
+    split into batches of ``width``; a row ``(batch, node, mask)`` stands for
+    up to 64 (start, node) pairs. A round joins the frontier with the edges,
+    ORs the masks per (batch, dst) -- ``bit_or`` hash-aggregates map-side --
+    and removes the bits already seen. Row volume per round is bounded by
+    edges x batches instead of edges x starts. Bits are expanded to
+    ``(start, node, level)`` rows once, at the end.
+    """
+    from spindle.operators.inventory import numbered_distinct
+    ids = numbered_distinct(starts, "node").select((F.col("n") - 1).alias("sid"), F.col("value").alias("start"))
+    ids = cut_lineage(ids.select(F.floor(F.col("sid") / width).cast("long").alias("batch"),
+                                 F.pmod(F.col("sid"), F.lit(width)).cast("int").alias("bit"), "start"))
+    front = cut_lineage(ids.groupBy("batch", F.col("start").alias("node"))
+                           .agg(F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), bit)")).alias("mask"))
+                           .withColumn("level", F.lit(0)))
+    seen = front.select("batch", "node", "mask")
+    levels = [front]
+    level = 0
+    rounds = Rounds()
+    while max_level is None or level < max_level:
+        cand = (front.join(edges, front.node == edges.src)
+                     .groupBy("batch", F.col("dst").alias("node")).agg(F.bit_or("mask").alias("cmask")))
+        new = (cand.join(seen.withColumnRenamed("mask", "smask"), ["batch", "node"], "left")
+                   .select("batch", "node",
+                           F.col("cmask").bitwiseAND(F.bitwise_not(F.coalesce("smask", F.lit(0).cast("long"))))
+                           .alias("mask"))
+                   .filter(F.col("mask") != 0)
+                   .withColumn("level", F.lit(level + 1)))
+        new, n = rounds.materialise(new)
+        if n == 0:
+            break
+        levels.append(new)
+        # seen stays one row per (batch, node): OR of everything reached so far
+        seen = (seen.unionByName(new.select("batch", "node", "mask"))
+                    .groupBy("batch", "node").agg(F.bit_or("mask").alias("mask")))
+        if rounds.cut_now():
+            seen = cut_lineage(seen)
+        else:
+            seen = seen.persist(StorageLevel.MEMORY_AND_DISK)
+            rounds.held.append(seen)
+        front = new
+        level += 1
+    allv = levels[0]
+    for f in levels[1:]:
+        allv = allv.unionByName(f)
+    bits = allv.select("batch", "node", "level",
+                       F.explode(F.expr(f"filter(sequence(0, {width - 1}), b -> (shiftright(mask, b) & 1) = 1)"))
+                       .alias("bit"))
+    out = cut_lineage(bits.join(ids, ["batch", "bit"]).select("start", "node", "level"))
+    rounds.release()
+    return out
+
+
+def _keyed(df: DataFrame, per_start: bool, const: Column | None) -> DataFrame:
+    """Adds ``pkey``: path order within (start, level) as a number (see :func:`bfs`)."""
+    if const is not None and per_start:
+        return df.withColumn("pkey", const)  # one path per start on level 0
+    order = ([F.col("start")] if per_start else []) + \
+        ([F.col("ppkey")] if "ppkey" in df.columns else []) + [F.col("node").cast("string")]
+    return df.orderBy(*order).withColumn("pkey", F.monotonically_increasing_id())
+
+
 def walk_paths(edges: DataFrame, starts, *, max_levels: int, guard: str = "path", emit: str = "leaf",
                ends: DataFrame | None = None, collapse: bool = True, emit_truncated: bool = False) -> DataFrame:
     """Path frontier loop. Returns ``(start, path array, levels[, truncated])``.
