@@ -121,26 +121,29 @@ def directory_rollup(files: DataFrame) -> DataFrame:
     """A1/A4: per directory, recursive size and count of regular files, count of
     directories beneath, and its depth.
 
-    Directories come from the ancestors of the records (and from directory
-    records themselves). Both sides aggregate by ``dir``; the join of two
-    aggregates hash-partitioned on ``dir`` needs no further exchange.
+    One scan of the listing: every record is exploded to its ancestors and
+    aggregated once per directory (directory records also count as their own
+    row, so an empty directory appears). The directory count is a second,
+    small aggregation over the directory set itself (rows = directories,
+    not files) read from the checkpointed per-directory table.
     """
-    reg = files.filter(F.col("type") == REGULAR)
-    sizes = (reg.select(F.explode(P.ancestors("path")).alias("dir"), "size")
-                .groupBy("dir").agg(F.sum("size").cast("long").alias("size"),
-                                    F.count(F.lit(1)).alias("files")))
-    dirs = (files.select(F.explode(P.ancestors("path")).alias("d"))
-            .unionByName(files.filter(F.col("type") == DIRECTORY)
-                         .select(F.regexp_replace("path", "/+$", "").alias("d")))
-            .distinct())
-    sub = (dirs.select(F.explode(P.ancestors("d")).alias("dir"))
-               .groupBy("dir").agg(F.count(F.lit(1)).alias("dirs")))
-    return (dirs.withColumnRenamed("d", "dir")
-                .join(sizes, "dir", "left").join(sub, "dir", "left")
-                .select("dir", F.coalesce("size", F.lit(0)).alias("size"),
-                        F.coalesce("files", F.lit(0)).alias("files"),
-                        F.coalesce("dirs", F.lit(0)).alias("dirs"),
-                        (P.depth("dir") + 1).alias("depth")))
+    is_reg = (F.col("type") == REGULAR)
+    own = F.when(F.col("type") == DIRECTORY, F.array(F.regexp_replace("path", "/+$", ""))) \
+           .otherwise(F.array().cast("array<string>"))
+    entries = files.select(F.explode(F.concat(P.ancestors("path"), own)).alias("dir"),
+                           F.when(is_reg, F.col("size")).alias("reg_size"), is_reg.alias("is_reg"),
+                           F.col("type"), F.col("path"))
+    # a directory record is not "beneath" itself: only ancestors carry its size / file counts
+    per_dir = entries.groupBy("dir").agg(F.coalesce(F.sum("reg_size"), F.lit(0)).cast("long").alias("size"),
+                                         F.count_if("is_reg").alias("files"))
+    # materialised once (rows = directories): the directory count reads it instead
+    # of exploding every file path a second time
+    per_dir = cut_lineage(per_dir)
+    sub = (per_dir.select(F.explode(P.ancestors("dir")).alias("dir"))
+                  .groupBy("dir").agg(F.count(F.lit(1)).alias("dirs")))
+    return (per_dir.join(sub, "dir", "left")
+                   .select("dir", "size", "files", F.coalesce("dirs", F.lit(0)).alias("dirs"),
+                           (P.depth("dir") + 1).alias("depth")))
 
 
 def total_size(files: DataFrame) -> DataFrame:

@@ -530,3 +530,25 @@ def g31(spark, sf):
 def g32(spark, sf):
     e = dag(spark, sf)
     return GA.disjoint(e.select(F.col("src").alias("node")), e.select(F.col("dst").alias("node")))
+
+
+# ------------------------------------------------------------------ J3 in SQL
+
+@register("j3_recursive_cte_walks", walks_sql(DAG, roots_sql(DAG)) +
+          f" SELECT start, {ptext('path')} AS path_text, len(path) - 1 AS depth FROM w")
+def j3(spark, sf):
+    """J3 as Spark SQL ``WITH RECURSIVE`` (UNION ALL cannot deduplicate visited
+    nodes, so this form is for small path problems; the DataFrame loops are
+    the scalable form). Same walks as G19 on the acyclic flow graph."""
+    e = dag(spark, sf)
+    view = f"flow_dag_{abs(hash(sf)) % 10**8}"
+    e.createOrReplaceTempView(view)
+    return spark.sql(f"""
+        WITH RECURSIVE w(start, last, path) AS (
+          SELECT src, src, array(src) FROM (SELECT DISTINCT src FROM {view}
+                                            WHERE src NOT IN (SELECT dst FROM {view}))
+          UNION ALL
+          SELECT w.start, e.dst, array_append(w.path, e.dst) FROM w JOIN {view} e ON w.last = e.src
+          WHERE NOT array_contains(w.path, e.dst))
+        SELECT start, array_join(transform(path, x -> CAST(x AS STRING)), ' -> ') AS path_text,
+               size(path) - 1 AS depth FROM w""")

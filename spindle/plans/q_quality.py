@@ -25,8 +25,10 @@ def quality_frame(spark, sf):
         aggs += [F.min(F.when(on, F.col("l_partkey"))).alias(f"level{i}"),
                  F.min(F.when(on, F.col("l_suppkey"))).alias(f"bus_Elem{i}"),
                  F.max(F.when(on, F.col("l_suppkey"))).alias(f"pde_Elem{i}")]
-    aggs += [F.max(F.when(F.col("l_linenumber") == 1, F.col("l_returnflag"))).alias("trans1"),
-             F.max(F.when(F.col("l_linenumber") == 2, F.col("l_linestatus"))).alias("trans2")]
+    # string max through collect_list + array_max keeps the aggregate hash-based
+    # (a plain max on strings forces a sort-based aggregate over lineitem)
+    aggs += [F.array_max(F.collect_list(F.when(F.col("l_linenumber") == 1, F.col("l_returnflag")))).alias("trans1"),
+             F.array_max(F.collect_list(F.when(F.col("l_linenumber") == 2, F.col("l_linestatus")))).alias("trans2")]
     return li.groupBy("l_orderkey").agg(*aggs)
 
 
