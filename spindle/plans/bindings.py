@@ -133,3 +133,25 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+
+
+def lake_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as a data-lake listing: one file per line under
+    ``/warehouse/<flag>/<status>/<year>/<month>/<order>-<line>.dat``, size = price."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus",
+                                                 "l_shipdate", "l_extendedprice", "l_quantity")
+    path = F.concat(F.lit("/warehouse/"), F.col("l_returnflag"), F.lit("/"), F.col("l_linestatus"), F.lit("/"),
+                    F.year("l_shipdate").cast("string"), F.lit("/"), F.month("l_shipdate").cast("string"), F.lit("/"),
+                    F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"), F.lit(".dat"))
+    return li.select(path.alias("path"), F.floor("l_extendedprice").alias("size"),
+                     F.lit("regular file").alias("type"),
+                     F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("mtime"),
+                     F.floor("l_quantity").alias("quantity"))
+
+
+LAKE_SQL = """SELECT '/warehouse/' || l_returnflag || '/' || l_linestatus || '/' || CAST(year(l_shipdate) AS VARCHAR)
+    || '/' || CAST(month(l_shipdate) AS VARCHAR) || '/' || CAST(l_orderkey AS VARCHAR) || '-'
+    || CAST(l_linenumber AS VARCHAR) || '.dat' AS path,
+  CAST(floor(l_extendedprice) AS BIGINT) AS size, 'regular file' AS type,
+  CAST(floor(epoch(l_shipdate)) AS BIGINT) AS mtime, CAST(floor(l_quantity) AS BIGINT) AS quantity
+FROM lineitem"""

@@ -204,3 +204,31 @@ def c3(spark, sf):
     ts = F.timestamp_seconds("mtime")
     return files.select("file_id", ts_text(ts).alias("mtime_text"),
                         (F.unix_micros(ts) * 1000).alias("mtime_ns"))
+
+
+# ------------------------------------------------------------------ the data-lake listing (lineitem)
+
+LAKE = b.LAKE_SQL
+LAKE_ANC = f"""SELECT f.*, array_to_string(list_slice(string_split(path, '/'), 1, i), '/') AS dir
+  FROM ({LAKE}) f, unnest(generate_series(1, len(string_split(path, '/')) - 1)) AS t(i)"""
+
+
+@register("a1_lake_directory_rollup", f"""
+WITH sz AS (SELECT dir, CAST(sum(size) AS BIGINT) AS size, count(*) AS files FROM ({LAKE_ANC}) a GROUP BY dir),
+sub AS (SELECT array_to_string(list_slice(string_split(dir, '/'), 1, i), '/') AS dir, count(*) AS dirs
+        FROM sz, unnest(generate_series(1, len(string_split(dir, '/')) - 1)) AS t(i) GROUP BY 1)
+SELECT sz.dir AS dir, sz.size AS size, sz.files AS files, coalesce(sub.dirs, 0) AS dirs,
+       CAST(length(sz.dir) - length(replace(sz.dir, '/', '')) + 1 AS INTEGER) AS depth
+FROM sz LEFT JOIN sub ON sz.dir = sub.dir""")
+def a1_lake(spark, sf):
+    """A1/A4 over one file per lineitem row (600k files at sf0.1)."""
+    return inv.directory_rollup(b.lake_files(spark, sf))
+
+
+@register("a3_lake_top_level_sizes", f"""
+SELECT dir, size, {_human_sql('size')} AS size_text FROM (
+  SELECT '/warehouse/' || string_split(path, '/')[3] AS dir, CAST(sum(size) AS BIGINT) AS size
+  FROM ({LAKE}) w GROUP BY 1) x""")
+def a3_lake(spark, sf):
+    """``du -sh /warehouse/*/``."""
+    return inv.top_level_sizes(b.lake_files(spark, sf), root="/warehouse")

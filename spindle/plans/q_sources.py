@@ -314,3 +314,28 @@ def g36(spark, sf):
                      F.when(F.col("event_type").isin("purchase", "signup"), "write").otherwise("read").alias("direction"))
     return SR.stitch(refs)
 
+
+
+# ------------------------------------------------------------------ line protocol over the lake listing
+
+def _lake_lines(spark, sf):
+    f = b.lake_files(spark, sf).withColumn("ts_ns", F.col("mtime") * 1000000000)
+    return LP.to_line_protocol(f, "lake_file", {"type": "type", "file": "path"},
+                               {"size": "size", "quantity": "quantity"}, ts_col="ts_ns")
+
+
+@register("s2_lake_line_protocol", f"""SELECT 'lake_file,type=' || {_esc('type')} || ',file=' || {_esc('path')}
+  || ' size=' || CAST(size AS VARCHAR) || 'i,quantity=' || CAST(quantity AS VARCHAR) || 'i '
+  || CAST(mtime * 1000000000 AS VARCHAR) AS value FROM ({b.LAKE_SQL}) l""")
+def s2_lake(spark, sf):
+    """S2 export of one point per lineitem row (600k points at sf0.1)."""
+    return _lake_lines(spark, sf)
+
+
+@register("s1_lake_round_trip", f"""SELECT path AS file, size, quantity, mtime * 1000000000 AS ts_ns
+FROM ({b.LAKE_SQL}) l""")
+def s1_lake(spark, sf):
+    """S2 then S1 over the lake listing: the typed points equal the input."""
+    pts, _ = LP.read_line_protocol(_lake_lines(spark, sf))
+    return pts.select(F.col("tags")["file"].alias("file"), LP.field_value("fields", "size", "long").alias("size"),
+                      LP.field_value("fields", "quantity", "long").alias("quantity"), "ts_ns")
