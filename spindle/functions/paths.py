@@ -62,13 +62,14 @@ def ancestors(path: str | Column) -> Column:
     """Component-exact ancestor directories of a path, outermost first.
 
     ``a/b/c`` -> [``a``, ``a/b``]; ``a/b/`` -> [``a``, ``a/b``]. Prefix
-    matching (``a/bc`` under ``a/b``) cannot happen.
+    matching (``a/bc`` under ``a/b``) cannot happen. The i-th ancestor is the
+    text before the i-th '/' (``substring_index``), so the path is never split
+    into an array per ancestor.
     """
-    parts = path_parts(path)
-    n = F.size(parts)
-    return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1),
-                                     lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-                  ).otherwise(F.array().cast("array<string>"))
+    p = _c(path)
+    d = depth(p)
+    return F.when(d > 0, F.transform(F.sequence(F.lit(1), d), lambda i: F.call_function("substring_index", p, F.lit("/"), i))) \
+            .otherwise(F.array().cast("array<string>"))
 
 
 def is_directory_path(path: str | Column) -> Column:

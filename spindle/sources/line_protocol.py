@@ -44,6 +44,13 @@ def _unquote(v: Column) -> Column:
     return _unescape(inner)
 
 
+def _once(df: DataFrame, cols: list) -> DataFrame:
+    """Projection that later projections cannot inline (a one-row ``inline``):
+    each expensive expression in ``cols`` is evaluated once per row, however
+    often its result is referenced afterwards."""
+    return df.select(F.inline(F.array(F.struct(*cols))))
+
+
 def _pairs(text: Column, pattern: str) -> Column:
     """``key=value`` items of a tag or field list in one regex pass; the key ends at the first '='."""
     return F.regexp_extract_all(text, F.lit(pattern), 0)
@@ -58,7 +65,7 @@ def parse_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """
     v = F.col(col)
     parts = F.split(F.regexp_replace(v, LINE_PATTERN_JVM, f"$1{_SEP}$2{_SEP}$3"), _SEP)
-    out = lines.select("*", parts.alias("__p"))
+    out = _once(lines, [*[F.col(c) for c in lines.columns], parts.alias("__p")])
     matched = F.size("__p") == 3
     head = F.when(matched, F.col("__p")[0]).otherwise(F.lit(""))
     out = out.select(*lines.columns, head.alias("__head"),
@@ -68,7 +75,8 @@ def parse_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     tag_text = F.substring(F.col("__head"), F.length(meas) + 2, 1 << 30)
     tags = _pairs(tag_text, TAG_PATTERN_JVM)
     fields = _pairs(F.coalesce(F.col("__fields"), F.lit("")), FIELD_PATTERN_JVM)
-    out = out.select(*lines.columns, "__head", "__ts", meas.alias("__meas"), tags.alias("__tags"), fields.alias("__f"))
+    out = _once(out, [*[F.col(c) for c in lines.columns], F.col("__head"), F.col("__ts"), meas.alias("__meas"),
+                      tags.alias("__tags"), fields.alias("__f")])
 
     def key(kv):
         return F.substring_index(kv, "=", 1)

@@ -15,42 +15,42 @@ from pyspark.sql import functions as F
 # Fixed patterns of the two stat output formats.
 COLON_PATTERN = r"^(\d+):(.*):([0-7]{3,4}):([^:]*):([^:]*):(-?\d+):(-?\d+):([^:]*)$"
 STAMP = r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(?:\.\d+)? [+-]\d{4}"
+SEP = "\u0001"  # group separator of the one-pass split (a control character, never in stat text)
 SPACE_PATTERN = rf"^(\d+) (.*) ([-dlcbps][-r][-w][-xsS][-r][-w][-xsS][-r][-w][-xtT]) (\S+) (\S+) ({STAMP}) ({STAMP})$"
 
 
 def read_stat_records(lines: DataFrame, fmt: str = "colon", col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """S3: text lines -> (files, rejects)."""
+    """S3: text lines -> (files, rejects).
+
+    One regex pass per line: the groups are written out with a separator
+    and split, behind a projection barrier so the match is not repeated for
+    every field.
+    """
     v = F.col(col)
     if fmt == "colon":
-        pat = COLON_PATTERN
-        ok = v.rlike(pat)
-        files = lines.filter(ok).select(
-            F.regexp_extract(v, pat, 1).cast("long").alias("size"),
-            F.regexp_extract(v, pat, 2).alias("path"),
-            F.conv(F.regexp_extract(v, pat, 3), 8, 10).cast("int").alias("mode"),
-            F.regexp_extract(v, pat, 4).alias("user"),
-            F.regexp_extract(v, pat, 5).alias("group"),
-            F.regexp_extract(v, pat, 6).cast("long").alias("mtime"),
-            F.regexp_extract(v, pat, 7).cast("long").alias("atime"),
-            F.regexp_extract(v, pat, 8).alias("type"))
+        pat, n = COLON_PATTERN, 8
     elif fmt == "space":
-        pat = SPACE_PATTERN
-        ok = v.rlike(pat)
-
-        def stamp(i):
-            text = F.regexp_extract(v, pat, i)
-            return F.unix_timestamp(F.regexp_replace(text, r"\.\d+", ""), "yyyy-MM-dd HH:mm:ss Z")
-        files = lines.filter(ok).select(
-            F.regexp_extract(v, pat, 1).cast("long").alias("size"),
-            F.regexp_extract(v, pat, 2).alias("path"),
-            F.regexp_extract(v, pat, 3).alias("mode_symbolic"),
-            F.regexp_extract(v, pat, 4).alias("user"),
-            F.regexp_extract(v, pat, 5).alias("group"),
-            stamp(6).alias("mtime"),
-            stamp(7).alias("atime"))
+        pat, n = SPACE_PATTERN, 7
     else:
         raise ValueError(fmt)
-    return files, lines.filter(~ok).select(v.alias("value"))
+    template = SEP.join(f"${i}" for i in range(1, n + 1))
+    parts = F.split(F.regexp_replace(v, pat, template), SEP)
+    split = lines.select(F.inline(F.array(F.struct(v.alias("__line"), parts.alias("__p")))))
+    ok = F.size("__p") == n  # a path holding the separator control character goes to the rejects
+    good = split.filter(ok)
+    g = [F.col("__p")[i] for i in range(n)]
+    if fmt == "colon":
+        files = good.select(
+            g[0].cast("long").alias("size"), g[1].alias("path"),
+            F.conv(g[2], 8, 10).cast("int").alias("mode"), g[3].alias("user"), g[4].alias("group"),
+            g[5].cast("long").alias("mtime"), g[6].cast("long").alias("atime"), g[7].alias("type"))
+    else:
+        def stamp(c):
+            return F.unix_timestamp(F.regexp_replace(c, r"\.\d+", ""), "yyyy-MM-dd HH:mm:ss Z")
+        files = good.select(
+            g[0].cast("long").alias("size"), g[1].alias("path"), g[2].alias("mode_symbolic"),
+            g[3].alias("user"), g[4].alias("group"), stamp(g[5]).alias("mtime"), stamp(g[6]).alias("atime"))
+    return files, split.filter(~ok).select(F.col("__line").alias("value"))
 
 
 def render_colon(files: DataFrame) -> DataFrame:
