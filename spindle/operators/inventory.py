@@ -95,13 +95,14 @@ def filter_depth(files: DataFrame, lo: int, hi: int, kind: str | None = DIRECTOR
 def unique_ts(df: DataFrame, base_ns: int, order_cols: Sequence[str], partition_cols: Sequence[str] = ()) -> DataFrame:
     """distinct timestamps for equal-time points, ``base + ordinal`` in ns.
 
-    With ``partition_cols`` the ordinal restarts per bucket (parallel windows).
-    Without, the order-free form: ``monotonically_increasing_id`` (unique, not dense).
+    With ``partition_cols`` the ordinal restarts per bucket; the numbering is
+    distributed (no bucket has to fit one task). Without, the order-free
+    form: ``monotonically_increasing_id`` (unique, not dense).
     """
-    from pyspark.sql import Window
+    from spindle.operators.ordering import row_numbers
     if partition_cols:
-        w = Window.partitionBy(*partition_cols).orderBy(*order_cols)
-        return df.withColumn("ts_ns", F.lit(base_ns) + F.row_number().over(w) - 1)
+        return row_numbers(df, list(partition_cols), list(order_cols), "__rn") \
+            .withColumn("ts_ns", F.lit(base_ns) + F.col("__rn") - 1).drop("__rn")
     return df.withColumn("ts_ns", F.lit(base_ns) + F.monotonically_increasing_id())
 
 
@@ -186,22 +187,13 @@ def cardinality(df: DataFrame, cols: Sequence[str], approx: bool = False, rsd: f
 def numbered_distinct(df: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
     """``sort | uniq | cat -n`` -- distinct values numbered 1..n in sort order.
 
-    Distributed: range-partition and sort the distinct values, number rows
-    within each partition, then add the count of all earlier partitions (a
-    table with one row per partition). No single-task window.
+    Distributed: the distinct values are range-partitioned and sorted, each
+    gets its global position from a per-partition count table. No single-task
+    window.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = (df.select(F.col(col).alias("value")).filter(F.col("value").isNotNull()).distinct()
-           .repartitionByRange(n, "value").sortWithinPartitions("value")
-           .select("value", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("mid")))
-    d = cut_lineage(d)  # fix the partition layout before numbering
-    counts = d.groupBy("pid").agg(F.count(F.lit(1)).alias("c"))
-    from pyspark.sql import Window
-    offsets = counts.select("pid", (F.sum("c").over(Window.orderBy("pid")) - F.col("c")).alias("offset"))
-    local = F.col("mid") - F.shiftleft(F.col("pid").cast("long"), 33)
-    return (d.join(F.broadcast(offsets), "pid")  # one row per partition: bounded
-             .select((F.col("offset") + local + 1).alias("n"), "value"))
+    from spindle.operators.ordering import global_positions
+    d = df.select(F.col(col).alias("value")).filter(F.col("value").isNotNull()).distinct()
+    return global_positions(d, ["value"], partitions).select((F.col("__g") + 1).alias("n"), "value")
 
 
 def distinct_counts(df: DataFrame, subsets: Mapping[str, Sequence[str]]) -> DataFrame:

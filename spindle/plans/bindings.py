@@ -50,12 +50,17 @@ def flow_edges(spark: SparkSession, sf_dir: str, acyclic: bool = True) -> DataFr
 
 
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive distinct parts within an order: lead over the line number."""
+    """Consecutive distinct parts within an order (``lead`` over the line number).
+
+    The lead is a join on the global position in the order (orderkey,
+    linenumber, partkey), so one huge order is spread over many tasks instead
+    of one window partition.
+    """
+    from spindle.operators.ordering import lead_pairs
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    return (li.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
-              .filter(F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
-              .distinct())
+    return (lead_pairs(li, ["l_orderkey"], ["l_linenumber", "l_partkey"], "l_partkey")
+            .filter(F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
+            .distinct())
 
 
 # ---------------------------------------------------------------- inventory
