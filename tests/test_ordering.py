@@ -15,7 +15,7 @@ def skewed(spark):
 
 def test_row_numbers_match_window(spark):
     df = skewed(spark)
-    mine = {(r["v"], r["rn"]) for r in row_numbers(df, ["g"], ["o", "v"]).collect()}
+    mine = {(r["v"], r["rn"]) for r in row_numbers(df, ["g"], ["o", "v"], max_group_rows=0).collect()}
     w = Window.partitionBy("g").orderBy("o", "v")
     ref = {(r["v"], r["rn"]) for r in df.withColumn("rn", F.row_number().over(w)).collect()}
     assert mine == ref
@@ -23,8 +23,18 @@ def test_row_numbers_match_window(spark):
 
 def test_lead_pairs_match_window(spark):
     df = skewed(spark)
-    mine = sorted(tuple(r) for r in lead_pairs(df, ["g"], ["o", "v"], "v").collect())
+    mine = sorted(tuple(r) for r in lead_pairs(df, ["g"], ["o", "v"], "v", max_group_rows=0).collect())
     w = Window.partitionBy("g").orderBy("o", "v")
     ref = sorted(tuple(r) for r in df.select(F.col("v").alias("src"), F.lead("v").over(w).alias("dst"))
                  .filter("dst IS NOT NULL").collect())
     assert mine == ref
+
+
+def test_forced_distributed_and_window_agree(spark):
+    df = skewed(spark)
+    a = sorted(tuple(r) for r in lead_pairs(df, ["g"], ["o", "v"], "v", max_group_rows=0).collect())
+    b = sorted(tuple(r) for r in lead_pairs(df, ["g"], ["o", "v"], "v").collect())
+    assert a == b
+    x = {(r["v"], r["rn"]) for r in row_numbers(df, ["g"], ["o", "v"], max_group_rows=0).collect()}
+    y = {(r["v"], r["rn"]) for r in row_numbers(df, ["g"], ["o", "v"]).collect()}
+    assert x == y
