@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.operators.graph import edges as E
 from spindle.operators.graph.frontier import as_nodes
 
 
@@ -44,7 +43,3 @@ def disjoint(nodes1: DataFrame, nodes2: DataFrame) -> DataFrame:
     """One row ``(shared_nodes, disjoint)``; a semi join, never a collect."""
     shared = nodes1.select("node").distinct().join(nodes2.select("node"), "node", "left_semi")
     return shared.agg(F.count(F.lit(1)).alias("shared_nodes")).withColumn("disjoint", F.col("shared_nodes") == 0)
-
-
-def graph_nodes(edges: DataFrame) -> DataFrame:
-    return E.nodes_of(edges)
