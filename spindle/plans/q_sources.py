@@ -339,3 +339,12 @@ def s1_lake(spark, sf):
     pts, _ = LP.read_line_protocol(_lake_lines(spark, sf))
     return pts.select(F.col("tags")["file"].alias("file"), LP.field_value("fields", "size", "long").alias("size"),
                       LP.field_value("fields", "quantity", "long").alias("quantity"), "ts_ns")
+
+
+@register("s13_error_class_counts", f"""SELECT CASE WHEN contains(line, 'No such file') THEN 'missing'
+  WHEN contains(line, 'Permission denied') THEN 'denied' ELSE 'other' END AS error_class, count(*) AS n
+FROM ({DOC_LINES}) l GROUP BY 1""")
+def s13e(spark, sf):
+    """S13 error-class split of every text line (``find``/``stat`` style messages)."""
+    lines = b.table(spark, sf, "documents").select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    return lines.groupBy(IO.error_class("line").alias("error_class")).agg(F.count(F.lit(1)).alias("n"))
