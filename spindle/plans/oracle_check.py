@@ -38,16 +38,28 @@ def duck(sf_dir: str):
     return con
 
 
-def compare(sdf, con, sql: str) -> tuple[bool, str]:
+# Spark type name -> DuckDB type name of the same values
+TYPE_NAMES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+              "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT", "date": "DATE",
+              "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE"}
+
+
+def compare(sdf, con, sql: str, check_types: bool = True) -> tuple[bool, str]:
+    s_types = dict(sdf.dtypes)
     s_cols = sdf.columns
     s_rows = [tuple(r) for r in sdf.collect()]
     res = con.execute(sql)
     d_cols = [d[0] for d in res.description]
+    d_types = {d[0]: str(d[1]) for d in res.description}
     d_rows = res.fetchall()
     hs, ls = digest(s_cols, s_rows)
     hd, ld = digest(d_cols, d_rows)
     if sorted(s_cols) != sorted(d_cols):
         return False, f"columns {sorted(s_cols)} vs {sorted(d_cols)}"
+    if check_types:
+        diff = [(c, s_types[c], d_types.get(c)) for c in s_cols if TYPE_NAMES.get(s_types[c], s_types[c]) != d_types.get(c)]
+        if diff:
+            return False, f"types {diff}"
     if len(s_rows) != len(d_rows):
         return False, f"rows {len(s_rows)} vs {len(d_rows)}"
     if hs != hd:

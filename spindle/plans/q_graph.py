@@ -242,7 +242,7 @@ def g12p(spark, sf):
                                                            F.sum("out_degree").cast("long").alias("out_edges"))
 
 
-@register("g13_bfs_tree", bfs_sql(CYC, roots_sql(CYC)) + " SELECT start, parent AS src, node AS dst, level FROM bfs WHERE level > 0")
+@register("g13_bfs_tree", bfs_sql(CYC, roots_sql(CYC)) + " SELECT start, CAST(parent AS INTEGER) AS src, node AS dst, level FROM bfs WHERE level > 0")
 def g13(spark, sf):
     e = cyc(spark, sf)
     return GR.bfs_tree(e, E.roots(e))
@@ -279,21 +279,21 @@ def _leaf_paths_out(p):
 
 
 @register("g16_leaf_paths", walks_sql(DAG, roots_sql(DAG)) +
-          f" SELECT start, {ptext('path')} AS path_text, len(path) - 1 AS levels FROM w WHERE last NOT IN (SELECT src FROM e)")
+          f" SELECT start, {ptext('path')} AS path_text, CAST(len(path) - 1 AS INTEGER) AS levels FROM w WHERE last NOT IN (SELECT src FROM e)")
 def g16(spark, sf):
     e = dag(spark, sf)
     return _leaf_paths_out(GP.leaf_paths(e, E.roots(e)))
 
 
 @register("g17_leaf_paths_all_starts", walks_sql(DAG, nodes_sql(DAG)) +
-          f" SELECT start, {ptext('path')} AS path_text, len(path) - 1 AS levels FROM w WHERE last NOT IN (SELECT src FROM e)")
+          f" SELECT start, {ptext('path')} AS path_text, CAST(len(path) - 1 AS INTEGER) AS levels FROM w WHERE last NOT IN (SELECT src FROM e)")
 def g17(spark, sf):
     e = dag(spark, sf)
     return _leaf_paths_out(GP.leaf_paths(e, E.nodes_of(e)))
 
 
 @register("g16_leaf_paths_cyclic", walks_sql(CYC, roots_sql(CYC)) +
-          f" SELECT start, {ptext('path')} AS path_text, len(path) - 1 AS levels FROM w WHERE last NOT IN (SELECT src FROM e)")
+          f" SELECT start, {ptext('path')} AS path_text, CAST(len(path) - 1 AS INTEGER) AS levels FROM w WHERE last NOT IN (SELECT src FROM e)")
 def g16c(spark, sf):
     e = cyc(spark, sf)
     return _leaf_paths_out(GP.leaf_paths(e, E.roots(e)))
@@ -303,7 +303,7 @@ JOIN_POINTS = "SELECT dst AS node FROM e GROUP BY dst HAVING count(*) >= 2"
 
 
 @register("g18_paths_between", walks_sql(DAG, roots_sql(DAG), stop=JOIN_POINTS) +
-          f" SELECT start, {ptext('path')} AS path_text, len(path) - 1 AS levels FROM w"
+          f" SELECT start, {ptext('path')} AS path_text, CAST(len(path) - 1 AS INTEGER) AS levels FROM w"
           f" WHERE len(path) > 1 AND last IN ({JOIN_POINTS})")
 def g18(spark, sf):
     e = dag(spark, sf)
@@ -312,7 +312,7 @@ def g18(spark, sf):
 
 
 @register("g19_prefix_walks", walks_sql(DAG, roots_sql(DAG), guard=False, max_levels=10) +
-          f" SELECT start, {ptext('path')} AS path_text, len(path) - 1 AS depth FROM w")
+          f" SELECT start, {ptext('path')} AS path_text, CAST(len(path) - 1 AS INTEGER) AS depth FROM w")
 def g19(spark, sf):
     e = dag(spark, sf)
     return GP.prefix_walks(e, E.roots(e), max_levels=10).select("start", path_text("path").alias("path_text"),
@@ -323,7 +323,7 @@ REPORT_LEVELS = 10
 
 
 @register("g20_path_report", walks_sql(DAG, roots_sql(DAG)) + f""" SELECT {ptext('path')} AS path_text,
-  len(path) - 1 AS n_levels, CAST(path[1] AS VARCHAR) AS path_start, CAST(path[-1] AS VARCHAR) AS path_end,
+  CAST(len(path) - 1 AS INTEGER) AS n_levels, CAST(path[1] AS VARCHAR) AS path_start, CAST(path[-1] AS VARCHAR) AS path_end,
   {', '.join(f'CAST(path[{i + 1}] AS VARCHAR) AS level_{i + 1}' for i in range(REPORT_LEVELS))},
   len(path) > {REPORT_LEVELS} AS overflow FROM w WHERE last NOT IN (SELECT src FROM e)""")
 def g20(spark, sf):
@@ -405,7 +405,7 @@ def g23(spark, sf):
 
 
 @register("g23_shortest_paths_by_enumeration", walks_sql(DAG, roots_sql(DAG)) + f""",
-ranked AS (SELECT start, last AS leaf_node, {ptext('path')} AS path, len(path) - 1 AS path_length,
+ranked AS (SELECT start, last AS leaf_node, {ptext('path')} AS path, CAST(len(path) - 1 AS INTEGER) AS path_length,
   row_number() OVER (PARTITION BY start, last ORDER BY len(path), {ptext('path')}) AS rn
   FROM w WHERE len(path) > 1 AND last NOT IN (SELECT src FROM e))
 SELECT start, leaf_node, path, path_length FROM ranked WHERE rn = 1""")
@@ -484,7 +484,7 @@ s AS (SELECT DISTINCT src AS node FROM core),
 w(start, last, path) AS (SELECT node, node, [node] FROM s
   UNION ALL SELECT w.start, c.dst, list_append(w.path, c.dst) FROM w JOIN core c ON w.last = c.src
   WHERE c.dst > w.start AND NOT list_contains(w.path, c.dst) AND len(w.path) < {CYCLE_CAP})
-SELECT {ptext('w.path')} || ' -> ' || CAST(w.start AS VARCHAR) AS cycle, len(w.path) AS length
+SELECT {ptext('w.path')} || ' -> ' || CAST(w.start AS VARCHAR) AS cycle, CAST(len(w.path) AS INTEGER) AS length
 FROM w JOIN core c ON w.last = c.src AND c.dst = w.start""")
 def g27(spark, sf):
     return GC.simple_cycles(cyc(spark, sf), max_length=CYCLE_CAP)
@@ -535,7 +535,7 @@ def g32(spark, sf):
 # ------------------------------------------------------------------ J3 in SQL
 
 @register("j3_recursive_cte_walks", walks_sql(DAG, roots_sql(DAG)) +
-          f" SELECT start, {ptext('path')} AS path_text, len(path) - 1 AS depth FROM w")
+          f" SELECT start, {ptext('path')} AS path_text, CAST(len(path) - 1 AS INTEGER) AS depth FROM w")
 def j3(spark, sf):
     """J3 as Spark SQL ``WITH RECURSIVE`` (UNION ALL cannot deduplicate visited
     nodes, so this form is for small path problems; the DataFrame loops are

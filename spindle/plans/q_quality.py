@@ -227,7 +227,7 @@ def c4(spark, sf):
                                           F.sum(F.col("l_partkey").bitwiseAND(F.lit(7))).cast("long").alias("sum_low_bits"))
 
 
-@register("a10_conditional_count", """SELECT count_if(l_discount > 0.05) AS n FROM lineitem""")
+@register("a10_conditional_count", """SELECT CAST(count_if(l_discount > 0.05) AS BIGINT) AS n FROM lineitem""")
 def a10(spark, sf):
     from spindle.operators.inventory import count_where
     return count_where(b.table(spark, sf, "lineitem"), F.col("l_discount") > 0.05)

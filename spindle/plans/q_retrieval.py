@@ -61,7 +61,7 @@ def v1(spark, sf):
     return R.top_k_one(cp, q, K).select("id", r4("distance").alias("distance"))
 
 
-@register("v2_knn_batch", f"""SELECT qid, id, round(distance, 4) AS distance, rank FROM ({ranked_sql(LABEL_CENTROIDS)}) r
+@register("v2_knn_batch", f"""SELECT qid, id, round(distance, 4) AS distance, CAST(rank AS INTEGER) AS rank FROM ({ranked_sql(LABEL_CENTROIDS)}) r
 WHERE rank <= {K}""")
 def v2(spark, sf):
     m = R.knn(label_queries(spark, sf), corpus(spark, sf), K)

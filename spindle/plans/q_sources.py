@@ -110,7 +110,7 @@ CSV_LEVELS = 10
 
 
 @register("s4_s5_csv_round_trip", walks_sql(DAG, roots_sql(DAG)) + f""" SELECT CAST(start AS INTEGER) AS start,
-  len(path) - 1 AS levels, {', '.join(f'CAST(path[{i + 1}] AS VARCHAR) AS level_{i + 1}' for i in range(CSV_LEVELS))},
+  CAST(len(path) - 1 AS INTEGER) AS levels, {', '.join(f'CAST(path[{i + 1}] AS VARCHAR) AS level_{i + 1}' for i in range(CSV_LEVELS))},
   len(path) > {CSV_LEVELS} AS overflow FROM w WHERE last NOT IN (SELECT src FROM e)""")
 def s4s5(spark, sf):
     e = b.flow_edges(spark, sf, True)
@@ -179,7 +179,7 @@ def t5p(spark, sf):
                     r4("mean_value").alias("mean_value"))
 
 
-@register("s12_append_vectors", """SELECT vec_id AS id, label, len(embedding) AS dims,
+@register("s12_append_vectors", """SELECT vec_id AS id, label, CAST(len(embedding) AS INTEGER) AS dims,
   round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS vsum FROM embeddings""")
 def s12(spark, sf):
     v = b.vectors(spark, sf)
