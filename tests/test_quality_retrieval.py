@@ -121,3 +121,15 @@ def test_forest_invariants(spark):
     assert cm.agg(F.sum("n")).first()[0] == test.count()
     rep = M.classification_report(pred, "label")
     assert rep.agg(F.sum("support")).first()[0] == test.count()
+
+
+def test_knn_cosine_matches_numpy(spark):
+    corpus = b.vectors(spark, SF_SMALL)
+    pdf = corpus.toPandas()
+    X = np.stack(pdf["vec"].map(lambda v: np.asarray(v, dtype=np.float64)))
+    q = X[3] + X[5]
+    queries = spark.createDataFrame([(1, [float(x) for x in q])], "qid int, qvec array<double>")
+    got = [r["id"] for r in R.knn(queries, corpus, k=3, metric="cosine").orderBy("rank").collect()]
+    d = 1.0 - (X @ q) / (np.linalg.norm(X, axis=1) * np.linalg.norm(q))
+    ref = [int(pdf["id"][i]) for i in sorted(range(len(d)), key=lambda i: (d[i], pdf["id"][i]))[:3]]
+    assert got == ref

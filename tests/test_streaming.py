@@ -45,3 +45,14 @@ def test_rollup_stream_closed_windows(spark):
     got = {(str(r["bucket"]), r["tag"], r["mean_value"]) for r in spark.read.parquet(out).collect()}
     # windows closed by the watermark (max ts 02:30 - 10 min): 00:00 and 01:00; 02:00 stays open
     assert got == {("2024-01-01 00:00:00", "x", 2.0), ("2024-01-01 01:00:00", "x", 5.0)}
+
+
+def test_retention_prunes_partitions(spark):
+    ev = spark.createDataFrame([("2024-01-01", "a", 1.0), ("2024-01-05", "a", 2.0), ("2024-01-09", "b", 3.0)],
+                               "day string, tag string, v double")
+    out = tempfile.mkdtemp(prefix="spindle-rollup-")
+    IO.write_rollup(ev, out, "day")
+    kept = IO.drop_expired(spark, out, "day", "2024-01-05")
+    assert sorted(str(r["day"]) for r in kept.collect()) == ["2024-01-05", "2024-01-09"]  # inferred as date
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan  # the expiry test is a partition filter, pruned at the scan
