@@ -39,8 +39,3 @@ def whole_text(c: str | Column) -> Column:
     col = F.col(c) if isinstance(c, str) else c
     return F.coalesce(col.cast("string"), F.lit(""))
 
-
-def span_digest(spans: Column) -> Column:
-    """``kind:start:end`` of sorted span structs, comma-joined."""
-    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(
-        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))

@@ -2,8 +2,8 @@
 
 Deficit round-robin over one queue per source: every window of 2048 tokens
 credits each source its quantum (its target proportion of the window); a source
-sends the whole tokens of its credit and carries the fraction to the next
-window, the widest source lends or takes back the window's few missing tokens.
+sends the whole tokens that its credit has begun and carries the overdraft to
+the next window, the widest source lends the window's few tokens.
 The credit after window ``w`` has the closed form ``fluid(w) - sent(w)``, so a
 task knows every queue's deficit at any window without replaying the windows
 before it: deficits are carried across windows and partitions by arithmetic.
@@ -73,7 +73,7 @@ class RoundRobin:
         x = np.minimum(np.asarray(rounds, np.int64) * self.round, self.total)
         leg = np.minimum(np.searchsorted(self.at, x, side="right") - 1, len(self.slope) - 1)
         fluid = self.sent[leg] + (x - self.at[leg])[:, None] * self.slope[leg]
-        out = np.minimum(np.floor(fluid + 1e-6).astype(np.int64), self.totals)
+        out = np.minimum(np.ceil(fluid - 1e-6).astype(np.int64), self.totals)
         out[x == self.total] = self.totals
         out[:, self.lender] = 0
         out[:, self.lender] = x - out.sum(1)

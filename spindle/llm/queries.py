@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spindle.llm import arrow_ids, content_sort, mixing, packing
+from spindle.llm import arrow_ids, content_sort, merkle, mixing, near_dup, packing, page_text, sanitise, secret_scan, toxicity
 from spindle.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,16 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
@@ -74,3 +84,24 @@ FROM r
 def op6_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return arrow_ids.read_documents(arrow_ids.write_shards(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query
+def op7_naive_bayes_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+@query
+def op8_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_spans(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_classes(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_disclosure_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.personal_spans(read_table(spark, sf_dir, "documents"))
