@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindle.llm.common import stash, whole_text
@@ -135,10 +135,14 @@ def bands(sig: np.ndarray, n_bands: int = BANDS) -> np.ndarray:
     return out
 
 
+def text_key(text_col: str) -> Column:
+    return F.unhex(F.md5(whole_text(text_col).cast("binary")))
+
+
 def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Stored table, one row per input row: ``id, node`` (digest of the words), ``n``
-    (distinct shingles), ``shingles`` (sorted 32-bit hashes) and ``bands``."""
-    src = df.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
+    """Stored table, one row per input row: ``id, key`` (digest of the text), ``node``
+    (of its words), ``n`` (distinct shingles), ``shingles`` (sorted 32-bit hashes), ``bands``."""
+    src = df.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), whole_text(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,12 +164,12 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_ba
         small = [np.unique((s >> U64(32)).astype("<u4")) for s in sets]
         offsets = np.arange(len(sets) + 1, dtype=np.int32) * n_bands
         return pa.RecordBatch.from_arrays(
-            [b["id"], pa.array(nodes, pa.binary()), pa.array([len(s) for s in small], pa.int32()),
+            [b["id"], b["key"], pa.array(nodes, pa.binary()), pa.array([len(s) for s in small], pa.int32()),
              pa.array([s.tobytes() for s in small], pa.binary()),
              pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.reshape(-1), pa.int64()))],
-            names=["id", "node", "n", "shingles", "bands"])
+            names=["id", "key", "node", "n", "shingles", "bands"])
 
-    return stash(src.mapInArrow(run, "id long, node binary, n int, shingles binary, bands array<bigint>"), "near-features")
+    return stash(src.mapInArrow(run, "id long, key binary, node binary, n int, shingles binary, bands array<bigint>"), "near-features")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -224,6 +228,21 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return base.join(classes, "root").select(F.col("id").alias(id_col), "class_id", "class_size")
 
 
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The input's rows and columns without all but one row of each class: the one of
+    the smallest id (then of the smallest text digest; null ids last)."""
+    feats = features(df, id_col, text_col)
+    own = feats.select("id", "key", "node").join(_roots(feats, similarity, CENTRES), "node", "left")
+    kept = (own.groupBy(F.coalesce("root", "node").alias("root"))
+               .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("k"))
+               .select(F.col("k.id").alias("__id"), F.col("k.key").alias("__key")))
+    rows = df.select(F.struct(*df.columns).alias("__row"), F.col(id_col).cast("long").alias("__id"), text_key(text_col).alias("__key"))
+    rows = rows.join(kept.withColumnRenamed("__id", "__kept"), ["__key"]).filter(F.col("__id").eqNullSafe(F.col("__kept")))
+    # rows that repeat an id and a text
+    one = Window.partitionBy("__key").orderBy("__id")
+    return rows.withColumn("__rn", F.row_number().over(one)).filter("__rn = 1").select("__row.*")
+
+
 def _roots(feats: DataFrame, similarity: float, centres: int) -> DataFrame:
     keyed = (feats.filter("n > 0").select("node", "n", F.explode("bands").alias("band"))
                   .groupBy("band", "node").agg(F.first("n").alias("n")))

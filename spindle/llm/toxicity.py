@@ -11,7 +11,7 @@ statistic; both bounds are parameters. Scoring reads every whole text in one
 pass without a shuffle.
 
 Empty or null texts score the intercept. Without labelled rows of both classes
-every score is the share of toxic labels (0 without any).
+there is nothing to tell them apart by and every score is 0.
 """
 
 from __future__ import annotations
@@ -108,8 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = {r["y"]: r["n"] for r in table.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
-        share = n1 / (n0 + n1) if n else 0.0
-        return Model(np.empty(0, np.uint32), np.empty(0), 40.0 * (2 * share - 1))
+        return Model(np.empty(0, np.uint32), np.empty(0), -np.inf)
     c = table.mapInArrow(counts, "f long, clean long, toxic long").groupBy("f").agg(
         F.sum("clean").alias("c"), F.sum("toxic").alias("t"))  # at most 2^bits features
     p, q = (F.col("t") + SMOOTH) / (n1 + 2 * SMOOTH), (F.col("c") + SMOOTH) / (n0 + 2 * SMOOTH)
@@ -159,7 +158,7 @@ class Scorer:
         ids = grams(text or "", self.bits)
         hit = np.unique(ids[self.weight[ids] != 0])  # only what the model knows
         z = float(self.weight[hit].sum(dtype=np.float64)) + self.intercept
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        return float(1 / (1 + np.exp(-max(z, -700.0))))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
