@@ -50,7 +50,7 @@ def test_stages(spark):
 
 
 def test_stage_edges(spark, edge, nothing, tmp_path):
-    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 1, int(i == 11)) for i in range(1, 13)], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, edge, str(tmp_path))
