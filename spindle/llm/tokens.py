@@ -11,15 +11,19 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from functools import lru_cache
 
-import numpy as np
-
 END_ID = 1
-MEMO = 400_000      # entries kept per worker and table; a full table starts anew
+MEMO = 600_000      # entries kept per worker and table: the first, so the frequent ones
+INNER, UNCUT = re.compile(r" \s"), re.compile(r"\s \s")
 PUNCTUATION = ".,;:!?*%$&#)|"
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One per Python worker and file."""
@@ -40,32 +44,32 @@ class Encoder:
         # byte-level alphabet: printable Latin-1 stays, the other bytes follow from 256 on
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: b for b in keep} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*keep}))}
+        self.space = chr(self.alphabet[32])
+        self.model = self.tok.model
         self.pieces: dict[str, bytes] = {}
+        self.line_end = self.whole("\n") if self.spaced else b""
         self.first, self.rest = _Words(self, ""), _Words(self, " " if self.spaced else "")
-        # a space between two other white spaces is no boundary where spaces are tokens
-        self.uncut = re.compile(r"\s \s") if self.spaced else re.compile(r"(?!)")
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return as_bytes(self.tok.encode(text, add_special_tokens=False).ids)
 
     def piece(self, text: str) -> bytes:
         """A run of letters (with its space) or of punctuation: one call of the model."""
         if (ids := self.pieces.get(text)) is None:
-            mapped = text.encode().decode("latin-1").translate(self.alphabet)
-            ids = np.asarray([t.id for t in self.tok.model.tokenize(mapped)], "<u4").tobytes()
-            if len(self.pieces) >= MEMO:
-                self.pieces.clear()
-            self.pieces[text] = ids
+            if text.isascii():  # printable but for the space in front
+                mapped = self.space + text[1:] if text[0] == " " else text
+            else:
+                mapped = text.encode().decode("latin-1").translate(self.alphabet)
+            ids = as_bytes([t.id for t in self.model.tokenize(mapped)])
+            if len(self.pieces) < MEMO:
+                self.pieces[text] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        if self.uncut.search(text):
+        # a space between two white spaces is no boundary where spaces are tokens
+        if self.spaced and INNER.search(text) and UNCUT.search(text):
             return self.whole(text)
         head, *words = text.split(" ")
-        if len(self.rest) >= MEMO:
-            self.rest.clear()
-        if len(self.first) >= MEMO:
-            self.first.clear()
         return self.first[head] + b"".join(map(self.rest.__getitem__, words))
 
     def document(self, text: str | None) -> bytes:
@@ -81,14 +85,17 @@ class _Words(dict):
     def __missing__(self, chunk: str) -> bytes:
         enc = self.enc
         word = chunk.rstrip(PUNCTUATION)
-        tail = chunk[len(word):]
-        if word.isalpha() and max(word) <= "ÿ":
+        if word.isalpha() and (word.isascii() or max(word) <= "ÿ"):
             ids = enc.piece(self.space + (word.lower() if enc.lower else word))
-            if tail:
-                ids += enc.piece(tail)
+            if len(word) < len(chunk):
+                ids += enc.piece(chunk[len(word):])
+        elif "\n" in chunk and all(p and not p[0].isspace() and not p[-1].isspace() for p in chunk.split("\n")):
+            lines = chunk.split("\n")
+            ids = enc.line_end.join([self[lines[0]], *map(enc.first.__getitem__, lines[1:])])
         else:
             ids = enc.whole(self.space + chunk)
-        self[chunk] = ids
+        if len(self) < MEMO:
+            self[chunk] = ids
         return ids
 
 
