@@ -39,7 +39,7 @@ def open_fs(uri: str):
 
 
 def shard_schema(kind: str, length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(np.dtype(kind)), length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(np.dtype(kind)), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -72,12 +72,12 @@ class ShardWriter:
     def _flush(self, last: bool) -> None:
         flat = np.concatenate(self.held) if self.held else np.empty(0, self.kind)
         whole = len(flat) // self.length * self.length
-        rest, mask = flat[whole:], np.ones(whole, np.uint8)
+        rest, mask = flat[whole:], np.ones(whole, bool)
         flat = flat[:whole]
         if last and len(rest):
             pad = self.length - len(rest)
             flat = np.concatenate([flat, rest, np.zeros(pad, self.kind)])
-            mask = np.concatenate([mask, np.ones(len(rest), np.uint8), np.zeros(pad, np.uint8)])
+            mask = np.concatenate([mask, np.ones(len(rest), bool), np.zeros(pad, bool)])
             rest = rest[:0]
         step = BATCH * self.length
         for at in range(0, len(flat), step):
@@ -165,7 +165,8 @@ def read_documents(manifest: DataFrame) -> DataFrame:
     """From the shards' files: ``doc_id, start, n_tokens, ids_crc32`` of every document."""
     before = Window.orderBy("shard")  # one row a shard
     offsets = manifest.select("shard", (F.sum("n_tokens").over(before) - F.col("n_tokens")).alias("before"))
-    shards = manifest.select("shard", "root", "name").join(offsets, "shard")
+    # dealt out again, as the sum above leaves the shards' names in one task
+    shards = manifest.select("shard", "root", "name").join(offsets, "shard").repartitionByRange(partitions(manifest.sparkSession), "shard")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
