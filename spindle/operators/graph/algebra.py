@@ -30,12 +30,13 @@ def induced(edges: DataFrame, nodes, by: Sequence[str] = ()) -> DataFrame:
 
 def merge_graphs(g1: DataFrame, g2: DataFrame, key: Sequence[str] = ("src", "dst"),
                  attrs: Sequence[str] = ()) -> DataFrame:
-    """Union of two edge (or node) tables on ``key``; attributes of ``g2`` win."""
+    """Union of two edge (or node) tables on ``key``; attributes of ``g2`` win,
+    its nulls too."""
     k = list(key)
     a = g1.select(*k, *[F.col(c).alias(f"__a_{c}") for c in attrs])
     b = g2.select(*k, *[F.col(c).alias(f"__b_{c}") for c in attrs]).withColumn("__in_b", F.lit(True))
     j = a.join(b, k, "full")
-    return j.select(*k, *[F.coalesce(F.col(f"__b_{c}"), F.col(f"__a_{c}")).alias(c)
+    return j.select(*k, *[F.when(F.col("__in_b"), F.col(f"__b_{c}")).otherwise(F.col(f"__a_{c}")).alias(c)
                           for c in attrs])
 
 

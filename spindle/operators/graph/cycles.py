@@ -65,22 +65,34 @@ def one_cycle(edges: DataFrame, core: DataFrame | None = None) -> DataFrame:
     # far = f^(steps)(u) with steps >= |V|: always a node on a cycle
     on_cycle = jump.select(F.col("far").alias("node")).distinct()
     anchor = on_cycle.agg(F.min("node").alias("node"))
-    # walk the anchor's cycle by BFS over f restricted to cycle nodes (one successor each)
-    fc = f.join(on_cycle, "node", "left_semi").select(F.col("node").alias("src"), F.col("nxt").alias("dst"))
-    from spindle.operators.graph.frontier import bfs
-    r = bfs(fc, anchor, per_start=False)
-    cyc = r.join(fc.withColumnRenamed("src", "node"), "node").select(F.col("node").alias("src"), "dst",
-                                                                   F.col("level").alias("pos"))
-    return cyc
+    # distance of every node to the anchor, by pointer doubling on the cycle
+    fc = cut_lineage(f.join(on_cycle, "node", "left_semi"))
+    first = anchor.first()["node"]
+    at = F.col("node") == F.lit(first)
+    rank = fc.select("node", F.when(at, F.col("node")).otherwise(F.col("nxt")).alias("far"),
+                     F.when(at, F.lit(0)).otherwise(F.lit(1)).cast("long").alias("d"))
+    steps = 1
+    while steps < nodes:
+        a, b = rank.alias("a"), rank.alias("b")
+        rank = cut_lineage(a.join(b, F.col("a.far") == F.col("b.node")).select(
+            F.col("a.node").alias("node"), F.col("b.far").alias("far"), (F.col("a.d") + F.col("b.d")).alias("d")))
+        steps *= 2
+    mine = rank.filter(F.col("far") == F.lit(first))  # other cycles never meet the anchor
+    length = mine.agg(F.max("d")).first()[0] + 1
+    return mine.join(fc, "node").select(F.col("node").alias("src"), F.col("nxt").alias("dst"),
+                                        F.pmod(F.lit(length) - F.col("d"), F.lit(length)).cast("int").alias("pos"))
 
 
-def simple_cycles(edges: DataFrame, max_length: int = 20, core: DataFrame | None = None) -> DataFrame:
-    """All simple cycles up to ``max_length`` edges, each once, written from its
-    smallest node (``a -> b -> ... -> a``). Enumeration is exponential, so it
-    runs on the cycle core only and needs a cap."""
+def simple_cycles(edges: DataFrame, max_length: int | None = None, core: DataFrame | None = None) -> DataFrame:
+    """All simple cycles, each once, written from its smallest node
+    (``a -> b -> ... -> a``). Enumeration is exponential, so it runs on the
+    cycle core only. With ``max_length`` the paths of that many nodes that
+    could still close are returned as well, flagged ``truncated``."""
     core = core if core is not None else cycle_core(edges)
     starts = core.select(F.col("src").alias("node")).distinct()
-    cyc = walk_paths(core, starts, max_levels=max_length - 1, guard="above_start", emit="cycle")
-    text = F.concat(F.array_join(F.transform("path", lambda x: x.cast("string")), ARROW), F.lit(ARROW),
-                    F.col("start").cast("string"))
-    return cyc.select(text.alias("cycle"), F.size("path").alias("length"))
+    cyc = walk_paths(core, starts, max_levels=max_length, guard="above_start", emit="cycle")
+    text = F.array_join(F.transform("path", lambda x: x.cast("string")), ARROW)
+    closed = F.concat(text, F.lit(ARROW), F.col("start").cast("string"))
+    if max_length is None:
+        return cyc.select(closed.alias("cycle"), F.size("path").alias("length"))
+    return cyc.select(F.when(F.col("truncated"), text).otherwise(closed).alias("cycle"), F.size("path").alias("length"), "truncated")

@@ -12,9 +12,10 @@ The driver only decides when to stop: one ``count`` per round, which is also
 the job that materialises the round (persisted, spilling to disk). Every few
 rounds the state is written to the reliable checkpoint folder, which cuts the
 lineage, so a lost executor replays at most a few rounds.
-The edge table is hash-partitioned on ``src`` and checkpointed once, so the
-rounds shuffle only the (small) frontier; when the frontier is small AQE
-broadcasts it from its measured size and the edge side is not moved at all.
+The edge table is checkpointed once, spread evenly over (src, dst), so a hub's
+edges lie in many tasks. While the frontier is small AQE broadcasts it from its
+measured size and the edge side is not moved; a frontier beyond that makes the
+round a shuffle join of both sides, whose hot keys AQE splits.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from spindle.session import cut_lineage
 
 ARROW = " -> "
 CHECKPOINT_EVERY = 4
-MS_BFS_MIN_STARTS = 64
 
 
 class Rounds:
@@ -65,21 +65,22 @@ class Rounds:
 
 
 def as_nodes(spark, starts, node_type: str | None = None) -> DataFrame:
-    """Starts given as DataFrame (column ``node`` or the first column) or a Python list."""
+    """Starts given as DataFrame (column ``node`` or the first column) or a Python list;
+    a null is no node."""
     if isinstance(starts, DataFrame):
         col = "node" if "node" in starts.columns else starts.columns[0]
-        return starts.select(F.col(col).alias("node")).distinct()
-    rows = [(s,) for s in starts]
-    df = spark.createDataFrame(rows, "node string" if node_type is None else f"node {node_type}")
-    return df
+        df = starts.select(F.col(col).alias("node"))
+    else:
+        df = spark.createDataFrame([(s,) for s in starts], "node string" if node_type is None else f"node {node_type}")
+    return df.filter(F.col("node").isNotNull()).distinct()
 
 
 def prepared_edges(edges: DataFrame, collapse: bool = True) -> DataFrame:
-    """Edge table for repeated joins: (src, dst), optionally collapsed, hash-partitioned on src."""
+    """Edge table for repeated joins: (src, dst), optionally collapsed, a hub's edges spread."""
     e = edges.select("src", "dst").filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
     if collapse:
         e = e.distinct()
-    return cut_lineage(e.repartition("src"))
+    return cut_lineage(e if collapse else e.repartition("src", "dst"))  # distinct() has spread them
 
 
 def _union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -117,9 +118,7 @@ def bfs(edges: DataFrame, starts, *, per_start: bool = True, max_level: int | No
     key = ["start", "node"] if per_start else ["node"]
     s = as_nodes(spark, starts, dict(edges.dtypes)["src"])
     if per_start and not (paths or parents or targets is not None):
-        s = cut_lineage(s)
-        if s.count() > MS_BFS_MIN_STARTS:  # below one batch the bitmask saves little
-            return ms_bfs(e, s, max_level=max_level)
+        return ms_bfs(e, cut_lineage(s), max_level=max_level)
     cols = [F.col("node").alias("start")] if per_start else []
     front = s.select(*cols, "node", F.lit(0).alias("level"))
     if parents:
@@ -240,17 +239,21 @@ def _keyed(df: DataFrame, per_start: bool, const: Column | None) -> DataFrame:
     return df.orderBy(*order).withColumn("pkey", F.monotonically_increasing_id())
 
 
-def walk_paths(edges: DataFrame, starts, *, max_levels: int, guard: str = "path", emit: str = "leaf",
+def walk_paths(edges: DataFrame, starts, *, max_levels: int | None = None, guard: str = "path", emit: str = "leaf",
                ends: DataFrame | None = None, collapse: bool = True, emit_truncated: bool = False) -> DataFrame:
     """Path frontier loop. Returns ``(start, path array, levels[, truncated])``.
 
     guard: ``path`` (no node twice in a path), ``above_start`` (only nodes
     greater than the start, closing back on the start = simple cycles in
-    canonical form), or ``none`` (walks; a level cap is then mandatory).
+    canonical form), or ``none`` (walks; endless on a cyclic graph without a bound).
     emit: ``leaf`` -- paths ending in a node without successors (a start that
     is itself a leaf gives a one-node path); ``end`` -- paths reaching a node of
     ``ends`` (not extended past it); ``all`` -- every prefix, start included;
     ``cycle`` -- closed cycles (with ``above_start``).
+
+    Without ``max_levels`` the loop ends when no path can be extended. With it,
+    the paths still open at the bound are returned too, flagged ``truncated``
+    (not with ``all``, where every prefix is a result).
     """
     spark = edges.sparkSession
     e = prepared_edges(edges, collapse=collapse)
@@ -264,6 +267,8 @@ def walk_paths(edges: DataFrame, starts, *, max_levels: int, guard: str = "path"
             e.select(F.col("src").alias("last")), "last", "left_anti")).distinct())
     elif emit == "end":
         sinks = ends.select(F.col(ends.columns[0]).alias("last")).distinct()
+    bounded = max_levels is not None and emit != "all"
+    flagged = emit_truncated or bounded
     out: list[DataFrame] = []
     if emit == "all":
         out.append(front)
@@ -271,7 +276,11 @@ def walk_paths(edges: DataFrame, starts, *, max_levels: int, guard: str = "path"
         out.append(front.join(sinks, "last", "left_semi"))
     level = 0
     rounds = Rounds()
-    while level < max_levels:
+    while True:
+        if max_levels is not None and level >= max_levels:
+            if bounded:
+                out.append(_open(front, e, sinks, emit, guard).withColumn("truncated", F.lit(True)))
+            break
         step = front.join(e, front["last"] == e["src"])
         if guard == "path":
             step = step.filter(~F.array_contains("path", F.col("dst")))
@@ -296,13 +305,23 @@ def walk_paths(edges: DataFrame, starts, *, max_levels: int, guard: str = "path"
         if emit == "end":
             nxt = nxt.join(sinks, "last", "left_anti")
         if rounds.cut_now() and len(out) > 1:
-            out = [cut_lineage(_union_all([_shape(o, emit_truncated) for o in out]))]
+            out = [cut_lineage(_union_all([_shape(o, flagged) for o in out]))]
         front = nxt
-    res = cut_lineage(_union_all([_shape(o, emit_truncated) for o in out]))
+    res = cut_lineage(_union_all([_shape(o, flagged) for o in out]))
     rounds.release()
     return res.withColumn("levels", (F.size("path") - 1).cast("int"))
 
 
+def _open(front: DataFrame, e: DataFrame, sinks: DataFrame | None, emit: str, guard: str) -> DataFrame:
+    """Paths at the bound that an edge would still extend or close."""
+    step = front.join(e, front["last"] == e["src"])
+    if guard == "path":
+        step = step.filter(~F.array_contains("path", F.col("dst")))
+    elif guard == "above_start":
+        step = step.filter((F.col("dst") >= F.col("start")) & (~F.array_contains("path", F.col("dst")) | (F.col("dst") == F.col("start"))))
+    return step.select("start", "path").distinct()
+
+
 def _shape(o: DataFrame, emit_truncated: bool) -> DataFrame:
     if emit_truncated:
         if "truncated" not in o.columns:

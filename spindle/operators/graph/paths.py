@@ -1,11 +1,14 @@
 """Path enumeration, path reports, path counting and path compression.
 
-Path enumeration is exponential by nature; it needs a level cap and should be
-preceded by :func:`path_counts` on acyclic input (counts without enumerating).
+Path enumeration is exponential by nature; :func:`path_counts` tells the number
+of paths on acyclic input without enumerating. No operator has a bound unless
+the caller gives one, and then the open paths come back flagged.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,17 +16,18 @@ from spindle.operators.graph.frontier import ARROW, Rounds, as_nodes, path_text,
 from spindle.session import cut_lineage
 
 
-def leaf_paths(edges: DataFrame, starts, max_levels: int = 1000, emit_truncated: bool = False) -> DataFrame:
+def leaf_paths(edges: DataFrame, starts, max_levels: int | None = None, emit_truncated: bool = False) -> DataFrame:
     """All simple paths from each start to a node without successors.
 
     Paths that stop only because every successor is already on the path are
-    dropped (Q9) unless ``emit_truncated`` (then flagged ``truncated``).
+    dropped (Q9) unless ``emit_truncated`` (then flagged ``truncated``). With
+    ``max_levels`` the paths that are open at the bound are flagged as well.
     """
     return walk_paths(edges, starts, max_levels=max_levels, guard="path", emit="leaf",
                       emit_truncated=emit_truncated)
 
 
-def paths_between(edges: DataFrame, starts, ends, max_levels: int = 1000) -> DataFrame:
+def paths_between(edges: DataFrame, starts, ends, max_levels: int | None = None) -> DataFrame:
     """All simple paths from each start to each end node (a path stops at its end)."""
     spark = edges.sparkSession
     ends_df = as_nodes(spark, ends, dict(edges.dtypes)["src"])
@@ -31,9 +35,9 @@ def paths_between(edges: DataFrame, starts, ends, max_levels: int = 1000) -> Dat
         .filter(F.col("levels") > 0)
 
 
-def prefix_walks(edges: DataFrame, starts, max_levels: int) -> DataFrame:
+def prefix_walks(edges: DataFrame, starts, max_levels: int | None = None) -> DataFrame:
     """Every walk prefix from each start with its depth; duplicate edges kept,
-    no cycle guard, so ``max_levels`` is mandatory (Q10)."""
+    no cycle guard, so a cyclic graph needs ``max_levels`` (Q10)."""
     return walk_paths(edges, starts, max_levels=max_levels, guard="none", emit="all", collapse=False)
 
 
@@ -67,8 +71,9 @@ def path_details(paths: DataFrame, id_col: str, details: DataFrame | None = None
     x = x.withColumn("next", F.lead("node").over(Window.partitionBy(id_col).orderBy("pos")))
     cols = []
     if details is not None:
-        d = details.groupBy("node").agg(*[F.min(c).alias(c) for c in detail_cols])
-        x = x.join(d, "node", "left")
+        # one whole detail row a node: the smallest
+        d = details.groupBy("node").agg(F.min(F.struct(*detail_cols)).alias("__d"))
+        x = x.join(d.select("node", "__d.*"), "node", "left")
         cols += [F.col(c) for c in detail_cols]
     if edge_attrs is not None and attr is not None:
         ea = edge_attrs.groupBy(F.col("src").alias("node"), F.col("dst").alias("next")).agg(F.min(attr).alias(attr))
@@ -81,23 +86,27 @@ def path_details(paths: DataFrame, id_col: str, details: DataFrame | None = None
     for c in detail_cols:
         out.append(F.transform("__lv", field(c)).alias(f"{c}_levels"))
     if edge_attrs is not None and attr is not None:
-        hops = F.filter(F.transform("__lv", lambda s: s[attr].cast("string")), lambda v: v.isNotNull())
+        # hop i belongs to level i: a hop without an attribute keeps its place, empty
+        hops = F.transform(F.slice("__lv", 1, F.size("__lv") - 1), lambda s: F.coalesce(s[attr].cast("string"), F.lit("")))
         out.append(F.array_join(hops, ARROW).alias(f"{attr}_hops"))
     return g.select(*out)
 
 
-def path_counts(edges: DataFrame, starts, max_level: int = 1000) -> DataFrame:
+def path_counts(edges: DataFrame, starts, max_level: int | None = None) -> DataFrame:
     """On an acyclic graph, per start the number of walks and of paths ending
     in a leaf, by level-wise ``sum(count)`` propagation -- no path is built.
 
     Per round: join (start, node, count) with the edges, sum per (start, dst).
     Equals the row counts of :func:`prefix_walks` / :func:`leaf_paths` on a DAG.
+    Counts are ``decimal(38,0)``. A cyclic graph raises ``ValueError`` (its walks
+    have no end), unless ``max_level`` bounds them.
     """
     spark = edges.sparkSession
     e = prepared_edges(edges)
     s = as_nodes(spark, starts, dict(edges.dtypes)["src"])
     has_out = e.select(F.col("src").alias("node")).distinct().withColumn("has_out", F.lit(True))
-    front = cut_lineage(s.select(F.col("node").alias("start"), "node", F.lit(1).cast("long").alias("n")))
+    front = cut_lineage(s.select(F.col("node").alias("start"), "node", F.lit(1).cast("decimal(38,0)").alias("n")))
+    nodes = e.select("src").union(e.select("dst")).distinct().count()
     totals = []
     level = 0
     rounds = Rounds()
@@ -105,10 +114,12 @@ def path_counts(edges: DataFrame, starts, max_level: int = 1000) -> DataFrame:
         totals.append(front.join(has_out, "node", "left").groupBy("start").agg(
             F.sum("n").alias("walks"),
             F.sum(F.when(F.col("has_out").isNull(), F.col("n")).otherwise(F.lit(0))).alias("leaf_paths")))
-        if level >= max_level:
+        if max_level is not None and level >= max_level:
             break
+        if max_level is None and level > nodes:
+            raise ValueError("path_counts: the graph below the starts has a cycle")
         nxt = (front.join(e, front.node == e.src).groupBy("start", F.col("dst").alias("node"))
-                    .agg(F.sum("n").alias("n")))
+                    .agg(F.sum("n").cast("decimal(38,0)").alias("n")))
         nxt, n = rounds.materialise(nxt)
         if n == 0:
             break
@@ -125,8 +136,8 @@ def _sum_totals(totals):
     allt = totals[0]
     for t in totals[1:]:
         allt = allt.unionByName(t)
-    return allt.groupBy("start").agg(F.sum("walks").cast("long").alias("walks"),
-                                     F.sum("leaf_paths").cast("long").alias("leaf_paths"))
+    return allt.groupBy("start").agg(F.sum("walks").cast("decimal(38,0)").alias("walks"),
+                                     F.sum("leaf_paths").cast("decimal(38,0)").alias("leaf_paths"))
 
 
 # Fixed default pattern of a model token: "m" followed by four or more digits.
@@ -142,7 +153,7 @@ def compress_at_models(df: DataFrame, path_col: str, root_col: str | None = None
     model, last model -> last level; without models the whole path, ``1-n``
     (Q18). The top root is written first only when it differs from level 1.
     """
-    lv = F.split(F.col(path_col), "\\" + sep if sep in "|.^$*+?()[]{}\\" else sep)
+    lv = F.split(F.col(path_col), re.escape(sep))
     n = F.size(lv)
     pos = F.filter(F.transform(F.sequence(F.lit(1), n), lambda i: F.when(F.element_at(lv, i).rlike(pattern), i)),
                    lambda x: x.isNotNull())

@@ -3,8 +3,10 @@
 Each binding reads whole tables (only the columns it needs, so the parquet scan
 prunes) and derives the operator input with DataFrame expressions:
 
-* FLOW_DAG / FLOW_CYC -- nation-to-nation trade-flow edges (directed graph)
-* PART               -- consecutive parts within an order (large sparse graph)
+* FLOW               -- nation-to-nation trade-flow counts
+* LINEAGE            -- region > nation > customer > order > order line > part (acyclic)
+* EVENTS             -- transitions of event types per user, between enter and exit (cyclic)
+* PART / PARTB       -- consecutive parts within an order; PARTB adds part > brand
 * B-WEB              -- pages as a file inventory (path, size, synthetic stat)
 * B-EV               -- events as a time series (ts, tag, value)
 * B-EMB              -- embeddings as a vector store
@@ -13,7 +15,7 @@ prunes) and derives the operator input with DataFrame expressions:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -45,12 +47,40 @@ def flow_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("n")))
 
 
-def flow_edges(spark: SparkSession, sf_dir: str, acyclic: bool = True) -> DataFrame:
-    """Top-2 destinations per source nation: FLOW_DAG (src < dst) or FLOW_CYC (src <> dst)."""
-    f = flow_counts(spark, sf_dir)
-    f = f.filter(F.col("src") < F.col("dst")) if acyclic else f.filter(F.col("src") != F.col("dst"))
-    w = Window.partitionBy("src").orderBy(F.col("n").desc(), F.col("dst"))
-    return f.withColumn("rn", F.row_number().over(w)).filter("rn <= 2").select("src", "dst")
+def _node(kind: str, *cols: str):
+    return F.concat(F.lit(kind), F.concat_ws("-", *[F.col(c).cast("string") for c in cols]))
+
+
+def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of five tables as edges: one root-to-leaf path per order line."""
+    def pairs(name, src, dst):
+        t = table(spark, sf_dir, name)
+        return t.select(_node(*src).alias("src"), _node(*dst).alias("dst"))
+
+    line = ("l", "l_orderkey", "l_linenumber")
+    e = (pairs("nation", ("r", "n_regionkey"), ("n", "n_nationkey"))
+         .unionByName(pairs("customer", ("n", "c_nationkey"), ("c", "c_custkey")))
+         .unionByName(pairs("orders", ("c", "o_custkey"), ("o", "o_orderkey")))
+         .unionByName(pairs("lineitem", ("o", "l_orderkey"), line))
+         .unionByName(pairs("lineitem", line, ("p", "l_partkey"))))
+    return e.distinct()
+
+
+def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``enter > first type``, ``type > next type`` and ``last type > exit`` of every user."""
+    from spindle.operators.ordering import lead_pairs
+    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    at = F.struct("ts", "event_id")
+    ends = ev.groupBy("user_id").agg(F.min_by("event_type", at).alias("a"), F.max_by("event_type", at).alias("z"))
+    return (lead_pairs(ev, ["user_id"], ["ts", "event_id"], "event_type").filter(F.col("src") != F.col("dst"))
+            .unionByName(ends.select(F.lit("enter").alias("src"), F.col("a").alias("dst")))
+            .unionByName(ends.select(F.col("z").alias("src"), F.lit("exit").alias("dst"))).distinct())
+
+
+def part_brand_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PART with a leaf per brand, ids as text."""
+    brands = table(spark, sf_dir, "part").select(_node("p", "p_partkey").alias("src"), F.col("p_brand").alias("dst"))
+    return part_edges(spark, sf_dir).select(_node("p", "src").alias("src"), _node("p", "dst").alias("dst")).unionByName(brands)
 
 
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,18 +150,26 @@ FLOW_BASE_SQL = """SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS n
   GROUP BY 1, 2"""
 
 
-def flow_sql(acyclic: bool = True) -> str:
-    cond = "src < dst" if acyclic else "src <> dst"
-    return f"""SELECT src, dst FROM (
-  SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS rn
-  FROM ({FLOW_BASE_SQL}) f WHERE {cond}) x WHERE rn <= 2"""
+LINEAGE_SQL = """SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation
+  UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
+  UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders
+  UNION SELECT 'o' || l_orderkey, 'l' || l_orderkey || '-' || l_linenumber FROM lineitem
+  UNION SELECT 'l' || l_orderkey || '-' || l_linenumber, 'p' || l_partkey FROM lineitem"""
 
+EVENT_SQL = """SELECT DISTINCT src, dst FROM (
+  SELECT event_type AS src, lead(event_type, 1, 'exit') OVER u AS dst FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)
+  UNION ALL
+  SELECT CASE WHEN row_number() OVER u = 1 THEN 'enter' END, event_type FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)
+) x WHERE src IS NOT NULL AND src <> dst"""
 
 PART_SQL = """SELECT DISTINCT src, dst FROM (
   SELECT l_partkey AS src,
          lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst
   FROM lineitem) t WHERE dst IS NOT NULL AND src <> dst"""
 
+PARTB_SQL = f"""SELECT 'p' || src AS src, 'p' || dst AS dst FROM ({PART_SQL}) q
+  UNION SELECT 'p' || p_partkey, p_brand FROM part"""
+
 
 # ---------------------------------------------------------------- time series, vectors
 

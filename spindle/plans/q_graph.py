@@ -1,8 +1,9 @@
-"""Registered lineage-graph queries (G1-G36, J3, W1 on paths) on FLOW and PART.
+"""Registered lineage-graph queries (G1-G36, J3, W1 on paths).
 
-FLOW_DAG / FLOW_CYC come from the whole lineitem-orders-customer-supplier
-join; walks start from *all* roots (never a fixed node). PART starts are the
-parts of size 1 (their count grows with the part table).
+LINEAGE (acyclic) has every row of nation, customer, orders and lineitem as an
+edge, EVENTS (cyclic) every user's transitions of event types, PART the
+neighbouring parts of every order. Walks start from *all* roots (never a fixed
+node); PART starts are the parts of size 1 (they grow with the part table).
 
 Oracles are DuckDB recursive queries: ``USING KEY`` BFS for levels and
 shortest paths, ``UNION ALL`` with an exact list guard for path enumeration.
@@ -23,8 +24,8 @@ from spindle.plans import bindings as b
 from spindle.plans.registry import r4, register
 from spindle.session import cut_lineage
 
-DAG = b.flow_sql(True)
-CYC = b.flow_sql(False)
+DAG = b.LINEAGE_SQL
+CYC = b.EVENT_SQL
 
 
 def roots_sql(e: str) -> str:
@@ -48,9 +49,9 @@ def bfs_sql(e: str, starts: str, per_start: bool = True) -> str:
     if per_start:
         return f"""WITH RECURSIVE e AS ({e}), s AS ({starts}),
 bfs(start, node, level, parent, path) USING KEY (start, node) AS (
-  SELECT node, node, 0, CAST(NULL AS BIGINT), CAST(node AS VARCHAR) FROM s
+  SELECT node, node, 0, CAST(NULL AS VARCHAR), CAST(node AS VARCHAR) FROM s
   UNION
-  SELECT b.start, e.dst, min(b.level) + 1, min(b.node), min(b.path || ' -> ' || CAST(e.dst AS VARCHAR))
+  SELECT b.start, e.dst, min(b.level) + 1, CAST(min(b.node) AS VARCHAR), min(b.path || ' -> ' || CAST(e.dst AS VARCHAR))
   FROM bfs b JOIN e ON b.node = e.src
   WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs v WHERE v.start = b.start AND v.node = e.dst)
   GROUP BY b.start, e.dst)"""
@@ -81,13 +82,17 @@ w(start, last, path) AS (
 
 
 def dag(spark, sf):
-    """FLOW_DAG edges, materialised once: every loop round and the final
-    projections read the checkpoint instead of re-running the lineitem join."""
-    return cut_lineage(b.flow_edges(spark, sf, acyclic=True))
+    """LINEAGE edges, materialised once: every loop round and the final
+    projections read the checkpoint instead of deriving them again."""
+    return cut_lineage(b.lineage_edges(spark, sf))
 
 
 def cyc(spark, sf):
-    return cut_lineage(b.flow_edges(spark, sf, acyclic=False))
+    return cut_lineage(b.event_edges(spark, sf))
+
+
+def nation_names(spark, sf, *more):
+    return b.table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"), "n_name", *more)
 
 
 def part(spark, sf):
@@ -143,12 +148,11 @@ def g3(spark, sf):
 
 
 @register("g4_node_attrs", f"""SELECT n.node AS node, na.n_name AS n_name, r.r_name AS r_name
-FROM ({nodes_sql(DAG)}) n LEFT JOIN nation na ON n.node = na.n_nationkey
+FROM ({nodes_sql(DAG)}) n LEFT JOIN nation na ON n.node = 'n' || na.n_nationkey
 LEFT JOIN region r ON na.n_regionkey = r.r_regionkey""")
 def g4(spark, sf):
-    na = b.table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"), "n_name", "n_regionkey")
     r = b.table(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-    attrs = na.join(r, "n_regionkey", "left").select("node", "n_name", "r_name")
+    attrs = nation_names(spark, sf, "n_regionkey").join(r, "n_regionkey", "left").select("node", "n_name", "r_name")
     return E.with_node_attrs(E.nodes_of(dag(spark, sf)), attrs)
 
 
@@ -176,9 +180,9 @@ def g7(spark, sf):
 
 # ------------------------------------------------------------------ reach
 
-@register("g8_descendants", bfs_sql(CYC, roots_sql(CYC)) + " SELECT start, node, level FROM bfs WHERE level > 0")
+@register("g8_descendants", bfs_sql(DAG, roots_sql(DAG)) + " SELECT start, node, level FROM bfs WHERE level > 0")
 def g8(spark, sf):
-    e = cyc(spark, sf)
+    e = dag(spark, sf)
     return GR.reach(e, E.roots(e), include_start=False)
 
 
@@ -203,9 +207,23 @@ def g10(spark, sf):
     return GR.leaf_descendants(e, E.roots(e))
 
 
-@register("g22_leaf_descendants_cyclic", bfs_sql(CYC, roots_sql(CYC)) +
-          " SELECT start, node FROM bfs WHERE level > 0 AND node NOT IN (SELECT src FROM e)")
+PARTB_STARTS_SQL = "SELECT 'p' || p_partkey AS node FROM part WHERE p_size = 1"
+
+
+def part_brand(spark, sf):
+    e = cut_lineage(b.part_brand_edges(spark, sf))
+    return e, part_starts(spark, sf).select(F.concat(F.lit("p"), F.col("node").cast("string")).alias("node"))
+
+
+@register("g22_leaf_descendants_cyclic", bfs_sql(b.PARTB_SQL, PARTB_STARTS_SQL, per_start=False) +
+          " SELECT node FROM bfs WHERE level > 0 AND node NOT IN (SELECT src FROM e)")
 def g22(spark, sf):
+    return GR.leaf_descendants(*part_brand(spark, sf), per_start=False)
+
+
+@register("g22_event_leaf_descendants", bfs_sql(CYC, roots_sql(CYC)) +
+          " SELECT start, node FROM bfs WHERE level > 0 AND node NOT IN (SELECT src FROM e)")
+def g22e(spark, sf):
     e = cyc(spark, sf)
     return GR.leaf_descendants(e, E.roots(e))
 
@@ -242,34 +260,35 @@ def g12p(spark, sf):
                                                            F.sum("out_degree").cast("long").alias("out_edges"))
 
 
-@register("g13_bfs_tree", bfs_sql(CYC, roots_sql(CYC)) + " SELECT start, CAST(parent AS INTEGER) AS src, node AS dst, level FROM bfs WHERE level > 0")
+@register("g13_bfs_tree", bfs_sql(DAG, roots_sql(DAG)) + " SELECT start, parent AS src, node AS dst, level FROM bfs WHERE level > 0")
 def g13(spark, sf):
-    e = cyc(spark, sf)
+    e = dag(spark, sf)
     return GR.bfs_tree(e, E.roots(e))
 
 
-SKIP_SQL = "SELECT n_nationkey AS node FROM nation WHERE n_regionkey = 2"
+SKIP_SQL = "SELECT 'n' || n_nationkey AS node FROM nation WHERE n_regionkey = 2"
 
 
-@register("g14_undirected_reach_skipping", f"""WITH RECURSIVE e0 AS ({CYC}),
+@register("g14_undirected_reach_skipping", f"""WITH RECURSIVE e0 AS ({DAG}),
 u AS (SELECT src, dst FROM e0 UNION SELECT dst, src FROM e0),
 ig AS ({SKIP_SQL}),
 e AS (SELECT src, dst FROM u WHERE src NOT IN (SELECT node FROM ig) AND dst NOT IN (SELECT node FROM ig)),
-s AS (SELECT node FROM ({roots_sql(CYC)}) r WHERE node NOT IN (SELECT node FROM ig)),
+s AS (SELECT node FROM ({roots_sql(DAG)}) r WHERE node NOT IN (SELECT node FROM ig)),
 r(start, node) AS (SELECT node, node FROM s UNION SELECT r.start, e.dst FROM r JOIN e ON r.node = e.src)
 SELECT start, node FROM r""")
 def g14(spark, sf):
-    e = cyc(spark, sf)
-    ig = b.table(spark, sf, "nation").filter(F.col("n_regionkey") == 2).select(F.col("n_nationkey").alias("node"))
+    e = dag(spark, sf)
+    ig = b.table(spark, sf, "nation").filter(F.col("n_regionkey") == 2) \
+          .select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
     return GR.reach(E.undirected(e), E.roots(e), ignore=ig).select("start", "node")
 
 
-@register("g15_lineage_edges_from_suffix", f"""WITH RECURSIVE e AS ({CYC}),
-first AS (SELECT min(node) AS node FROM ({nodes_sql(CYC)}) n WHERE CAST(node AS VARCHAR) LIKE '%3'),
+@register("g15_lineage_edges_from_suffix", f"""WITH RECURSIVE e AS ({DAG}),
+first AS (SELECT min(node) AS node FROM ({nodes_sql(DAG)}) n WHERE CAST(node AS VARCHAR) LIKE '%3'),
 r(node) AS (SELECT node FROM first WHERE node IS NOT NULL UNION SELECT e.dst FROM r JOIN e ON r.node = e.src)
 SELECT DISTINCT src, dst FROM e WHERE src IN (SELECT node FROM r)""")
 def g15(spark, sf):
-    return GR.lineage_edges(cyc(spark, sf), "3")
+    return GR.lineage_edges(dag(spark, sf), "3")
 
 
 # ------------------------------------------------------------------ paths
@@ -311,12 +330,11 @@ def g18(spark, sf):
     return _leaf_paths_out(GP.paths_between(e, E.roots(e), ends))
 
 
-@register("g19_prefix_walks", walks_sql(DAG, roots_sql(DAG), guard=False, max_levels=10) +
+@register("g19_prefix_walks", walks_sql(DAG, roots_sql(DAG), guard=False) +
           f" SELECT start, {ptext('path')} AS path_text, CAST(len(path) - 1 AS INTEGER) AS depth FROM w")
 def g19(spark, sf):
     e = dag(spark, sf)
-    return GP.prefix_walks(e, E.roots(e), max_levels=10).select("start", path_text("path").alias("path_text"),
-                                                                 F.col("levels").alias("depth"))
+    return GP.prefix_walks(e, E.roots(e)).select("start", path_text("path").alias("path_text"), F.col("levels").alias("depth"))
 
 
 REPORT_LEVELS = 10
@@ -335,18 +353,20 @@ def g20(spark, sf):
 
 @register("g21_path_details", walks_sql(DAG, roots_sql(DAG)) + f""",
 lp AS (SELECT {ptext('path')} AS path_text, path FROM w WHERE last NOT IN (SELECT src FROM e)),
-cnt AS ({b.FLOW_BASE_SQL}),
-x AS (SELECT path_text, i, path[i] AS node, path[i + 1] AS nxt FROM lp, unnest(generate_series(1, len(path))) AS t(i))
+cnt AS (SELECT 'l' || l_orderkey || '-' || l_linenumber AS src, 'p' || l_partkey AS dst, min(CAST(l_quantity AS BIGINT)) AS n
+        FROM lineitem GROUP BY 1, 2),
+x AS (SELECT path_text, i, path[i] AS node, path[i + 1] AS nxt, len(path) AS k FROM lp, unnest(generate_series(1, len(path))) AS t(i))
 SELECT path_text, string_agg(n.n_name, '|' ORDER BY i) AS n_name_levels,
-  coalesce(string_agg(CAST(c.n AS VARCHAR), ' -> ' ORDER BY i) FILTER (WHERE c.n IS NOT NULL), '') AS n_hops
-FROM x LEFT JOIN nation n ON x.node = n.n_nationkey LEFT JOIN cnt c ON x.node = c.src AND x.nxt = c.dst
+  string_agg(coalesce(CAST(c.n AS VARCHAR), ''), ' -> ' ORDER BY i) FILTER (WHERE i < k) AS n_hops
+FROM x LEFT JOIN nation n ON x.node = 'n' || n.n_nationkey LEFT JOIN cnt c ON x.node = c.src AND x.nxt = c.dst
 GROUP BY path_text""")
 def g21(spark, sf):
     e = dag(spark, sf)
     lp = GP.leaf_paths(e, E.roots(e)).select(path_text("path").alias("path_text"), "path")
-    det = b.table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"), "n_name")
-    attrs = b.flow_counts(spark, sf)
-    d = GP.path_details(lp, "path_text", details=det, edge_attrs=attrs, detail_cols=("n_name",), attr="n")
+    li = b.table(spark, sf, "lineitem")
+    attrs = li.select(F.concat(F.lit("l"), F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("src"),
+                      F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), F.col("l_quantity").cast("long").alias("n"))
+    d = GP.path_details(lp, "path_text", details=nation_names(spark, sf), edge_attrs=attrs, detail_cols=("n_name",), attr="n")
     return d.select("path_text", F.array_join("n_name_levels", "|").alias("n_name_levels"), "n_hops")
 
 
@@ -356,8 +376,8 @@ MODEL_NODES = "SELECT dst AS node FROM e GROUP BY dst HAVING count(*) >= 2"
 @register("g33_compress_at_models", walks_sql(DAG, roots_sql(DAG)) + f""",
 lp AS (SELECT {ptext('path')} AS path_id, path FROM w WHERE last NOT IN (SELECT src FROM e)),
 mn AS ({MODEL_NODES}),
-rp AS (SELECT path_id, string_agg(CASE WHEN mn.node IS NOT NULL THEN 'm' || lpad(CAST(x.node AS VARCHAR), 4, '0')
-          ELSE 'n' || CAST(x.node AS VARCHAR) END, '|' ORDER BY i) AS full_lineage
+rp AS (SELECT path_id, string_agg(CASE WHEN mn.node IS NOT NULL THEN 'm' || lpad(regexp_extract(x.node, '([0-9]+)$', 1), CAST(greatest(4, length(regexp_extract(x.node, '([0-9]+)$', 1))) AS INTEGER), '0')
+          ELSE x.node END, '|' ORDER BY i) AS full_lineage
        FROM (SELECT path_id, i, path[i] AS node FROM lp, unnest(generate_series(1, len(path))) AS t(i)) x
        LEFT JOIN mn ON x.node = mn.node GROUP BY path_id),
 lv AS (SELECT path_id, full_lineage, string_split(full_lineage, '|') AS lv FROM rp),
@@ -378,8 +398,8 @@ def g33(spark, sf):
     lp = GP.leaf_paths(e, E.roots(e)).select(path_text("path").alias("path_id"), F.posexplode("path").alias("i", "node"))
     mn = e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("k")).filter("k >= 2") \
           .select("node", F.lit(True).alias("model"))
-    tok = F.when(F.col("model"), F.concat(F.lit("m"), F.lpad(F.col("node").cast("string"), 4, "0"))) \
-           .otherwise(F.concat(F.lit("n"), F.col("node").cast("string")))
+    number = F.regexp_extract("node", "([0-9]+)$", 1)
+    tok = F.when(F.col("model"), F.concat(F.lit("m"), F.regexp_replace(F.format_string("%4s", number), " ", "0"))).otherwise(F.col("node"))
     rp = (lp.join(mn, "node", "left").groupBy("path_id")
             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", tok.alias("t")))), lambda s: s["t"]), "|")
                  .alias("full_lineage")))
@@ -391,7 +411,8 @@ SELECT start, count(*) AS walks, count(*) FILTER (WHERE last NOT IN (SELECT src
 FROM w GROUP BY start""")
 def g34(spark, sf):
     e = dag(spark, sf)
-    return GP.path_counts(e, E.roots(e))
+    c = GP.path_counts(e, E.roots(e))
+    return c.select("start", F.col("walks").cast("long").alias("walks"), F.col("leaf_paths").cast("long").alias("leaf_paths"))
 
 
 # ------------------------------------------------------------------ shortest
@@ -410,17 +431,22 @@ ranked AS (SELECT start, last AS leaf_node, {ptext('path')} AS path, CAST(len(pa
   FROM w WHERE len(path) > 1 AND last NOT IN (SELECT src FROM e))
 SELECT start, leaf_node, path, path_length FROM ranked WHERE rn = 1""")
 def g23e(spark, sf):
-    """The reference's formulation (all simple paths, then row_number per leaf), as the check of g23."""
+    """The reference's formulation: all simple paths, then the first per start and leaf."""
     e = dag(spark, sf)
-    return GS.shortest_paths(e, E.roots(e), max_level=None)
+    p = GP.leaf_paths(e, E.roots(e)).filter("levels > 0").select(
+        "start", F.element_at("path", -1).alias("leaf_node"), path_text("path").alias("path"), F.col("levels").alias("path_length"))
+    first = F.min(F.struct("path_length", "path")).alias("m")
+    return p.groupBy("start", "leaf_node").agg(first).select("start", "leaf_node", "m.path", "m.path_length")
 
 
-@register("g24_shortest_paths_cap39", bfs_sql(DAG, roots_sql(DAG)) +
+@register("g24_shortest_paths_cap", bfs_sql(DAG, f"SELECT node FROM ({nodes_sql(DAG)}) z WHERE node LIKE 'r%' OR node LIKE 'n%'") +
           " SELECT start, node AS leaf_node, path, level AS path_length FROM bfs"
-          " WHERE level > 0 AND level <= 39 AND node NOT IN (SELECT src FROM e)")
+          " WHERE level > 0 AND level <= 4 AND node NOT IN (SELECT src FROM e)")
 def g24(spark, sf):
+    """Starts are regions and nations: with four edges the nations reach parts, the regions do not."""
     e = dag(spark, sf)
-    return GS.shortest_paths(e, E.roots(e), max_level=39)
+    starts = E.nodes_of(e).filter(F.col("node").rlike("^[rn]"))
+    return GS.shortest_paths(e, starts, max_level=4)
 
 
 REV_DAG = f"SELECT dst AS src, src AS dst FROM ({DAG}) r"
@@ -428,16 +454,24 @@ REV_DAG = f"SELECT dst AS src, src AS dst FROM ({DAG}) r"
 
 @register("g25_reverse_shortest_paths", bfs_sql(REV_DAG, leaves_sql(DAG)) +
           " SELECT start, node AS leaf_node, path, level AS path_length FROM bfs"
-          " WHERE level > 0 AND level <= 39 AND node NOT IN (SELECT src FROM e)")
+          " WHERE level > 0 AND node NOT IN (SELECT src FROM e)")
 def g25(spark, sf):
     e = dag(spark, sf)
-    return GS.shortest_paths(e, E.leaves(e), max_level=39, reverse=True)
+    return GS.shortest_paths(e, E.leaves(e), reverse=True)
 
 
-@register("g23_part_shortest_paths", bfs_sql(b.PART_SQL, PART_STARTS_SQL) +
-          " SELECT start, node AS leaf_node, path, level AS path_length FROM bfs WHERE level > 0")
+@register("g23_part_shortest_paths", f"""WITH RECURSIVE e AS ({b.PARTB_SQL}), t AS ({leaves_sql('SELECT * FROM e')}),
+bfs(leaf, node, level, path) USING KEY (leaf, node) AS (
+  SELECT node, node, 0, node FROM t
+  UNION
+  SELECT b.leaf, e.src, min(b.level) + 1, e.src || ' -> ' || min(b.path) FROM bfs b JOIN e ON b.node = e.dst
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs v WHERE v.leaf = b.leaf AND v.node = e.src)
+  GROUP BY b.leaf, e.src)
+SELECT node AS start, leaf AS leaf_node, path, level AS path_length FROM bfs
+WHERE level > 0 AND node IN ({PARTB_STARTS_SQL})""")
 def g23p(spark, sf):
-    return GS.shortest_paths(part(spark, sf), part_starts(spark, sf), max_level=None, to="all")
+    e, starts = part_brand(spark, sf)
+    return GS.shortest_paths_to(e, starts, E.leaves(e))
 
 
 # ------------------------------------------------------------------ cycles
@@ -469,60 +503,59 @@ def g26w(spark, sf):
     return GC.one_cycle(cyc(spark, sf))
 
 
-@register("g28_has_cycle", """SELECT 'flow_dag' AS graph, false AS has_cycle UNION ALL SELECT 'flow_cyc', """
+@register("g28_has_cycle", """SELECT 'lineage' AS graph, false AS has_cycle UNION ALL SELECT 'events', """
           f"""(SELECT count(*) > 0 FROM ({CORE_SQL} SELECT * FROM core) c)""")
 def g28(spark, sf):
-    rows = [("flow_dag", GC.has_cycle(dag(spark, sf))), ("flow_cyc", GC.has_cycle(cyc(spark, sf)))]
+    rows = [("lineage", GC.has_cycle(dag(spark, sf))), ("events", GC.has_cycle(cyc(spark, sf)))]
     return spark.createDataFrame(rows, "graph string, has_cycle boolean")
 
 
-CYCLE_CAP = 25  # FLOW has 25 nodes: no simple cycle is longer, so the cap is exact here
-
-
 @register("g27_simple_cycles", CORE_SQL + f""",
 s AS (SELECT DISTINCT src AS node FROM core),
 w(start, last, path) AS (SELECT node, node, [node] FROM s
   UNION ALL SELECT w.start, c.dst, list_append(w.path, c.dst) FROM w JOIN core c ON w.last = c.src
-  WHERE c.dst > w.start AND NOT list_contains(w.path, c.dst) AND len(w.path) < {CYCLE_CAP})
+  WHERE c.dst > w.start AND NOT list_contains(w.path, c.dst))
 SELECT {ptext('w.path')} || ' -> ' || CAST(w.start AS VARCHAR) AS cycle, CAST(len(w.path) AS INTEGER) AS length
 FROM w JOIN core c ON w.last = c.src AND c.dst = w.start""")
 def g27(spark, sf):
-    return GC.simple_cycles(cyc(spark, sf), max_length=CYCLE_CAP)
+    return GC.simple_cycles(cyc(spark, sf))
 
 
 # ------------------------------------------------------------------ algebra
 
-REGION01 = "SELECT n_nationkey AS node FROM nation WHERE n_regionkey IN (0, 1)"
+REGION01 = "SELECT 'n' || n_nationkey AS node FROM nation WHERE n_regionkey IN (0, 1) UNION ALL SELECT 'c' || c_custkey FROM customer"
 
 
-@register("g29_induced_subgraph", f"""SELECT src, dst FROM ({CYC}) e
+@register("g29_induced_subgraph", f"""SELECT src, dst FROM ({DAG}) e
 WHERE src IN ({REGION01}) AND dst IN ({REGION01})""")
 def g29(spark, sf):
-    nodes = b.table(spark, sf, "nation").filter(F.col("n_regionkey").isin(0, 1)).select(F.col("n_nationkey").alias("node"))
-    return GA.induced(cyc(spark, sf), nodes)
+    n = b.table(spark, sf, "nation").filter(F.col("n_regionkey").isin(0, 1))
+    nodes = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node")).unionByName(
+        b.table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node")))
+    return GA.induced(dag(spark, sf), nodes)
 
 
-@register("g30_induced_reach_subgraph", bfs_sql(CYC, roots_sql(CYC)) + """
+@register("g30_induced_reach_subgraph", bfs_sql(DAG, roots_sql(DAG)) + """
 SELECT a.start AS start, e.src AS src, e.dst AS dst FROM e JOIN bfs a ON e.src = a.node
 JOIN bfs z ON e.dst = z.node AND z.start = a.start""")
 def g30(spark, sf):
-    e = cyc(spark, sf)
+    e = dag(spark, sf)
     r = GR.reach(e, E.roots(e))
     return GA.induced(e, r.select("start", "node"), by=["start"])
 
 
-def _weighted(spark, sf, acyclic, factor):
-    cnt = b.flow_counts(spark, sf)
-    return b.flow_edges(spark, sf, acyclic).join(cnt, ["src", "dst"]).select("src", "dst", (F.col("n") * factor).alias("w"))
-
-
 @register("g31_merge_graphs", f"""WITH c AS ({b.FLOW_BASE_SQL}),
-g1 AS (SELECT d.src, d.dst, c.n AS w FROM ({DAG}) d JOIN c ON d.src = c.src AND d.dst = c.dst),
-g2 AS (SELECT y.src, y.dst, c.n * 2 AS w FROM ({CYC}) y JOIN c ON y.src = c.src AND y.dst = c.dst)
-SELECT coalesce(g1.src, g2.src) AS src, coalesce(g1.dst, g2.dst) AS dst, coalesce(g2.w, g1.w) AS w
+g1 AS (SELECT src, dst, n AS w FROM c WHERE src <= dst),
+g2 AS (SELECT src, dst, CASE WHEN n % 2 = 0 THEN n * 2 END AS w FROM c WHERE src >= dst)
+SELECT coalesce(g1.src, g2.src) AS src, coalesce(g1.dst, g2.dst) AS dst,
+  CASE WHEN g2.src IS NOT NULL THEN g2.w ELSE g1.w END AS w
 FROM g1 FULL JOIN g2 ON g1.src = g2.src AND g1.dst = g2.dst""")
 def g31(spark, sf):
-    return GA.merge_graphs(_weighted(spark, sf, True, 1), _weighted(spark, sf, False, 2), attrs=["w"])
+    """Both orders of all nation pairs; they meet on the diagonal, where the second graph's nulls win, too."""
+    c = cut_lineage(b.flow_counts(spark, sf))
+    g1 = c.filter("src <= dst").select("src", "dst", F.col("n").alias("w"))
+    g2 = c.filter("src >= dst").select("src", "dst", F.when(F.col("n") % 2 == 0, F.col("n") * 2).alias("w"))
+    return GA.merge_graphs(g1, g2, attrs=["w"])
 
 
 @register("g32_disjoint", f"""SELECT count(*) AS shared_nodes, count(*) = 0 AS disjoint FROM (
@@ -534,19 +567,19 @@ def g32(spark, sf):
 
 # ------------------------------------------------------------------ J3 in SQL
 
-@register("j3_recursive_cte_walks", walks_sql(DAG, roots_sql(DAG)) +
+@register("j3_recursive_cte_walks", walks_sql(CYC, roots_sql(CYC)) +
           f" SELECT start, {ptext('path')} AS path_text, CAST(len(path) - 1 AS INTEGER) AS depth FROM w")
 def j3(spark, sf):
     """J3 as Spark SQL ``WITH RECURSIVE`` (UNION ALL cannot deduplicate visited
-    nodes, so this form is for small path problems; the DataFrame loops are
-    the scalable form). Same walks as G19 on the acyclic flow graph."""
-    e = dag(spark, sf)
-    view = f"flow_dag_{abs(hash(sf)) % 10**8}"
+    nodes, and Spark bounds the recursion's levels and rows, so this form is for
+    small path problems: the event graph; the DataFrame loops are the scalable form."""
+    e = cyc(spark, sf)
+    view = f"event_graph_{abs(hash(sf)) % 10**8}"
     e.createOrReplaceTempView(view)
     return spark.sql(f"""
         WITH RECURSIVE w(start, last, path) AS (
-          SELECT src, src, array(src) FROM (SELECT DISTINCT src FROM {view}
-                                            WHERE src NOT IN (SELECT dst FROM {view}))
+          SELECT src, src, array(src) FROM (SELECT DISTINCT src FROM {view} a
+                                            LEFT ANTI JOIN {view} b ON a.src = b.dst)
           UNION ALL
           SELECT w.start, e.dst, array_append(w.path, e.dst) FROM w JOIN {view} e ON w.last = e.src
           WHERE NOT array_contains(w.path, e.dst))

@@ -1,8 +1,8 @@
 """Registered quality / reconciliation / join queries.
 
 The quality frame is a wide "path report" built from whole tables: one row per
-order, ``level_i`` / ``bus_Elem_i`` / ``pde_Elem_i`` / ``trans_i`` from its
-line ``i`` (1..4), null where the order has fewer lines.
+four line numbers of an order, ``level_i`` / ``bus_Elem_i`` / ``pde_Elem_i`` /
+``trans_i`` from the ``i``-th of them, null where the order lacks that line.
 """
 
 from __future__ import annotations
@@ -13,39 +13,38 @@ from spindle.operators import quality as q
 from spindle.plans import bindings as b
 from spindle.plans.registry import r4, register
 
-LEVELS = 4
+WIDTH = 4  # line numbers of a row; every line lands in one
 
 
 def quality_frame(spark, sf):
     li = b.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                                                "l_returnflag", "l_linestatus")
+    slot, block = F.pmod(F.col("l_linenumber") - 1, F.lit(WIDTH)) + 1, F.floor((F.col("l_linenumber") - 1) / WIDTH)
     aggs = []
-    for i in range(1, LEVELS + 1):
-        on = F.col("l_linenumber") == i
+    for i in range(1, WIDTH + 1):
+        on = slot == i
         aggs += [F.min(F.when(on, F.col("l_partkey"))).alias(f"level{i}"),
                  F.min(F.when(on, F.col("l_suppkey"))).alias(f"bus_Elem{i}"),
                  F.max(F.when(on, F.col("l_suppkey"))).alias(f"pde_Elem{i}")]
-    # string max through collect_list + array_max keeps the aggregate hash-based
-    # (a plain max on strings forces a sort-based aggregate over lineitem)
-    aggs += [F.array_max(F.collect_list(F.when(F.col("l_linenumber") == 1, F.col("l_returnflag")))).alias("trans1"),
-             F.array_max(F.collect_list(F.when(F.col("l_linenumber") == 2, F.col("l_linestatus")))).alias("trans2")]
-    return li.groupBy("l_orderkey").agg(*aggs)
+    aggs += [F.max(F.when(slot == 1, F.col("l_returnflag"))).alias("trans1"),
+             F.max(F.when(slot == 2, F.col("l_linestatus"))).alias("trans2")]
+    return li.groupBy("l_orderkey", block.alias("block")).agg(*aggs).drop("block")
 
 
 def _qf_sql() -> str:
-    parts = []
-    for i in range(1, LEVELS + 1):
-        parts += [f"min(CASE WHEN l_linenumber = {i} THEN l_partkey END) AS level{i}",
-                  f"min(CASE WHEN l_linenumber = {i} THEN l_suppkey END) AS bus_Elem{i}",
-                  f"max(CASE WHEN l_linenumber = {i} THEN l_suppkey END) AS pde_Elem{i}"]
-    parts += ["max(CASE WHEN l_linenumber = 1 THEN l_returnflag END) AS trans1",
-              "max(CASE WHEN l_linenumber = 2 THEN l_linestatus END) AS trans2"]
-    return f"SELECT l_orderkey, {', '.join(parts)} FROM lineitem GROUP BY l_orderkey"
+    parts, slot = [], f"((l_linenumber - 1) % {WIDTH} + 1)"
+    for i in range(1, WIDTH + 1):
+        parts += [f"min(CASE WHEN {slot} = {i} THEN l_partkey END) AS level{i}",
+                  f"min(CASE WHEN {slot} = {i} THEN l_suppkey END) AS bus_Elem{i}",
+                  f"max(CASE WHEN {slot} = {i} THEN l_suppkey END) AS pde_Elem{i}"]
+    parts += [f"max(CASE WHEN {slot} = 1 THEN l_returnflag END) AS trans1",
+              f"max(CASE WHEN {slot} = 2 THEN l_linestatus END) AS trans2"]
+    return f"SELECT l_orderkey, {', '.join(parts)} FROM lineitem GROUP BY l_orderkey, (l_linenumber - 1) // {WIDTH}"
 
 
 QF = _qf_sql()
-BUS = [f"bus_Elem{i}" for i in range(1, LEVELS + 1)]
-PDE = [f"pde_Elem{i}" for i in range(1, LEVELS + 1)]
+BUS = [f"bus_Elem{i}" for i in range(1, WIDTH + 1)]
+PDE = [f"pde_Elem{i}" for i in range(1, WIDTH + 1)]
 DOMAIN = ("A", "R")
 R1 = q.Rule("r1_bus_not_null", "not_null", tuple(BUS))
 R3 = q.Rule("r3_trans1_domain", "in_list", ("trans1",), DOMAIN)
@@ -186,8 +185,8 @@ def u1(spark, sf):
     return c.unionByName(s)
 
 
-@register("d8_drop_null_rows", f"SELECT * FROM ({QF}) qf WHERE {' AND '.join(f'level{i} IS NOT NULL' for i in range(1, LEVELS + 1))} "
-          f"AND {' AND '.join(f'bus_Elem{i} IS NOT NULL AND pde_Elem{i} IS NOT NULL' for i in range(1, LEVELS + 1))} "
+@register("d8_drop_null_rows", f"SELECT * FROM ({QF}) qf WHERE {' AND '.join(f'level{i} IS NOT NULL' for i in range(1, WIDTH + 1))} "
+          f"AND {' AND '.join(f'bus_Elem{i} IS NOT NULL AND pde_Elem{i} IS NOT NULL' for i in range(1, WIDTH + 1))} "
           "AND trans1 IS NOT NULL AND trans2 IS NOT NULL")
 def d8(spark, sf):
     return quality_frame(spark, sf).na.drop()

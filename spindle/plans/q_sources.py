@@ -18,6 +18,7 @@ from spindle.operators.timeseries import downsample, shard_bucket
 from spindle.plans import bindings as b
 from spindle.plans.q_graph import DAG, roots_sql, walks_sql
 from spindle.plans.registry import r4, register, ts_text
+from spindle.session import cut_lineage
 from spindle.sources import files as IO
 from spindle.sources import line_protocol as LP
 from spindle.sources import stat_records as ST
@@ -80,6 +81,40 @@ def s1r(spark, sf):
     return p.agg(F.sum(F.col("ok").cast("long")).alias("accepted"), F.sum((~F.col("ok")).cast("long")).alias("rejected"))
 
 
+def _variant(spark, sf):
+    """Rendered lines, four of five spoilt: a repeated key, a control character, an
+    oversized number, and text that only looks like the reader's separator."""
+    f = b.web_files(spark, sf)
+    bad = F.pmod("file_id", F.lit(5))
+    head = F.concat(F.lit("m,type=a,type=t"), F.col("file_id").cast("string"))
+    line = (F.when(bad == 0, F.concat(F.lit("m,type=t"), F.col("file_id").cast("string"), F.lit(" size=1i 7")))
+             .when(bad == 1, F.concat(head, F.lit(" size=1i,size=2i 7")))
+             .when(bad == 2, F.concat(head, F.lit("\u0001 size=1i 7")))
+             .when(bad == 3, F.concat(head, F.lit(" size=1i 99999999999999999999")))
+             .otherwise(F.concat(F.lit("nope\u0001b="), F.col("file_id").cast("string"), F.lit("\u0001"))))
+    return f.select("file_id", line.alias("value"))
+
+
+@register("s1_dirty_lines", f"""SELECT file_id, file_id % 5 < 3 AS ok, CASE WHEN file_id % 5 < 2 THEN 't' || file_id
+  WHEN file_id % 5 = 2 THEN 't' || file_id || chr(1) END AS type,
+  CASE WHEN file_id % 5 IN (0, 2) THEN 1 WHEN file_id % 5 = 1 THEN 2 END::BIGINT AS size FROM ({W}) w""")
+def s1d(spark, sf):
+    p = LP.parse_lines(_variant(spark, sf))
+    good = lambda c: F.when(F.col("ok"), c)
+    return p.select("file_id", "ok", good(F.col("tags")["type"]).alias("type"), good(LP.field_value("fields", "size", "long")).alias("size"))
+
+
+@register("s3_dirty_records", f"""SELECT count_if(file_id % 3 = 0)::BIGINT AS accepted, count_if(file_id % 3 > 0)::BIGINT AS rejected FROM ({W}) w""")
+def s3d(spark, sf):
+    f = b.web_files(spark, sf).withColumn("mode", P.band("mode", 511))
+    good = ST.render_colon(f.filter("file_id % 3 = 0"))
+    bad = f.filter("file_id % 3 > 0").select(F.when(F.col("file_id") % 3 == 1, F.lit("99999999999999999999:p:644:u:g:1:1:file"))
+                                              .otherwise(F.lit("1:p\u0001:644:u")).alias("value"))
+    files, rejects = ST.read_stat_records(good.unionByName(bad))
+    both = files.select(F.lit(1).alias("a"), F.lit(0).alias("r")).unionByName(rejects.select(F.lit(0).alias("a"), F.lit(1).alias("r")))
+    return both.agg(F.sum("a").alias("accepted"), F.sum("r").alias("rejected"))
+
+
 STAT_ORACLE = f"""SELECT size, path, mode & 511 AS mode, "user", "group", mtime, atime, type FROM ({W}) w"""
 
 
@@ -106,34 +141,31 @@ def s3s(spark, sf):
     return files.select("size", "path", "mode_symbolic", "user", "group", "mtime", "atime")
 
 
-CSV_LEVELS = 10
+CSV_LEVELS = 5  # one fewer than a lineage path has nodes, so the overflow column is used
 
 
-@register("s4_s5_csv_round_trip", walks_sql(DAG, roots_sql(DAG)) + f""" SELECT CAST(start AS INTEGER) AS start,
-  CAST(len(path) - 1 AS INTEGER) AS levels, {', '.join(f'CAST(path[{i + 1}] AS VARCHAR) AS level_{i + 1}' for i in range(CSV_LEVELS))},
+@register("s4_s5_csv_round_trip", walks_sql(DAG, roots_sql(DAG)) + f""" SELECT start, CAST(len(path) - 1 AS INTEGER) AS levels,
+  array_to_string(path, '|') AS path, {', '.join(f'CAST(path[{i + 1}] AS VARCHAR) AS level_{i + 1}' for i in range(CSV_LEVELS))},
   len(path) > {CSV_LEVELS} AS overflow FROM w WHERE last NOT IN (SELECT src FROM e)""")
 def s4s5(spark, sf):
-    e = b.flow_edges(spark, sf, True)
+    e = cut_lineage(b.lineage_edges(spark, sf))
     lp = GP.leaf_paths(e, E.roots(e)).select("start", "levels", "path")
     out = IO.scratch_dir(spark, "csv")
     IO.write_csv(lp, out, max_levels=CSV_LEVELS)
-    schema = "start int, levels int, " + ", ".join(f"level_{i + 1} string" for i in range(CSV_LEVELS)) + ", overflow boolean"
+    schema = "start string, levels int, path string, " + ", ".join(f"level_{i + 1} string" for i in range(CSV_LEVELS)) + ", overflow boolean"
     return IO.read_delimited(spark, out, schema)
 
 
-@register("s6_graph_json_round_trip", f"""SELECT src, dst FROM ({DAG}) e""")
+@register("s6_graph_json_round_trip", f"""WITH e AS ({DAG}) SELECT 'edge' AS kind, src AS a, dst AS b FROM e
+UNION ALL SELECT 'node', node, CASE WHEN node NOT IN (SELECT dst FROM e) THEN 'Start' WHEN node NOT IN (SELECT src FROM e) THEN 'End'
+  ELSE 'Intermediate' END FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) n""")
 def s6(spark, sf):
-    e = b.flow_edges(spark, sf, True)
+    e = cut_lineage(b.lineage_edges(spark, sf))
     out = IO.scratch_dir(spark, "graph")
     IO.write_graph_json(E.node_profile(e), e, out)
-    _, edges = IO.read_graph_json(spark, out, "node int, position string", "src int, dst int")
-    return edges
-
-
-@register("s8_list_files")
-def s8(spark, sf):
-    files = IO.list_files(spark, sf, "*.parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size")
+    nodes, edges = IO.read_graph_json(spark, out, "node string, position string", "src string, dst string")
+    return edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(
+        nodes.select(F.lit("node").alias("kind"), F.col("node").alias("a"), F.col("position").alias("b")))
 
 
 @register("s10_preview", """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type FROM events

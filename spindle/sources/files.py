@@ -1,4 +1,4 @@
-"""File sources and sinks.
+"""File sources and sinks.
 
 Writes are ordinary partitioned DataFrame writes: every task writes its own
 part files, so no result ever sits whole in one task or on the driver (the
@@ -31,12 +31,14 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType | str, sep
 
 def write_csv(df: DataFrame, path: str, max_levels: int | None = None, level_col: str = "path",
               mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
-    """CSV sink. With ``max_levels``, an array column becomes ``level_1..n``
-    text columns plus an ``overflow`` flag (Q19), arrays being unrepresentable in CSV."""
+    """CSV sink. With ``max_levels``, an array column becomes its whole text
+    (levels joined by ``|``), ``level_1..n`` text columns and an ``overflow``
+    flag (Q19), arrays being unrepresentable in CSV."""
     out = df
     if max_levels is not None:
         p = F.col(level_col)
         out = out.select(*[c for c in df.columns if c != level_col],
+                         F.array_join(F.transform(p, lambda x: x.cast("string")), "|").alias(level_col),
                          *[F.get(p, i).cast("string").alias(f"level_{i + 1}") for i in range(max_levels)],
                          (F.size(p) > max_levels).alias("overflow"))
     w = out.write.mode(mode).option("header", True)
@@ -56,14 +58,6 @@ def read_graph_json(spark: SparkSession, path: str, node_schema: str, edge_schem
     return spark.read.schema(node_schema).json(f"{path}/nodes"), spark.read.schema(edge_schema).json(f"{path}/edges")
 
 
-def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Recursive listing ``(path, mtime, size)`` without reading contents."""
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    return r.load(root).select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
-
-
 def preview(df: DataFrame, n: int = 10) -> DataFrame:
     """The first ``n`` rows (``LIMIT n``)."""
     return df.limit(n)
@@ -78,14 +72,33 @@ def write_rollup(df: DataFrame, target: str, bucket_col: str, mode: str = "overw
     """``SELECT ... INTO target`` -- parquet partitioned by the time bucket,
     so retention drops partitions and time filters prune them. Dynamic
     partition overwrite replaces only the buckets present in ``df``."""
+    # one task a bucket (large buckets are split): not tasks x buckets small files
+    df = df.hint("rebalance", bucket_col)
     (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
        .partitionBy(bucket_col).parquet(target))
 
 
-def drop_expired(spark: SparkSession, target: str, bucket_col: str, keep_from: str) -> DataFrame:
+def drop_expired(spark: SparkSession, target: str, bucket_col: str, keep_from: str, delete: bool = False) -> DataFrame:
     """T5 storage form: the rollup without buckets older than ``keep_from``
-    (a partition filter -- pruned at the scan, nothing else is read)."""
-    return spark.read.parquet(target).filter(F.col(bucket_col) >= F.lit(keep_from))
+    (a partition filter -- pruned at the scan, nothing else is read).
+
+    With ``delete`` the expired partitions' folders are removed as well; give
+    that only for a target this library's :func:`write_rollup` has written.
+    """
+    kept = spark.read.parquet(target).filter(F.col(bucket_col) >= F.lit(keep_from))
+    if not delete:
+        return kept
+    root = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    # folders of a partitioned table, one a bucket
+    old = (spark.read.parquet(target).filter(F.col(bucket_col) < F.lit(keep_from))
+                .select(F.regexp_replace(F.input_file_name(), "/[^/]*$", "").alias("folder")).distinct())
+    for r in old.toLocalIterator():
+        path = spark._jvm.org.apache.hadoop.fs.Path(r["folder"])
+        if not path.getName().startswith(f"{bucket_col}="):
+            raise ValueError(f"not a {bucket_col} partition: {r['folder']}")
+        fs.delete(path, True)
+    return spark.read.parquet(target)
 
 
 def append_vectors(df: DataFrame, path: str) -> None:
@@ -123,8 +136,15 @@ def error_class(msg: str | Column) -> Column:
 def for_each_route(routes: Mapping[str, Column], sinks: Mapping[str, Callable[[DataFrame], None]],
                    default: str = "other") -> Callable[[DataFrame, int], None]:
     """S13 streaming form: a ``foreachBatch`` function writing each route to its sink."""
+    if lost := {*routes, default} - set(sinks):
+        raise ValueError(f"routes without a sink lose rows: {sorted(lost)}")
+
     def run(batch: DataFrame, epoch: int) -> None:
-        parts = route(batch, routes, default)
-        for name, sink in sinks.items():
-            sink(parts[name])
+        batch = batch.persist()  # read once, not once per sink
+        try:
+            parts = route(batch, routes, default)
+            for name, sink in sinks.items():
+                sink(parts[name])
+        finally:
+            batch.unpersist()
     return run

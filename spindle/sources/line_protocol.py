@@ -34,8 +34,19 @@ _SEP = "\u0001"  # part separator of the one-pass split (a control character, ne
 
 
 def _unescape(v: Column) -> Column:
-    """Undo ``\\x`` escapes (the regex only runs on values holding a backslash)."""
-    return F.when(v.contains("\\"), F.regexp_replace(v, r"\\(.)", "$1")).otherwise(v)
+    """Undo ``\\x`` escapes, line ends included (the regex only runs on values holding a backslash)."""
+    lines = v
+    for letter, char in (("n", "\n"), ("r", "\r")):  # an escape if an even number of backslashes stands before it
+        lines = F.regexp_replace(lines, rf"(?<!\\)((?:\\\\)*)\\{letter}", f"$1{char}")
+    return F.when(v.contains("\\"), F.regexp_replace(lines, r"\\(.)", "$1")).otherwise(v)
+
+
+def _last_of_key(items: str, key) -> Column:
+    """Of ``key=value`` items that repeat a key, the last."""
+    def stays(kv, i):
+        later = F.slice(items, i + 2, F.size(items))
+        return ~F.exists(later, lambda x: key(x) == key(kv))
+    return F.filter(items, stays)
 
 
 def _unquote(v: Column) -> Column:
@@ -60,13 +71,18 @@ def parse_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """Adds ``measurement``, ``tags`` (map), ``fields`` (map of raw text), ``ts_ns`` and ``ok``.
 
     One regex pass splits a line into head / fields / timestamp (a
-    ``regexp_replace`` writing the three groups with a separator), one pass
-    finds the measurement, one pass lists the tag items and one the fields.
+    ``regexp_replace`` writing the three groups with a separator; a line that
+    holds the separator itself is matched group by group), one pass finds the
+    measurement, one pass lists the tag items and one the fields. Of a repeated
+    tag or field key the last value counts. A line that does not match, has no
+    field or a timestamp beyond 64 bits is not ``ok``; no line ends the job.
     """
     v = F.col(col)
-    parts = F.split(F.regexp_replace(v, LINE_PATTERN_JVM, f"$1{_SEP}$2{_SEP}$3"), _SEP)
+    groups = F.array(*[F.regexp_extract(v, LINE_PATTERN_JVM, i) for i in (1, 2, 3)])
+    parts = (F.when(~v.contains(_SEP), F.split(F.regexp_replace(v, LINE_PATTERN_JVM, f"$1{_SEP}$2{_SEP}$3"), _SEP))
+              .when(v.rlike(LINE_PATTERN_JVM), groups))
     out = _once(lines, [*[F.col(c) for c in lines.columns], parts.alias("__p")])
-    matched = F.size("__p") == 3
+    matched = F.coalesce(F.size("__p") == 3, F.lit(False))
     head = F.when(matched, F.col("__p")[0]).otherwise(F.lit(""))
     out = out.select(*lines.columns, head.alias("__head"),
                      F.when(matched, F.col("__p")[1]).alias("__fields"),
@@ -83,14 +99,17 @@ def parse_lines(lines: DataFrame, col: str = "value") -> DataFrame:
 
     def val(kv):
         return F.substring(kv, F.length(key(kv)) + 2, 1 << 30)
+    out = _once(out, [*[F.col(c) for c in lines.columns], F.col("__head"), F.col("__ts"), F.col("__meas"),
+                      _last_of_key("__tags", lambda kv: _unescape(key(kv))).alias("__tags"), _last_of_key("__f", key).alias("__f")])
+    ts = F.col("__ts").try_cast("long")
     return out.select(
         *lines.columns,
-        ((F.col("__head") != "") & (F.size("__f") > 0)).alias("ok"),
+        ((F.col("__head") != "") & (F.size("__f") > 0) & ((F.col("__ts") == "") | ts.isNotNull())).alias("ok"),
         _unescape(F.col("__meas")).alias("measurement"),
         F.map_from_arrays(F.transform("__tags", lambda kv: _unescape(key(kv))),
                           F.transform("__tags", lambda kv: _unquote(val(kv)))).alias("tags"),
         F.map_from_arrays(F.transform("__f", key), F.transform("__f", val)).alias("fields"),
-        F.when(F.col("__ts") != "", F.col("__ts").cast("long")).alias("ts_ns"),
+        ts.alias("ts_ns"),
     )
 
 
@@ -103,13 +122,13 @@ def read_line_protocol(lines: DataFrame, col: str = "value") -> tuple[DataFrame,
 
 
 def field_value(fields: str | Column, key: str, kind: str = "string") -> Column:
-    """Typed view of one raw field: ``long`` (``123i``), ``double``, ``string`` (unquoted), ``boolean``."""
+    """Typed view of one raw field (null where it does not fit): ``long`` (``123i``), ``double``, ``string`` (unquoted), ``boolean``."""
     f = F.col(fields) if isinstance(fields, str) else fields
     raw = f.getItem(key)
     if kind == "long":
-        return F.regexp_replace(raw, "i$", "").cast("long")
+        return F.regexp_replace(raw, "i$", "").try_cast("long")
     if kind == "double":
-        return F.regexp_replace(raw, "i$", "").cast("double")
+        return F.regexp_replace(raw, "i$", "").try_cast("double")
     if kind == "boolean":
         return F.lower(raw).isin("t", "true")
     return _unquote(raw)
@@ -121,12 +140,16 @@ def escape_tag(c: Column) -> Column:
     out = F.regexp_replace(c.cast("string"), r"\\", r"\\\\")
     for ch in ('"', ",", "=", " "):
         out = F.regexp_replace(out, ch, "\\\\" + ch)
-    return out
+    return _line_ends(out)
+
+
+def _line_ends(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
 
 
 def escape_field_string(c: Column) -> Column:
-    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c.cast("string"), r"\\", r"\\\\"), '"', '\\\\"'),
-                    F.lit('"'))
+    text = F.regexp_replace(F.regexp_replace(c.cast("string"), r"\\", r"\\\\"), '"', '\\\\"')
+    return F.concat(F.lit('"'), _line_ends(text), F.lit('"'))
 
 
 def to_line_protocol(df: DataFrame, measurement: str, tags: Sequence[str] | Mapping[str, str],
@@ -134,7 +157,9 @@ def to_line_protocol(df: DataFrame, measurement: str, tags: Sequence[str] | Mapp
     """One ``value`` text line per row.
 
     ``tags``: columns (or name -> column); ``fields``: name -> column; integer
-    fields get the ``i`` suffix, strings are quoted. Null tags/fields are left out.
+    fields get the ``i`` suffix, strings are quoted, line ends escaped. Null
+    tags/fields are left out; a row of nothing but null fields has no line
+    (:func:`without_fields` gives these rows).
     ``keep``: columns carried next to the line.
     """
     tag_map = dict(tags) if isinstance(tags, Mapping) else {t: t for t in tags}
@@ -156,7 +181,12 @@ def to_line_protocol(df: DataFrame, measurement: str, tags: Sequence[str] | Mapp
     head = F.concat_ws(",", F.lit(escape_key(measurement)), *tag_parts)
     line = F.concat_ws(" ", head, F.concat_ws(",", *field_parts),
                        *([F.col(ts_col).cast("string")] if ts_col else []))
-    return df.select(*keep, line.alias("value"))
+    return df.filter(F.coalesce(*[F.col(c).cast("string") for c in fields.values()]).isNotNull()).select(*keep, line.alias("value"))
+
+
+def without_fields(df: DataFrame, fields: Mapping[str, str]) -> DataFrame:
+    """The rows that :func:`to_line_protocol` cannot write: every field is null."""
+    return df.filter(F.coalesce(*[F.col(c).cast("string") for c in fields.values()]).isNull())
 
 
 def escape_key(k: str) -> str:

@@ -23,7 +23,7 @@ def read_stat_records(lines: DataFrame, fmt: str = "colon", col: str = "value")
     """S3: text lines -> (files, rejects).
 
     One regex pass per line: the groups are written out with a separator
-    and split, behind a projection barrier so the match is not repeated for
+    and split (a line that holds the separator is matched group by group), behind a projection barrier so the match is not repeated for
     every field.
     """
     v = F.col(col)
@@ -34,21 +34,25 @@ def read_stat_records(lines: DataFrame, fmt: str = "colon", col: str = "value")
     else:
         raise ValueError(fmt)
     template = SEP.join(f"${i}" for i in range(1, n + 1))
-    parts = F.split(F.regexp_replace(v, pat, template), SEP)
+    groups = F.array(*[F.regexp_extract(v, pat, i) for i in range(1, n + 1)])
+    parts = F.when(~v.contains(SEP), F.split(F.regexp_replace(v, pat, template), SEP)).when(v.rlike(pat), groups)
     split = lines.select(F.inline(F.array(F.struct(v.alias("__line"), parts.alias("__p")))))
-    ok = F.size("__p") == n  # a path holding the separator control character goes to the rejects
+    g = [F.get("__p", F.lit(i)) for i in range(n)]
+    numbers = (g[0], g[5], g[6]) if fmt == "colon" else (g[0],)  # beyond 64 bits: to the rejects
+    ok = F.coalesce(F.size("__p") == n, F.lit(False))
+    for x in numbers:
+        ok = ok & x.try_cast("long").isNotNull()
     good = split.filter(ok)
-    g = [F.col("__p")[i] for i in range(n)]
     if fmt == "colon":
         files = good.select(
-            g[0].cast("long").alias("size"), g[1].alias("path"),
+            g[0].try_cast("long").alias("size"), g[1].alias("path"),
             F.conv(g[2], 8, 10).cast("int").alias("mode"), g[3].alias("user"), g[4].alias("group"),
-            g[5].cast("long").alias("mtime"), g[6].cast("long").alias("atime"), g[7].alias("type"))
+            g[5].try_cast("long").alias("mtime"), g[6].try_cast("long").alias("atime"), g[7].alias("type"))
     else:
         def stamp(c):
             return F.unix_timestamp(F.regexp_replace(c, r"\.\d+", ""), "yyyy-MM-dd HH:mm:ss Z")
         files = good.select(
-            g[0].cast("long").alias("size"), g[1].alias("path"), g[2].alias("mode_symbolic"),
+            g[0].try_cast("long").alias("size"), g[1].alias("path"), g[2].alias("mode_symbolic"),
             g[3].alias("user"), g[4].alias("group"), stamp(g[5]).alias("mtime"), stamp(g[6]).alias("atime"))
     return files, split.filter(~ok).select(F.col("__line").alias("value"))
 

@@ -10,69 +10,57 @@ from spindle.operators import retrieval as R
 from spindle.plans import bindings as b
 
 
-def dqc_frame(spark):
-    rows = [
-        ("1 -> 2 -> 3 -> 4", 3, 1, "3", "1", "2", "3", "4", "BE1", "BE2", "BE3", "BE4", "PE1", "PE2", "PE3", "PE4",
-         "T1 -> U1", "T2 -> U2"),
-        ("4 -> 5 -> 6", 2, 4, "6", "4", "5", "6", None, "BE4", "BE5", "BE6", None, "PE4", "PE5", "PE6", None,
-         "T4 -> U4", None),
-        ("1 -> 2 -> 5 -> 6", 3, 1, "6", "1", "2", "5", None, "BE1", "BE2", "BE5", None, "PE1", "PE2", "PE5", None,
-         None, None),
-        ("4 -> 5 -> 8", 2, 4, "8", "4", "5", "8", None, "BE4", "BE5", "BE8", None, "PE4", "PE5", "PE8", None,
-         "T7 -> U7", "T8 -> U8"),
-    ]
-    cols = ("path string, levels int, start int, end string, level1 string, level2 string, level3 string, "
-            "level4 string, bus_Elem1 string, bus_Elem2 string, bus_Elem3 string, bus_Elem4 string, pde_Elem1 string, "
-            "pde_Elem2 string, pde_Elem3 string, pde_Elem4 string, trans1 string, trans2 string")
-    return spark.createDataFrame(rows, cols)
-
-
-def test_rules_on_reference_frame(spark):
-    df = dqc_frame(spark)
-    bus = q.family(df, "bus_Elem")
-    rules = [q.Rule("r1", "not_null", bus), q.Rule("r3", "in_list", ("end",), ("A", "B", "C")),
-             q.Rule("r4", "pair_match", bus, other=tuple(c.replace("bus_Elem", "pde_Elem") for c in bus)),
-             q.Rule("r5", "cond_not_null", ("level4",),
-                    when=(F.col("level1") == "A") & ((F.col("level2") == "B") | (F.col("level3") == "B")))]
+def ticket_frame(spark):
+    """Six rows; row i lacks step j where (i + j) is a multiple of 3, owners equal steps in even rows."""
+    rows = []
+    for i in range(6):
+        steps = [None if (i + j) % 3 == 0 else f"s{j}" for j in range(1, 4)]
+        owners = steps if i % 2 == 0 else ["boss"] * 3
+        rows.append((i, "open" if i < 4 else "shut", *steps, *owners, None if i == 5 else "note"))
+    return spark.createDataFrame(rows, "id int, state string, step1 string, step2 string, step3 string, "
+                                       "owner1 string, owner2 string, owner3 string, memo1 string")
+
+
+def test_rules_on_own_frame(spark):
+    df = ticket_frame(spark)
+    steps = q.family(df, "step")
+    rules = [q.Rule("filled", "not_null", steps), q.Rule("state", "in_list", ("state",), ("open", "held")),
+             q.Rule("pair", "pair_match", steps, other=tuple(c.replace("step", "owner") for c in steps)),
+             q.Rule("when", "cond_not_null", ("step2",), when=(F.col("state") == "open") & (F.col("owner1") == "boss"))]
     got = {r["rule"]: (r["pass_count"], r["fail_count"]) for r in q.check(df, rules).collect()}
-    assert got == {"r1": (13, 3), "r3": (0, 4), "r4": (0, 16), "r5": (0, 0)}
-    filled = q.fill_missing(df, "trans")
-    assert filled.filter(F.col("trans1") == "Not Applicable").count() + \
-        filled.filter(F.col("trans2") == "Not Applicable").count() == 3
-    assert df.na.drop().count() == 1
+    # each row lacks one step; even rows match their two present steps; rows 1 and 3 meet the condition, row 1 lacks step2
+    assert got == {"filled": (12, 6), "state": (4, 2), "pair": (6, 12), "when": (1, 1)}
+    assert q.fill_missing(df, "memo").filter(F.col("memo1") == "Not Applicable").count() == 1
+    assert df.na.drop().count() == 0 and df.select("id", "state", "memo1").na.drop().count() == 5
 
 
 def test_first_match_and_reconcile(spark):
-    df = spark.createDataFrame([("A", "E", "I"), ("B", "F", "J"), ("C", "G", "K"), ("D", "H", "L")],
-                               "src1 string, src2 string, tgt string")
-    vals = spark.createDataFrame([("B",), ("G",), ("X",), ("H",)], "v string")
-    flags = [r["match_src"] for r in q.first_match(df, ["src1", "src2"], vals).orderBy("src1").collect()]
-    assert flags == [None, "src1", "src2", "src2"]
-    lit = [r["match_src"] for r in q.first_match(df, ["src1", "src2"], ["B", "G", "X", "H"]).orderBy("src1").collect()]
-    assert lit == flags
-    _, summary = q.reconcile(df, ["src1", "src2"], vals)
+    df = spark.createDataFrame([(1, "red", "oak"), (2, "blue", "elm"), (3, "lime", "oak"), (4, "grey", "fir")], "id int, hue string, wood string")
+    wanted = ["blue", "oak", "teal", "red"]
+    vals = spark.createDataFrame([(v,) for v in wanted], "v string")
+    flags = [r["match_src"] for r in q.first_match(df, ["hue", "wood"], vals).orderBy("id").collect()]
+    assert flags == ["hue", "hue", "wood", None]
+    assert flags == [r["match_src"] for r in q.first_match(df, ["hue", "wood"], wanted).orderBy("id").collect()]
+    _, summary = q.reconcile(df, ["hue", "wood"], vals)
     got = {r["metric"]: r["n"] for r in summary.collect()}
-    assert got == {"matches_src1": 1, "matches_src2": 2, "matched_inputs": 3, "unmatched_inputs": 1}
+    assert got == {"matches_hue": 2, "matches_wood": 1, "matched_inputs": 3, "unmatched_inputs": 1}
 
 
 def test_element_metadata_flags(spark):
-    rows = [("A", "A1", 10, "F", "F1", 60), ("B", "B1", 20, "G", "G1", 70), ("C", "C1", 30, "H", "H1", 80),
-            ("D", "D1", 40, "A", "A2", 90), ("E", "E1", 50, "B", "B2", 100)]
-    st = spark.createDataFrame(rows, "src string, srcAit string, srcCol1 int, tgt string, tgtAit string, tgtCol1 int")
-    meta = q.element_metadata(st, [{"src": "elem", "srcAit": "elemAit", "srcCol1": "srcCol"},
-                                   {"tgt": "elem", "tgtAit": "elemAit", "tgtCol1": "srcCol"}])
-    flagged = q.flag_member(meta, "elem", ["A", "B", "C"])
-    assert flagged.count() == 10 and flagged.filter(F.col("matched_or_not") == "Yes").count() == 5
+    st = spark.createDataFrame([(f"in{i}", i, f"out{i}", 10 * i) for i in range(4)], "a string, na int, z string, nz int")
+    meta = q.element_metadata(st, [{"a": "elem", "na": "size"}, {"z": "elem", "nz": "size"}])
+    flagged = q.flag_member(meta, "elem", ["in1", "out3", "out9"])
+    assert flagged.count() == 8 and sorted(r["elem"] for r in flagged.filter(F.col("matched_or_not") == "Yes").collect()) == ["in1", "out3"]
 
 
 def test_mask_round_trip(spark):
     import hashlib
-    df = spark.createDataFrame([("Hello, Secure World!",)], "s string")
+    df = spark.createDataFrame([("Grüße an alle: 42 %",)], "s string")
     r = q.mask(q.mask(df, {"s": "sha256"}), {"s": "sha512"})
     r = q.mask(r, {"s": "base64"}).withColumn("back", q.unmask_base64("s_b64")).collect()[0]
-    assert r["s_sha256"] == hashlib.sha256(b"Hello, Secure World!").hexdigest()
-    assert r["s_sha512"] == hashlib.sha512(b"Hello, Secure World!").hexdigest()
-    assert r["back"] == "Hello, Secure World!"
+    assert r["s_sha256"] == hashlib.sha256("Grüße an alle: 42 %".encode()).hexdigest()
+    assert r["s_sha512"] == hashlib.sha512("Grüße an alle: 42 %".encode()).hexdigest()
+    assert r["back"] == "Grüße an alle: 42 %"
 
 
 def test_knn_matches_brute_force(spark):
