@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 
 def split(df: DataFrame, id_col: str, train_fraction: float = 0.7, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """M1: deterministic split on ``xxhash64(seed, id)`` -- the same rows on every run
-    and every cluster size."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1000))
+    """M1: deterministic split on ``md5(seed:id)`` -- the same rows on every run, every
+    cluster size and every engine that has md5."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"))
+    bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(1000))
     cut = int(round(train_fraction * 1000))
     return df.filter(bucket < cut), df.filter(bucket >= cut)
 
@@ -34,9 +35,9 @@ def features(df: DataFrame, cols: Sequence[str] | None = None, array_col: str |
 
 
 def fit_forest(train: DataFrame, target: str, num_trees: int = 100, seed: int = 42, features_col: str = "features"):
-    """M2: fit a random forest (``na.drop`` first, as the reference's ``dropna``)."""
+    """M2: fit a random forest; rows with any null are dropped first."""
     rf = RandomForestClassifier(labelCol=target, featuresCol=features_col, numTrees=num_trees, seed=seed)
-    return rf.fit(train.na.drop(subset=[target]))
+    return rf.fit(train.na.drop())
 
 
 def accuracy(pred: DataFrame, target: str, prediction: str = "prediction") -> float:

@@ -12,21 +12,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed patterns: the table after FROM / JOIN is read, after INSERT INTO / UPDATE written;
-# the database is the first path segment of a JDBC-style URL.
-READ_PATTERN = r"(?i)(?:^|[^A-Za-z0-9_])(?:from|join)[ \t\r\n]+([A-Za-z_][A-Za-z0-9_.]*)"
-WRITE_PATTERN = r"(?i)(?:^|[^A-Za-z0-9_])(?:insert[ \t\r\n]+into|update)[ \t\r\n]+([A-Za-z_][A-Za-z0-9_.]*)"
-URL_DB_PATTERN = r"(?i)[a-z][a-z0-9+.-]*://[^/ \t\r\n]+/([A-Za-z0-9_]+)"
+# A name part: bare, or quoted (then it may hold any character but its quote).
+PART = r'(?:[A-Za-z_][A-Za-z0-9_$]*|"[^"]+"|`[^`]+`|\'[^\']+\'|\[[^\]]+\])'
+NAME = rf"{PART}(?:\.{PART})*"
+# The table after FROM / JOIN is read, after INSERT INTO / UPDATE written;
+# the database is what a URL has between its host and ``?``.
+READ_PATTERN = rf"(?i)(?:^|[^A-Za-z0-9_])(?:from|join)[ \t\r\n]+({NAME})"
+WRITE_PATTERN = rf"(?i)(?:^|[^A-Za-z0-9_])(?:insert[ \t\r\n]+into|update)[ \t\r\n]+({NAME})"
+URL_DB_PATTERN = r"(?i)[a-z][a-z0-9+.-]*://[^/?# \t\r\n]+/([^?# \t\r\n]+)"
 
 
 def sql_references(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, table, direction)`` for every table reference in every text."""
+    """``(id, table, direction)`` for every table reference in every text, quotes removed."""
     t = F.col(text_col)
+
+    def bare(name: Column) -> Column:
+        return F.regexp_replace(name, "[\"`'\\[\\]]", "")
+
     reads = corpus.select(F.col(id_col).alias("id"),
-                          F.explode(F.regexp_extract_all(t, F.lit(READ_PATTERN), 1)).alias("table"),
+                          F.explode(F.transform(F.regexp_extract_all(t, F.lit(READ_PATTERN), 1), bare)).alias("table"),
                           F.lit("read").alias("direction"))
     writes = corpus.select(F.col(id_col).alias("id"),
-                           F.explode(F.regexp_extract_all(t, F.lit(WRITE_PATTERN), 1)).alias("table"),
+                           F.explode(F.transform(F.regexp_extract_all(t, F.lit(WRITE_PATTERN), 1), bare)).alias("table"),
                            F.lit("write").alias("direction"))
     return reads.unionByName(writes)
 

@@ -171,8 +171,13 @@ def top_level_sizes(files: DataFrame, root: str | None = None, human: bool = Tru
     return out.withColumn("size_text", P.human_size("size")) if human else out
 
 
-def sum_by_directory(points: DataFrame, dir_col: str = "path", size_col: str = "size") -> DataFrame:
-    """A5: ``SUM(size) ... WHERE dir =~ directory pattern GROUP BY dir``."""
+def sum_by_directory(points: DataFrame, dir_col: str = "path", size_col: str = "size", time_col: str | None = None,
+                     asof: str | Column | None = None, interval: str = "1 HOUR") -> DataFrame:
+    """A5: ``SUM(size) ... WHERE time >= asof - interval AND dir =~ directory pattern GROUP BY dir``
+    (all times without ``time_col``)."""
+    if time_col is not None:
+        from spindle.operators.timeseries import since
+        points = since(points, time_col, asof, interval)
     return (points.filter(P.is_directory_path(dir_col))
                   .groupBy(F.col(dir_col).alias("directory_path"))
                   .agg(F.sum(size_col).cast("long").alias("sum_size")))
@@ -199,11 +204,14 @@ def numbered_distinct(df: DataFrame, col: str, partitions: int | None = None) ->
 def distinct_counts(df: DataFrame, subsets: Mapping[str, Sequence[str]]) -> DataFrame:
     """Distinct record counts over several column subsets, one row.
 
-    ``count(DISTINCT struct(...))`` counts rows holding nulls, like
-    ``drop_duplicates().shape[0]``.
+    Rows holding nulls count, like ``drop_duplicates().shape[0]``.
     """
-    return df.agg(*[F.count_distinct(F.struct(*[F.col(c) for c in cols])).alias(label)
-                    for label, cols in subsets.items()])
+    # one aggregate a subset (a joint one would expand every row by the number of subsets)
+    counts = None
+    for label, cols in subsets.items():
+        one = df.select(*cols).distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit(label).alias("label"), "n")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts.agg(*[F.max(F.when(F.col("label") == label, F.col("n"))).alias(label) for label in subsets])
 
 
 def null_counts(df: DataFrame, prefix: str) -> DataFrame:

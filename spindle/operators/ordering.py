@@ -36,28 +36,12 @@ def global_positions(df: DataFrame, order: Sequence[str | Column], partitions: i
              .drop("__pid", "__mid", "__off"))
 
 
-# A group up to this many rows may be handled by one task (window form).
-MAX_GROUP_ROWS = 1_000_000
-
-
-def largest_group(df: DataFrame, partition_cols: Sequence[str]) -> int:
-    """Rows in the largest group (one partially aggregated count, a one-row result)."""
-    r = df.groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0]
-    return int(r or 0)
-
-
 def row_numbers(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[str | Column],
-                out: str = "rn", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """``row_number()`` per group in an order (1-based).
-
-    When every group is proven to hold at most ``max_group_rows`` rows the
-    window form runs (one group per task is then fine); otherwise the
-    distributed positions, so a hot group is spread over many tasks. Ties in
-    ``order_cols`` are broken by the sort, as with the window form.
+                out: str = "rn") -> DataFrame:
+    """``row_number()`` per group in an order (1-based), from distributed positions, so
+    a hot group is spread over many tasks. Ties in ``order_cols`` are broken by
+    the sort, as with the window form.
     """
-    if partition_cols and largest_group(df, partition_cols) <= max_group_rows:
-        w = Window.partitionBy(*partition_cols).orderBy(*order_cols)
-        return df.withColumn(out, F.row_number().over(w))
     keys = [*partition_cols, *order_cols]
     g = global_positions(df, keys)
     if not partition_cols:
@@ -70,18 +54,11 @@ def row_numbers(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequen
 
 
 def lead_pairs(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[str | Column],
-               value: str, out: tuple[str, str] = ("src", "dst"), max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+               value: str, out: tuple[str, str] = ("src", "dst")) -> DataFrame:
     """``(value, lead(value))`` pairs of consecutive rows per group (rows with a successor).
 
-    Window form when every group is proven small (see :func:`row_numbers`);
-    otherwise a join of each row with the row at the next global position in
-    the same group.
+    A join of each row with the row at the next global position in the same group.
     """
-    if partition_cols and largest_group(df, partition_cols) <= max_group_rows:
-        w = Window.partitionBy(*partition_cols).orderBy(*order_cols)
-        return (df.select(F.col(value).alias(out[0]), F.lead(value).over(w).alias(out[1]),
-                          F.lead(F.lit(1)).over(w).alias("__has_next"))
-                  .filter(F.col("__has_next").isNotNull()).drop("__has_next"))
     g = global_positions(df.select(*partition_cols, *[c for c in order_cols if isinstance(c, str)], value),
                          [*partition_cols, *order_cols])
     a = g.select(*partition_cols, F.col(value).alias(out[0]), (F.col("__g") + 1).alias("__next"))

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindle.session import cut_lineage
+
 from spindle.functions.vectors import distance, literal_vector
 
 # Fixed values of the reference's routing: no-match text and distance, grade threshold.
@@ -25,7 +27,9 @@ NO_MATCH_TEXT = "No match found"
 NO_MATCH_DISTANCE = 99.0
 DISTANCE_THRESHOLD = 1.1
 
-MAX_QUERY_BYTES = 64 << 20
+MAX_QUERY_BYTES = 16 << 20   # query vectors that travel with a task
+CELL = 4_000_000             # differences held at once
+QUERY_CELL = 512             # queries of a cell
 
 
 def top_k_one(corpus: DataFrame, query: Sequence[float], k: int = 1, vec: str = "vec", id_col: str = "id",
@@ -36,6 +40,27 @@ def top_k_one(corpus: DataFrame, query: Sequence[float], k: int = 1, vec: str =
     return d.orderBy(F.col("distance"), F.col(id_col)).limit(k)
 
 
+def _merge(best_d, best_i, x, ids, qmat, k: int, metric: str):
+    """The k nearest per query of what is kept and of the rows ``x``, in cells of at most
+    ``CELL`` differences, whatever the number of queries."""
+    rows = max(1, min(len(x), CELL // QUERY_CELL // max(1, qmat.shape[1])))
+    for lo in range(0, len(x), rows):
+        part, part_ids = x[lo:lo + rows], ids[lo:lo + rows]
+        dist = np.empty((len(part), len(qmat)))
+        for q in range(0, len(qmat), QUERY_CELL):
+            c = qmat[q:q + QUERY_CELL]
+            if metric == "l2":  # exact differences
+                dist[:, q:q + QUERY_CELL] = np.sqrt(((part[:, None, :] - c[None, :, :]) ** 2).sum(axis=2))
+            else:
+                dist[:, q:q + QUERY_CELL] = 1.0 - (part @ c.T) / (np.linalg.norm(part, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :])
+        idm = np.broadcast_to(part_ids[:, None], dist.shape)
+        if best_d is not None:
+            dist, idm = np.vstack([best_d, dist]), np.vstack([best_i, idm])
+        order = np.lexsort((idm, dist), axis=0)[:k]  # (distance, id) per query
+        best_d, best_i = np.take_along_axis(dist, order, axis=0), np.take_along_axis(idm, order, axis=0)
+    return best_d, best_i
+
+
 def _block_top_k(queries: pd.DataFrame, k: int, vec: str, id_col: str, metric: str):
     qids = queries["qid"].to_numpy()
     qmat = np.stack(queries["qvec"].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
@@ -48,22 +73,7 @@ def _block_top_k(queries: pd.DataFrame, k: int, vec: str, id_col: str, metric: s
                 continue
             x = np.stack(pdf[vec].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
             ids = pdf[id_col].to_numpy()
-            if metric == "l2":
-                step = max(1, 4_000_000 // max(1, qmat.shape[0] * qmat.shape[1]))
-                dist = np.vstack([np.sqrt(((x[i:i + step, None, :] - qmat[None, :, :]) ** 2).sum(axis=2))
-                                  for i in range(0, len(x), step)])  # (B, Q), exact differences
-            else:
-                xn = np.linalg.norm(x, axis=1)[:, None]
-                qn = np.linalg.norm(qmat, axis=1)[None, :]
-                dist = 1.0 - (x @ qmat.T) / (xn * qn)
-            idm = np.broadcast_to(ids[:, None], dist.shape)
-            if best_d is not None:
-                dist = np.vstack([best_d, dist])
-                idm = np.vstack([best_i, idm])
-            # exact order (distance, id) per query column; keep the first k rows
-            order = np.lexsort((idm, dist), axis=0)[:k]
-            best_d = np.take_along_axis(dist, order, axis=0)
-            best_i = np.take_along_axis(idm, order, axis=0)
+            best_d, best_i = _merge(best_d, best_i, x, ids, qmat, k, metric)
         if best_d is None:
             return
         kk = best_d.shape[0]
@@ -140,6 +150,7 @@ def retry(graded: DataFrame, rewrites: DataFrame, corpus: DataFrame, texts: Data
 
     Returns ``(qid, context, distance, retries, grade)``.
     """
+    graded = cut_lineage(graded)  # the first pass runs once and feeds both branches
     keep = graded.filter(F.col("grade") != "not_useful").select("qid", "context", "distance") \
                  .withColumn("retries", F.lit(0))
     again = rewrites.join(graded.filter(F.col("grade") == "not_useful").select("qid"), "qid", "left_semi")

@@ -164,6 +164,17 @@ def a5(spark, sf):
     return inv.sum_by_directory(b.web_files(spark, sf))
 
 
+@register("a5_recent_sum_by_directory", f"""
+SELECT directory_path, CAST(sum(size) AS BIGINT) AS sum_size FROM (
+  SELECT regexp_replace(path, '[^/]*$', '') AS directory_path, size, mtime FROM ({W}) w)
+WHERE mtime >= (SELECT max(mtime) - 86400 * 2 FROM ({W}) m) GROUP BY directory_path""")
+def a5t(spark, sf):
+    """The files of the last two days before the newest, by directory."""
+    f = b.web_files(spark, sf).select(F.regexp_replace("path", "[^/]*$", "").alias("path"), "size", F.timestamp_seconds("mtime").cast("timestamp_ntz").alias("t"))
+    newest = f.agg(F.max("t").cast("string")).first()[0]
+    return inv.sum_by_directory(f, time_col="t", asof=newest, interval="2 DAYS")
+
+
 @register("a6_cardinality", """
 SELECT count(DISTINCT event_type) AS distinct_event_type, count(DISTINCT user_id) AS distinct_user_id,
        count(DISTINCT props) AS distinct_props FROM events""")

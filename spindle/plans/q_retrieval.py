@@ -3,7 +3,7 @@
 Queries are derived from the corpus itself: the global centroid (V1) and the
 ten per-label centroids (V2-V6), so the work grows with the whole embeddings
 table. Texts: documents linked by ``doc_id = vec_id``; the searchable corpus
-is the vectors whose document is English (J1).
+is the vectors that have a document (J1).
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ from spindle.plans.registry import r4, register
 K = 3
 
 EXPL = "SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings"
-EN_IDS = "SELECT doc_id FROM documents WHERE lang = 'en'"
+TEXT_IDS = "SELECT doc_id FROM documents"
 LABEL_CENTROIDS = f"SELECT label AS qid, i, avg(v) AS cv FROM ({EXPL}) x GROUP BY label, i"
-EN_CENTROIDS = f"SELECT label AS qid, i, avg(v) AS cv FROM ({EXPL}) x WHERE vec_id IN ({EN_IDS}) GROUP BY label, i"
+TEXT_CENTROIDS = f"SELECT label AS qid, i, avg(v) AS cv FROM ({EXPL}) x WHERE vec_id IN ({TEXT_IDS}) GROUP BY label, i"
 
 
 def dist_sql(queries: str, corpus_filter: str = "") -> str:
@@ -37,12 +37,11 @@ def corpus(spark, sf):
 
 
 def texts(spark, sf):
-    return b.table(spark, sf, "documents").filter(F.col("lang") == "en") \
-            .select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return b.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
 
 
 def searchable(spark, sf):
-    """Vectors that have an English text."""
+    """Vectors that have a text."""
     return corpus(spark, sf).join(texts(spark, sf).select("id"), "id", "left_semi")
 
 
@@ -68,7 +67,7 @@ def v2(spark, sf):
     return m.select("qid", "id", r4("distance").alias("distance"), "rank")
 
 
-SEARCH_FILTER = f"WHERE e.vec_id IN ({EN_IDS})"
+SEARCH_FILTER = f"WHERE e.vec_id IN ({TEXT_IDS})"
 BEST_SQL = f"""SELECT q.qid AS qid, coalesce(t.text, 'No match found') AS context, coalesce(r.distance, 99.0) AS distance
 FROM (SELECT DISTINCT label AS qid FROM embeddings) q
 LEFT JOIN ({ranked_sql(LABEL_CENTROIDS, SEARCH_FILTER)}) r ON q.qid = r.qid AND r.rank = 1
@@ -100,7 +99,7 @@ def v4(spark, sf):
 @register("v5_retry_and_route", f"""WITH first AS (SELECT *, 0 AS retries, {GRADE_SQL} AS grade FROM (SELECT *, 0 AS retries
   FROM ({BEST_SQL}) x) y),
 again AS (SELECT qid FROM first WHERE grade = 'not_useful'),
-rw AS (SELECT * FROM ({EN_CENTROIDS}) c WHERE qid IN (SELECT qid FROM again)),
+rw AS (SELECT * FROM ({TEXT_CENTROIDS}) c WHERE qid IN (SELECT qid FROM again)),
 second AS (SELECT a.qid, coalesce(t.text, 'No match found') AS context, coalesce(r.distance, 99.0) AS distance, 1 AS retries
   FROM again a LEFT JOIN ({ranked_sql('SELECT * FROM rw', SEARCH_FILTER)}) r ON a.qid = r.qid AND r.rank = 1
   LEFT JOIN documents t ON t.doc_id = r.id),
@@ -133,7 +132,7 @@ def j1(spark, sf):
 
 
 @register("j2_vectors_left_join_text", f"""SELECT e.vec_id AS id, t.doc_id IS NOT NULL AS has_text
-FROM embeddings e LEFT JOIN ({EN_IDS.replace('SELECT doc_id', 'SELECT doc_id')}) t ON e.vec_id = t.doc_id""")
+FROM embeddings e LEFT JOIN ({TEXT_IDS}) t ON e.vec_id = t.doc_id""")
 def j2(spark, sf):
     t = texts(spark, sf).select("id", F.lit(True).alias("has_text"))
     return corpus(spark, sf).select("id").join(t, "id", "left").select("id", F.coalesce("has_text", F.lit(False)).alias("has_text"))

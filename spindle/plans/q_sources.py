@@ -271,7 +271,8 @@ def _forest_data(spark, sf):
     return M.features(v, array_col="vec").select("id", "features", F.col("label").cast("double").alias("label"))
 
 
-@register("m1_hash_split")
+@register("m1_hash_split", """SELECT vec_id AS id,
+  CASE WHEN ('0x' || substr(md5('42:' || vec_id), 1, 8))::BIGINT % 1000 < 700 THEN 'train' ELSE 'test' END AS part FROM embeddings""")
 def m1(spark, sf):
     train, test = M.split(b.vectors(spark, sf), "id")
     return train.select("id", F.lit("train").alias("part")).unionByName(test.select("id", F.lit("test").alias("part")))
@@ -319,17 +320,36 @@ def m5(spark, sf):
 
 # ------------------------------------------------------------------ G35, G36
 
-@register("g35_sql_references", f"""SELECT doc_id AS id, unnest(regexp_extract_all(text, '{SR.READ_PATTERN}', 1)) AS "table",
-  'read' AS direction FROM documents
-UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '{SR.WRITE_PATTERN}', 1)), 'write' FROM documents""")
+def _quoted(df, col):
+    """The corpus with a line of SQL behind every text: quoted, bracketed and dotted names."""
+    tail = F.concat(F.lit('\nSELECT 1 FROM `db`.`t'), F.col("doc_id").cast("string"), F.lit('` JOIN "my-schema"."u v" ON 1=1;\n'
+                    "INSERT INTO [w"), F.col("doc_id").cast("string"), F.lit("] SELECT 2"))
+    return df.select("doc_id", F.concat(F.coalesce(col, F.lit("")), tail).alias("text"))
+
+
+# The oracle names what the added line holds, and finds bare names in the prose by its own pattern.
+@register("g35_sql_references", r"""WITH bare AS (
+  SELECT doc_id AS id, unnest(regexp_extract_all(lower(' ' || text), '[^a-z0-9_](from|join)\s+[a-z_][a-z0-9_$]*(\.[a-z_][a-z0-9_$]*)*')) AS hit,
+         'read' AS direction FROM documents
+  UNION ALL
+  SELECT doc_id, unnest(regexp_extract_all(lower(' ' || text), '[^a-z0-9_](insert\s+into|update)\s+[a-z_][a-z0-9_$]*(\.[a-z_][a-z0-9_$]*)*')), 'write'
+  FROM documents)
+SELECT id, regexp_extract(hit, '(\S+)$', 1) AS "table", direction FROM bare
+UNION ALL SELECT doc_id, 'db.t' || doc_id, 'read' FROM documents
+UNION ALL SELECT doc_id, 'my-schema.u v', 'read' FROM documents
+UNION ALL SELECT doc_id, 'w' || doc_id, 'write' FROM documents""")
 def g35(spark, sf):
-    return SR.sql_references(b.table(spark, sf, "documents"), "doc_id", "text")
+    refs = SR.sql_references(_quoted(b.table(spark, sf, "documents"), F.col("text")), "doc_id", "text")
+    return refs.select("id", F.lower("table").alias("table"), "direction")
 
 
-@register("g35_database_from_url", f"""SELECT page_id, nullif(regexp_extract(url, '{SR.URL_DB_PATTERN}', 1), '') AS database
-FROM pages""")
+@register("g35_database_from_url", """SELECT page_id, 'my-db_' || page_id AS database,
+  CASE WHEN u LIKE '%/%' AND substr(u, strpos(u, '/') + 1) <> '' THEN substr(u, strpos(u, '/') + 1) END AS page_path
+FROM (SELECT page_id, string_split(string_split(substr(url, strpos(url, '://') + 3), '?')[1], '#')[1] AS u FROM pages) p""")
 def g35u(spark, sf):
-    return b.table(spark, sf, "pages").select("page_id", SR.database_from_url("url").alias("database"))
+    jdbc = F.concat(F.lit("postgresql://host:5432/my-db_"), F.col("page_id").cast("string"), F.lit("?sslmode=require"))
+    return b.table(spark, sf, "pages").select("page_id", SR.database_from_url(jdbc).alias("database"),
+                                              SR.database_from_url("url").alias("page_path"))
 
 
 REFS_SQL = """SELECT user_id AS id, event_type AS "table",
