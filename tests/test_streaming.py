@@ -1,8 +1,10 @@
 """Structured Streaming: continuous line-protocol source, routing sink, rollup stream."""
 
 import os
+import pathlib
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from spindle.sources import files as IO
@@ -56,3 +58,11 @@ def test_retention_prunes_partitions(spark):
     assert sorted(str(r["day"]) for r in kept.collect()) == ["2024-01-05", "2024-01-09"]  # inferred as date
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan  # the expiry test is a partition filter, pruned at the scan
+    left = IO.drop_expired(spark, out, "day", "2024-01-05", delete=True)
+    assert sorted(str(r["day"]) for r in left.collect()) == ["2024-01-05", "2024-01-09"]
+    assert sorted(p.name for p in pathlib.Path(out).glob("day=*")) == ["day=2024-01-05", "day=2024-01-09"]
+
+
+def test_a_route_without_a_sink_is_an_error():
+    with pytest.raises(ValueError, match="without a sink"):
+        IO.for_each_route({"bad": F.lit(True)}, {"bad": lambda df: None})
