@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from conftest import edges_df
 from spindle.operators import inventory as inv
 from spindle.operators import quality as q
 from spindle.operators import timeseries as ts
@@ -46,9 +45,3 @@ def test_retention_and_since(spark):
               .select(F.to_timestamp_ntz("t").alias("ts"))
     assert ts.apply_retention(df, "ts", "7 DAYS", "2024-01-10 00:00:00").count() == 2
     assert ts.since(df, "ts", "2024-01-10 00:00:00", "1 DAY").count() == 1
-
-
-def test_leaf_paths_max_levels_drops_longer(spark):
-    e = edges_df(spark, [(1, 2), (2, 3), (3, 4), (1, 4)])
-    assert sorted(r["levels"] for r in GP.leaf_paths(e, [1]).collect()) == [1, 3]
-    assert sorted(r["levels"] for r in GP.leaf_paths(e, [1], max_levels=2).collect()) == [1]
