@@ -12,11 +12,12 @@ weighted similarity is the Jaccard similarity of the shingle sets.
 Candidates come from a banded join (24 bands of 5 coordinates: a pair of
 similarity 0.8 shares a band with probability 0.9999). Equal word sequences are
 one node from the start. In each bucket a few centres are compared with all
-other members, exactly, on the shingle sets; a centre that has met every member
-leaves the bucket, members already connected need no comparison, and rounds go
-on while a bucket holds members of different components. So no bucket emits all
-pairs, and no link between different components is left out. Components are
-found by large-star/small-star contraction; nothing is collected but counts.
+other members, exactly, on the shingle sets, which settles small buckets and
+connects most of a large one. Where members of a bucket still belong to
+different components, all of these are compared in blocks; a block returns only
+links that join components, so no bucket emits its pairs and no link between
+different texts is lost. Components are found by large-star/small-star
+contraction; nothing is collected but counts.
 """
 
 from __future__ import annotations
@@ -25,17 +26,19 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindle.llm.common import stash, whole_text
+from spindle.llm.common import partitions, stash, whole_text
 from spindle.session import cut_lineage
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-CENTRES = 8            # members compared with all others, per bucket in the first round; doubles by the round
+CENTRES = 4            # members compared with all others, per bucket
+BLOCK = 512            # members of a larger bucket that a task holds of either side
 MEMO = 400_000         # word hashes kept per worker
 
 U64 = np.uint64
@@ -212,7 +215,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
-                 centres: int = CENTRES) -> DataFrame:
+                 centres: int = CENTRES, block: int = BLOCK) -> DataFrame:
     """One row per input row: ``doc_id, class_id`` (smallest id of its class),
     ``class_size`` (its rows).
 
@@ -222,7 +225,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives no rows.
     """
     feats = features(df, id_col, text_col)
-    base = (feats.select("id", "node").join(_roots(feats, similarity, centres), "node", "left")
+    base = (feats.select("id", "node").join(_roots(feats, similarity, centres, block), "node", "left")
                  .withColumn("root", F.coalesce("root", "node")))
     classes = base.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return base.join(classes, "root").select(F.col("id").alias(id_col), "class_id", "class_size")
@@ -232,7 +235,7 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The input's rows and columns without all but one row of each class: the one of
     the smallest id (then of the smallest text digest; null ids last)."""
     feats = features(df, id_col, text_col)
-    own = feats.select("id", "key", "node").join(_roots(feats, similarity, CENTRES), "node", "left")
+    own = feats.select("id", "key", "node").join(_roots(feats, similarity), "node", "left")
     kept = (own.groupBy(F.coalesce("root", "node").alias("root"))
                .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("k"))
                .select(F.col("k.id").alias("__id"), F.col("k.key").alias("__key")))
@@ -243,7 +246,7 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.withColumn("__rn", F.row_number().over(one)).filter("__rn = 1").select("__row.*")
 
 
-def _roots(feats: DataFrame, similarity: float, centres: int) -> DataFrame:
+def _roots(feats: DataFrame, similarity: float, centres: int = CENTRES, block: int = BLOCK) -> DataFrame:
     keyed = (feats.filter("n > 0").select("node", "n", F.explode("bands").alias("band"))
                   .groupBy("band", "node").agg(F.first("n").alias("n")))
     # buckets of one node have nothing to compare
@@ -252,28 +255,68 @@ def _roots(feats: DataFrame, similarity: float, centres: int) -> DataFrame:
     wanted = members.select("node").distinct()
     sets = stash(feats.select("node", "shingles").join(wanted, "node", "left_semi")
                       .groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
-    roots, turn = None, 0
-    while True:
-        m = members.withColumn("root", F.col("node")) if roots is None else (
-            members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        # a bucket whose members are connected already is settled
-        open_ = m.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-        members = stash(m.join(open_, "band", "left_semi").select("band", "node", "n", "root"), f"near-open-{turn}")
-        if roots is not None and members.isEmpty():
-            return roots
-        # the smallest node of each hash class of a bucket: a partial aggregate, no bucket in one task
-        share = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(centres << turn))
-        chosen = stash(members.groupBy("band", share.alias("class")).agg(F.min(F.struct("node", "n", "root")).alias("c"))
-                              .select("band", "c.*"), f"near-centres-{turn}")
-        c = chosen.select("band", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("root").alias("c_root"))
-        pairs = (members.join(c, "band")
-                        .filter((F.col("root") != F.col("c_root")) & (F.least("n", "c_n") >= similarity * F.greatest("n", "c_n") - 1e-9))
-                        .select(F.greatest("node", "c").alias("u"), F.least("node", "c").alias("v")).distinct())
-        found = similar(pairs, sets, similarity)
-        if roots is not None:
-            found = found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        roots = components(found)
-        # a centre has met every member of its bucket
-        members = members.join(chosen.select("band", "node"), ["band", "node"], "left_anti").select("band", "node", "n")
-        turn += 1
-
+    # the smallest node of each hash class of a bucket meets all members; a partial aggregate finds it
+    share = F.pmod(F.xxhash64("node"), F.lit(centres))
+    chosen = stash(members.groupBy("band", share.alias("class")).agg(F.min(F.struct("node", "n")).alias("c"))
+                          .select("band", "c.*"), "near-centres")
+    c = chosen.select("band", F.col("node").alias("c"), F.col("n").alias("c_n"))
+    pairs = (members.join(c, "band")
+                    .filter((F.col("node") != F.col("c")) & (F.least("n", "c_n") >= similarity * F.greatest("n", "c_n") - 1e-9))
+                    .select(F.greatest("node", "c").alias("u"), F.least("node", "c").alias("v")).distinct())
+    roots = components(similar(pairs, sets, similarity))
+
+    # members that are no centres, in buckets where they still belong to more than one component
+    rest = (members.join(chosen.select("band", "node"), ["band", "node"], "left_anti").select("band", "node")
+                   .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    open_ = (rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"))
+                 .filter("lo < hi").select("band", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
+    rest = stash(rest.join(open_, "band").join(sets, "node"), "near-open")
+    if rest.isEmpty():
+        return roots
+    links = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    return components(links.unionByName(_block_links(rest, similarity)))
+
+
+def _block_links(rest: DataFrame, similarity: float) -> DataFrame:
+    """Links ``u, v`` that join the components of a bucket: every member is compared
+    exactly with every member of another component, block against block, and only
+    a link that joins two components is returned.
+
+    A bucket's members are dealt by hash into blocks; a task holds two of them.
+    """
+    n = partitions(rest.sparkSession)
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+    dealt = (rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                 .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "shingles"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_joining(frame, similarity), columns=["u", "v"])
+
+    return dealt.repartition(n, "band", "i", "j").groupBy("band", "i", "j").applyInPandas(compare, "u binary, v binary")
+
+
+def _joining(frame: pd.DataFrame, similarity: float) -> list[tuple[bytes, bytes]]:
+    nodes, own = frame["node"].tolist(), frame["own"].to_numpy()
+    sets = [np.frombuffer(x, "<u4") for x in frame["shingles"]]
+    size = np.array([len(x) for x in sets])
+    _, label = np.unique(frame["root"].map(bytes.hex), return_inverse=True)
+    words, code = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(size) - size
+    has = np.zeros(len(words), bool)
+    across = frame["i"].iat[0] != frame["j"].iat[0]
+    out = []
+    for u in range(len(nodes)):
+        far = label != label[u]
+        if across:
+            far &= own != own[u]
+        if not far.any():
+            continue
+        mine = code[start[u]:start[u] + size[u]]
+        has[mine] = True
+        both = np.add.reduceat(has[code].astype(np.int32), start)
+        has[mine] = False
+        for v in np.flatnonzero(far & (both >= similarity * (size + size[u] - both) - 1e-9)):
+            if label[v] != label[u]:
+                label[label == label[v]] = label[u]
+                out.append((nodes[u], nodes[v]))
+    return out

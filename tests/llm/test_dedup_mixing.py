@@ -1,6 +1,7 @@
 """Operators 4, 5, 9 on edge rows and against plain Python."""
 
 import numpy as np
+import pytest
 from brute import near_classes
 
 from spindle.llm import content_sort, mixing, near_dup
@@ -84,7 +85,8 @@ def test_near_classes_against_all_pairs(docs, texts):
     assert classes_of(docs) == {rows[i][0]: (rows[c][0], sizes[c]) for i, c in want.items()}
 
 
-def test_near_copies_that_only_meet_in_a_chain(spark):
+@pytest.mark.parametrize("block", [512, 7])
+def test_near_copies_that_only_meet_in_a_chain(spark, block):
     import random
     rng = random.Random(7)
     base = [f"w{rng.randrange(10 ** 6)}" for _ in range(400)]
@@ -102,7 +104,7 @@ def test_near_copies_that_only_meet_in_a_chain(spark):
     rows.append((999, " ".join(star)))
     rows.sort()
     want = near_classes(rows)
-    got = {r.doc_id: r.class_id for r in near_dup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.class_id for r in near_dup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
     assert got == {rows[i][0]: rows[c][0] for i, c in want.items()}
 
 
