@@ -134,11 +134,20 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tops = [(r["b"], r["top"]) for r in b.groupBy("b").agg(F.max("id").alias("top")).orderBy(F.desc("b")).collect()]
     # the first of each range follows the last of the range before it, the very first the very last
     ghosts = {top: tops[i - 1][0] for i, (_, top) in enumerate(tops)}
-    keys = [F.lit(int(x)) for top, target in ghosts.items() if top is not None for x in (top, target)]
-    at = F.element_at(F.create_map(*keys), F.col("id")) if keys else F.lit(None).cast("long")
-    if None in ghosts:
-        at = F.when(F.col("id").isNull(), F.lit(ghosts[None])).otherwise(at)
-    placed = src.withColumn("b", bucket("id")).withColumn("g", at)
+    firsts = np.array(sorted(t for t in ghosts if t is not None), np.int64)  # one a range at most
+    targets = np.array([ghosts[t] for t in firsts.tolist()], np.int64)
+    of_null = ghosts.get(None)
+
+    @F.pandas_udf(T.LongType())
+    def ghost(ids):
+        import pandas as pd
+        none = ids.isna()
+        at = np.minimum(np.searchsorted(firsts, ids.fillna(0).astype("int64")), max(len(firsts) - 1, 0))
+        hit = (firsts[at] == ids.fillna(0).astype("int64")) & ~none if len(firsts) else np.zeros(len(ids), bool)
+        out = pd.Series(np.where(hit, targets[at] if len(firsts) else 0, 0), dtype="Int64").where(pd.Series(np.asarray(hit)))
+        return out if of_null is None else out.mask(pd.Series(np.asarray(none)), of_null)
+
+    placed = src.withColumn("b", bucket("id")).withColumn("g", ghost("id"))
     both = placed.select(F.explode(F.when(F.col("g").isNull(), F.array(F.struct("b", F.lit(False).alias("ghost")))).otherwise(
         F.array(F.struct("b", F.lit(False).alias("ghost")), F.struct(F.col("g").alias("b"), F.lit(True).alias("ghost"))))).alias("p"),
         "id", "text").select("p.b", "p.ghost", "id", "text")
