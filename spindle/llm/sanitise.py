@@ -8,9 +8,9 @@ corpus. A term that discloses at least ``REMOVE`` of it beside the entity is
 removed, one that discloses at least ``GENERALISE`` is generalised.
 
 Near is a window of ``NEAR`` code points on either side of each entity, so the
-pairs grow with the entities and not with the square of a text. Term counts
-over all documents are only kept for terms that stand beside one entity in
-``SUPPORT`` documents; a rarer pair is no evidence.
+pairs grow with the entities and not with the square of a text. Terms are
+counted over all documents; a pair seen in fewer than ``SUPPORT`` documents is
+no evidence.
 """
 
 from __future__ import annotations
@@ -76,9 +76,9 @@ def disclosing(df: DataFrame, found: DataFrame, text_col: str, support: int = SU
     joint = stash(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).filter(F.col("n_ct") >= support), "pii-pairs")
     entities = (found.select(F.explode(F.array_distinct(F.transform("base", lambda b: F.concat_ws(":", b["kind"], F.lower(b["value"]))))).alias("entity"))
                      .groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")))
-    wanted = joint.select("term").distinct()
+    # counted before the join, so that frequent terms travel as one row a task
     terms = (df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole_text(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
-               .join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
+               .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
     n = F.lit(float(df.count()))
     return (joint.join(entities, "entity").join(terms, "term").filter(F.col("n_c") < n)
                  .select("entity", "term", (F.log(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t"))) / F.log(n / F.col("n_c"))).alias("share")))
