@@ -3,35 +3,58 @@
 ``run(spark, sf_dir)`` applies the stages to ``documents``; each stage's rows are
 written as Parquet into the shared folder and read back as the next one's docs.
 All but the last keep the columns of ``documents``; the last returns the packed
-pieces. No SQL expresses the learned first stage, so ``ORACLE_SQL`` is None and
-the stages are tested against plain Python.
+pieces. A stage's result must be stored before the next stage is called, as
+``run`` does (one pipeline at a time in a session): each stage first deletes the
+working tables of the one before. No SQL expresses the learned first stage, so
+``ORACLE_SQL`` is None and the stages are tested against plain Python.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from spindle.llm import content_sort, mixing, near_dup, packing, toxicity
-from spindle.llm.common import read_table, stash
+from spindle.llm.common import delete_tables, read_table, stash, working_tables
+
+_LEFT: list[str] = []  # working tables of the last stage
+
+
+def stage(fn):
+    """A stage's result reads its working tables; they go when the next stage starts."""
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete_tables(spark, _LEFT)
+        with working_tables() as paths:
+            out = fn(spark, docs, sf_dir)
+        _LEFT.extend(paths)
+        return out
+    return run_stage
 
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+@stage
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return content_sort.drop_exact_copies(docs)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dup.drop_near_copies(docs)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(docs)
 
 
+@stage
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -49,6 +72,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for name, step in STAGES[:-1]:
+        docs = stash(step(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

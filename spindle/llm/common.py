@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,27 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_WORKING: list[str] | None = None  # tables of the pipeline stage at hand
+
+
+@contextmanager
+def working_tables() -> Iterator[list[str]]:
+    """Collects the paths that :func:`stash` writes inside the block."""
+    global _WORKING
+    before, _WORKING = _WORKING, []
+    try:
+        yield _WORKING
+    finally:
+        _WORKING = before
+
+
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -27,6 +50,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _WORKING is not None:
+        _WORKING.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
