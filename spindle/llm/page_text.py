@@ -258,7 +258,8 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     empty table gives no rows.
     """
     pages = parsed(df, id_col, url_col, html_col)
-    j = pages.drop("digests").join(templates(pages, min_pages), "host", "left")
+    # stored, so that its size is known when the join is planned and few hosts' templates are broadcast
+    j = pages.drop("digests").join(stash(templates(pages, min_pages), "templates"), "host", "left")
     t = F.coalesce("template", F.array().cast("array<bigint>"))
     stays = F.filter("units", lambda u: ~F.arrays_overlap(u["outside"], t) & ~F.arrays_overlap(u["inside"], t))
     out = j.select("page_id", "url", F.size("units").alias("blocks"), stays.alias("kept"))
