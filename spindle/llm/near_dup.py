@@ -39,7 +39,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 CENTRES = 4            # members compared with all others, per bucket
 BLOCK = 512            # members of a larger bucket that a task holds of either side
-MEMO = 400_000         # word hashes kept per worker
+MEMO = 100_000         # word hashes kept per worker
 
 U64 = np.uint64
 

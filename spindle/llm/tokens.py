@@ -15,7 +15,7 @@ import struct
 from functools import lru_cache
 
 END_ID = 1
-MEMO = 600_000      # entries kept per worker and table: the first, so the frequent ones
+MEMO = 200_000      # entries kept per worker and table: the first, so the frequent ones
 INNER, UNCUT = re.compile(r" \s"), re.compile(r"\s \s")
 PUNCTUATION = ".,;:!?*%$&#)|"
 
