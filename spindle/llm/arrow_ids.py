@@ -71,7 +71,9 @@ class ShardWriter:
 
     def _flush(self, last: bool) -> None:
         flat = np.concatenate(self.held) if self.held else np.empty(0, self.kind)
-        whole = len(flat) // self.length * self.length
+        # only full batches before the end: readers compute a token's batch from its place
+        unit = self.length if last else BATCH * self.length
+        whole = len(flat) // unit * unit
         rest, mask = flat[whole:], np.ones(whole, bool)
         flat = flat[:whole]
         if last and len(rest):

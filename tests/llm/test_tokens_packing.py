@@ -127,3 +127,21 @@ def test_arrow_files_edges(edge, nothing):
         assert (start, doc, n, c) == (at, r.doc_id, len(ids), crc(ids))
         at += n
     assert arrow_ids.read_documents(arrow_ids.write_shards(nothing, WORD)).collect() == []
+
+
+def test_long_documents_leave_no_short_batch_inside_a_shard(tmp_path):
+    rng = np.random.default_rng(3)
+    sizes = [100_000, *rng.integers(1, 900, 40), 33_000, 30_000, *rng.integers(1, 900, 40), 30_000, 131_072, 400_000, 1, 30_000, 77]
+    want = {i: rng.integers(0, 49_000, n).astype("<u2") for i, n in enumerate(sizes)}
+    out = arrow_ids.ShardWriter(str(tmp_path), "s", "<u2", arrow_ids.LENGTH)
+    for i, ids in want.items():
+        out.add(i, ids)
+    out.close()
+    seqs, _ = arrow_ids.open_shard(str(tmp_path), "s")
+    rows = [seqs.get_batch(i).num_rows for i in range(seqs.num_record_batches)]
+    assert set(rows[:-1]) == {arrow_ids.BATCH} and 0 < rows[-1] <= arrow_ids.BATCH
+    at = 0
+    for doc, start, parts in arrow_ids.shard_documents(str(tmp_path), "s"):
+        assert start == at and np.array_equal(np.concatenate(parts), want[doc])
+        at += len(want[doc])
+    assert at == out.total == sum(sizes)
