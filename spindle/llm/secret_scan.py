@@ -8,18 +8,23 @@ correlation, each as a standard score. Their squared sum ``t`` is small for
 random tokens and large for words.
 
 Which ``t`` counts as random is decided per length class under false-discovery
-control: plain words of the corpus are the null sample, the share of them with
-a ``t`` as small is a token's p-value, and the Benjamini-Hochberg bound picks
-the class' largest ``t``. Short tokens, which words can imitate, get a tighter
-bound than long ones. Statistics are counts by class and bin of ``t``; the
-driver reads that fixed grid, nothing else.
+control. The null law of ``t`` for a length and an encoding is that of words:
+letters drawn by their frequency in text (the order of letters in real words
+only adds to ``t``). The chance of a ``t`` as small under it is a token's
+p-value, and the Benjamini-Hochberg bound over all tokens of the class picks
+what counts as random, so no class needs words of its own in the corpus. Short
+tokens, which words can imitate, get a tighter bound than long ones. Statistics
+are counts by class, encoding and bin of ``t``; the driver reads that grid and
+draws the law from a fixed seed, nothing else.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindle.llm.common import stash, whole_text
@@ -32,7 +37,9 @@ TOKEN = r"[A-Za-z0-9+/_-]{16,}"
 KINDS = ("assign", "access", "hex")
 RATE = 0.05                         # false-discovery rate of each length class
 CEILING = 16.27                     # 99.9 % quantile of t for random tokens (chi-squared, 3 degrees)
-BINS, BIN = 64, 0.25                # grid of t
+BINS, BIN = 66, 0.25                # grid of t
+DRAWS = 50_000                      # words drawn for a null law
+LONGEST = 64                        # their length at most: t of words grows with length, so p-values of longer tokens are bounds
 
 # fixed values: alphabets by encoding
 ALPHABETS = {
@@ -43,6 +50,10 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 
+#: Letters a to z in 100,000 letters of English text.
+LETTERS = (8167, 1492, 2782, 4253, 12702, 2228, 2015, 6094, 6966, 153, 772, 4025, 2406, 6749, 7507, 1929, 95, 5987, 6327, 9056, 2758, 978, 2360,
+           150, 1974, 74)
+
 
 def base_spans(text: Column) -> Column:
     assign = find_spans(text, ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= 12)
@@ -52,7 +63,7 @@ def base_spans(text: Column) -> Column:
 
 
 def battery(tokens: Column) -> Column:
-    """Tokens (spans) with ``t``, the length class, and whether they are plain words."""
+    """Tokens (spans) with their encoding, ``t`` and the length class."""
     def encoding(s: Column) -> Column:
         return (F.when(s.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit("hex")).when(s.rlike("^[A-Z2-7]+$"), F.lit("base32"))
                  .when(s.rlike("^[A-Z0-9]+$"), F.lit("upper36")).when(s.rlike("^[a-z0-9]+$"), F.lit("lower36")).otherwise(F.lit("base64")))
@@ -75,14 +86,14 @@ def battery(tokens: Column) -> Column:
         lambda c: F.struct(
             c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["e"].alias("e"), alphabet(c["e"]).alias("a")),
         lambda c: F.struct(
-            c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), F.length(c["a"]).cast("double").alias("k"), ranks(c).alias("x")),
+            c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["e"].alias("e"), F.length(c["a"]).cast("double").alias("k"), ranks(c).alias("x")),
         lambda c: F.struct(
-            c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["k"].alias("k"), c["x"].alias("x"),
+            c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["e"].alias("e"), c["k"].alias("k"), c["x"].alias("x"),
             F.size(c["x"]).cast("double").alias("n"),
             (total(c["x"], lambda v: v.cast("double")) / F.size(c["x"])).alias("m"),
             F.size(F.filter(c["x"], lambda v: 2 * v >= c["k"])).cast("double").alias("hi")),
         lambda c: F.struct(
-            c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["k"].alias("k"), c["n"].alias("n"), c["hi"].alias("hi"),
+            c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["e"].alias("e"), c["k"].alias("k"), c["n"].alias("n"), c["hi"].alias("hi"),
             (c["k"] / c["n"] * total(F.sequence(F.lit(0), (c["k"] - 1).cast("int")),
                                      lambda j: F.pow(F.size(F.filter(c["x"], lambda v: v == j)).cast("double"), F.lit(2.0))) - c["n"]).alias("chi"),
             (1 + total(F.sequence(F.lit(1), (c["n"] - 1).cast("int")),
@@ -91,19 +102,17 @@ def battery(tokens: Column) -> Column:
             total(F.sequence(F.lit(1), (c["n"] - 1).cast("int")),
                   lambda i: (F.get(c["x"], i) - c["m"]) * (F.get(c["x"], i - 1) - c["m"])).alias("lag")),
         lambda c: F.struct(
-            c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["n"].alias("n"),
+            c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["e"].alias("e"), c["n"].alias("n"),
             _uniformity(c["chi"], c["k"] - 1).alias("z1"), _runs(c["runs"], c["hi"], c["n"]).alias("z2"),
             F.when(c["var"] > 0, c["lag"] / c["var"] * F.sqrt(c["n"])).otherwise(F.lit(10.0)).alias("z3")),
         lambda c: F.struct(
-            c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"),
+            c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["e"].alias("e"),
             (F.pow(F.greatest(c["z1"], F.lit(0.0)), F.lit(2.0)) + c["z2"] * c["z2"] + c["z3"] * c["z3"]).alias("t"),
-            F.floor(2 * F.log2(c["n"])).cast("int").alias("cls"),
-            c["value"].rlike("^[A-Z]?[a-z]+$").alias("word"),
-            (c["value"].rlike("[0-9]") & c["value"].rlike("[A-Za-z]")).alias("mixed")),
+            F.floor(2 * F.log2(c["n"])).cast("int").alias("cls")),
     ]
     for s in steps:
         tokens = F.transform(tokens, s)
-    return F.filter(tokens, lambda c: c["word"] | c["mixed"])
+    return F.filter(tokens, lambda c: c["value"].rlike("[A-Za-z]"))  # numbers are no words: the known form hex has them
 
 
 def _uniformity(chi: Column, df: Column) -> Column:
@@ -117,17 +126,50 @@ def _runs(runs: Column, hi: Column, n: Column) -> Column:
     return F.when(both > 0, (runs - both / n - 1) / F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1)), F.lit(1e-9)))).otherwise(F.lit(10.0))
 
 
-def thresholds(tokens: DataFrame, rate: float = RATE) -> dict[int, float]:
-    """Largest accepted ``t`` by length class, by Benjamini-Hochberg over the bins of ``t``."""
+@lru_cache(maxsize=None)
+def null_law(cls: int, encoding: str) -> np.ndarray:
+    """Sorted ``t`` of drawn words of the class' smallest length in the encoding."""
+    n = min(math.ceil(2 ** (cls / 2) - 1e-9), LONGEST)
+    alphabet = ALPHABETS[encoding]
+    upper = encoding in ("base32", "upper36")
+    at = np.array([alphabet.find(chr((65 if upper else 97) + i)) for i in range(26)])
+    weight = np.where(at >= 0, LETTERS, 0).astype(float)
+    k = len(alphabet)
+    x = at[np.random.default_rng(cls).choice(26, (DRAWS, n), p=weight / weight.sum())]
+    counts = np.bincount((np.arange(DRAWS)[:, None] * k + x).ravel(), minlength=DRAWS * k).reshape(DRAWS, k).astype(float)
+    chi, df = k / n * (counts ** 2).sum(1) - n, k - 1
+    z1 = (np.cbrt(np.maximum(chi, 0) / df) - (1 - 2 / (9 * df))) / np.sqrt(2 / (9 * df))
+    high = 2 * x >= k
+    hi, runs = high.sum(1), 1 + (high[:, 1:] != high[:, :-1]).sum(1)
+    both = 2.0 * hi * (n - hi)
+    z2 = np.where(both > 0, (runs - both / n - 1) / np.sqrt(np.maximum(both * (both - n) / (n * n * (n - 1)), 1e-9)), 10.0)
+    d = x - x.mean(1, keepdims=True)
+    var, lag = (d * d).sum(1), (d[:, 1:] * d[:, :-1]).sum(1)
+    z3 = np.where(var > 0, lag / np.where(var > 0, var, 1) * np.sqrt(n), 10.0)
+    return np.sort(np.maximum(z1, 0) ** 2 + z2 ** 2 + z3 ** 2)
+
+
+def thresholds(tokens: DataFrame, rate: float = RATE) -> dict[tuple[int, str], float]:
+    """Largest accepted ``t`` by length class and encoding, by Benjamini-Hochberg over the
+    p-values of the class' tokens (of a bin of ``t`` its upper end's)."""
     grid = (tokens.select(F.explode("tokens").alias("c")).select("c.*")
-                  .groupBy("cls", F.least(F.floor(F.col("t") / BIN), F.lit(BINS)).cast("int").alias("bin"))
-                  .agg(F.sum(F.col("word").cast("long")).alias("words"), F.sum(F.col("mixed").cast("long")).alias("mixed")))
-    upto, cls = Window.partitionBy("cls").orderBy("bin"), Window.partitionBy("cls")  # BINS rows a class
-    g = (grid.withColumn("below", F.sum("words").over(upto)).withColumn("found", F.sum("mixed").over(upto))
-             .withColumn("words", F.sum("words").over(cls)).withColumn("all", F.sum("mixed").over(cls)))
-    p = (F.col("below") + 1) / (F.col("words") + 1)
-    good = g.filter((F.col("found") > 0) & (F.col("words") > 0) & (p * F.col("all") <= rate * F.col("found")) & (F.col("bin") < BINS))
-    return {r["cls"]: min(CEILING, (r["bin"] + 1) * BIN) for r in good.groupBy("cls").agg(F.max("bin").alias("bin")).collect()}
+                  .groupBy("cls", "e", F.least(F.floor(F.col("t") / BIN), F.lit(BINS)).cast("int").alias("bin"))
+                  .agg(F.count(F.lit(1)).alias("n")).collect())  # at most BINS + 1 bins for each encoding and class
+    limits: dict[tuple[int, str], float] = {}
+    for cls in sorted({r["cls"] for r in grid}):
+        cells = []
+        for r in grid:
+            if r["cls"] == cls and r["bin"] < BINS:
+                law = null_law(cls, r["e"])
+                cells.append(((np.searchsorted(law, (r["bin"] + 1) * BIN, side="right") + 1) / (len(law) + 1), r["e"], r["bin"], r["n"]))
+        total, cut = sum(r["n"] for r in grid if r["cls"] == cls), 0.0
+        for p, *_ in sorted(cells):
+            if p * total <= rate * sum(m for q, _, _, m in cells if q <= p):
+                cut = p
+        for p, e, i, _ in cells:
+            if p <= cut:
+                limits[cls, e] = max(limits.get((cls, e), 0.0), min(CEILING, (i + 1) * BIN))
+    return limits
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry_text: bool = False) -> DataFrame:
@@ -135,8 +177,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry_te
     with ``carry_text`` the text.
 
     A null text is empty. Spans of kind ``random`` are the battery's; base spans
-    always stay. Without words of a length class nothing is added in it. An
-    empty table gives no rows.
+    always stay. An empty table gives no rows.
     """
     text = whole_text(text_col)
     cols = [F.col(id_col).alias("doc_id"), base_spans(text).alias("base"), battery(find_spans(text, TOKEN)).alias("tokens")]
@@ -146,9 +187,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry_te
     if limits:
         def random(c: Column) -> Column:
             cut = F.lit(-math.inf)
-            for k, t in sorted(limits.items()):
-                cut = F.when(c["cls"] == k, F.lit(t)).otherwise(cut)
-            return c["mixed"] & (c["t"] <= cut)
+            for (k, e), t in sorted(limits.items()):
+                cut = F.when((c["cls"] == k) & (c["e"] == e), F.lit(t)).otherwise(cut)
+            return c["t"] <= cut
         none = tagged(F.filter("tokens", random), "random", len(KINDS))
     return found.withColumn("spans", F.array_sort(F.concat("base", none))).drop("tokens")
 

@@ -140,6 +140,21 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert hits >= 0.9 * len(keys) and not any(got[i] for i in range(400))
 
 
+def test_long_and_letter_only_secrets_are_found_without_long_words(spark):
+    import random
+    rng = random.Random(5)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    sets = {40: upper + lower + digits + "+/", 64: digits + "ABCDEF", 200: upper + lower + digits + "+/", 90: upper + lower, 120: upper + "234567"}
+    keys = {100 * n + i: (n, "".join(rng.choices(a, k=n))) for n, a in sets.items() for i in range(20)}
+    plain = ["a short text of plain words", "internationalization and misunderstandings/of-the-long_kind", "https://example.org/blog/the-history-of-the-english-language-and-its-words",
+             "x" * 60, "-" * 80, "the-quick-brown-fox-jumps-over-the-lazy-dog-and-runs-away-from-it-2024", "20240131235959123"]
+    rows = [(d, f"key {k} end") for d, (_, k) in keys.items()] + list(enumerate(plain))
+    got = {r.doc_id: r.spans for r in secret_scan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n in sets:
+        assert sum(got[d] == f"random:4:{4 + n}" for d, (m, _) in keys.items() if m == n) >= 18, n
+    assert not any("random" in got[i] for i in range(len(plain)))
+
+
 def test_personal_data(spark, docs, texts, edge, nothing):
     names = ("email", "ip", "card", "phone")
     check_spans(sanitise.personal_spans(docs).collect(), [(r.doc_id, r.text) for r in texts.values()], PERSONAL, names)
