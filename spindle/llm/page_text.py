@@ -3,14 +3,17 @@
 Each page is parsed once into text blocks, each with the digests of the element
 subtrees around it. Digests are counted per host in Spark, once a page; a
 subtree that recurs across many pages of its host is template and is deleted
-with all it holds. What no count can show on a host of few pages is known by
-its role: elements, roles and class words of menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and comments.
+with all it holds. Menus, headers, footers, sidebars, notices, adverts, forms
+and comments are counted by what they are called, as their words and shape
+change from page to page. On hosts of fewer than ``FEW_PAGES`` pages, where no
+count can show it, they go by that name alone. No name counts on an element
+that holds the article or, without one, most of the page's text.
 
 Outside a page's article a subtree's digest is over its elements (a menu keeps
 its shape when its words change); inside, or on a page without an article
-element, it also covers the words, and subtrees with paragraphs or headings are
-never template, so that articles which repeat on a host stay whole.
+element, it also covers the words. Inside an article, subtrees with paragraphs
+or headings are never template, so that articles which repeat on a host stay
+whole; on a page without one they are, unless they are most of its text.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from spindle.llm.common import stash
 MIN_PAGES = 3           # a template is seen on as many pages of its host at least,
 OUTSIDE_SHARE = 0.05    # on this share of the host's pages outside articles,
 INSIDE_SHARE = 0.5      # and on this share inside
+FEW_PAGES = 10          # hosts of fewer pages go by role words, too
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -43,6 +47,7 @@ CLOSES_SAME = {k: frozenset(v.split()) for k, v in CLOSES_SAME.items()}
 SCOPES = {"li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "option": frozenset(("select",))}
 DROPPED = frozenset("head script style noscript template nav footer aside form button select textarea input iframe object svg canvas "
                     "dialog menu title xmp noembed noframes".split())
+UNSHOWN = DROPPED - frozenset("nav footer aside form dialog menu".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 DROPPED_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer ad ads advert adverts advertisement "
                           "adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay "
@@ -56,10 +61,11 @@ WORDS = re.compile(r"[^a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "prose", "holds_main")
+    __slots__ = ("tag", "attrs", "children", "prose", "holds_main", "size")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.children, self.prose, self.holds_main = tag, [], tag in PROSE, False
+        self.size = 0
         found = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attrs)} if attrs.strip("/ \n") else {}
         self.attrs = found
 
@@ -123,11 +129,15 @@ def is_main(n: Node) -> bool:
     return n.tag in ("article", "main") or n.attrs.get("role") in ("main", "article") or n.attrs.get("itemprop") == "articleBody"
 
 
+def invisible(n: Node) -> bool:
+    """Never shown, on whatever host."""
+    return (n.tag in UNSHOWN or "hidden" in n.attrs or n.attrs.get("aria-hidden") == "true"
+            or "display:none" in n.attrs.get("style", "").replace(" ", "").lower())
+
+
 def by_role(n: Node, inside: bool) -> bool:
     """Boilerplate by what the element says it is."""
-    if n.tag in DROPPED or n.attrs.get("role") in DROPPED_ROLES or "hidden" in n.attrs or n.attrs.get("aria-hidden") == "true":
-        return True
-    if "display:none" in n.attrs.get("style", "").replace(" ", "").lower():
+    if n.tag in DROPPED or n.attrs.get("role") in DROPPED_ROLES:
         return True
     words = n.words()
     if words & DROPPED_WORDS and n.tag not in ("html", "body", "main"):
@@ -135,17 +145,46 @@ def by_role(n: Node, inside: bool) -> bool:
     return not inside and (n.tag == "header" or bool(words & HEAD_WORDS)) and n.tag not in ("html", "body")
 
 
-def _mark(n: Node) -> None:
-    """Which elements hold the article, and which hold prose (bottom up, no recursion)."""
-    order, todo = [], [n]
+def _mark(root: Node) -> None:
+    """Which elements hold the article or, on a page without one, most of the text, and
+    which hold prose (no recursion). The article is the longest one; one that no role
+    word stands around is preferred if it is half as long."""
+    order, todo, above = [], [(root, False)], {}
     while todo:
-        x = todo.pop()
-        order.append(x)
-        todo.extend(c for c in x.children if isinstance(c, Node))
-    for x in reversed(order):
-        kids = [c for c in x.children if isinstance(c, Node)]
-        x.prose = x.prose or any(c.prose for c in kids)
-        x.holds_main = not by_role(x, True) and (is_main(x) or any(c.holds_main for c in kids))
+        x, roled = todo.pop()
+        order.append((x, roled))
+        if not invisible(x):
+            for c in x.children:
+                if isinstance(c, Node):
+                    above[id(c)] = x
+                    todo.append((c, roled or by_role(x, True)))
+    for x, _ in reversed(order):
+        if not invisible(x):
+            kids = [c for c in x.children if isinstance(c, Node)]
+            x.prose = x.prose or any(c.prose for c in kids)
+            x.size = sum(c.size for c in kids) + sum(len("".join(c.split())) for c in x.children if isinstance(c, str))
+    mains = [(x, roled) for x, roled in order if is_main(x) and x.size]
+    if mains:
+        most = max(x.size for x, _ in mains)
+        x = next((x for x, roled in sorted(mains, key=lambda m: -m[0].size) if not roled and 2 * x.size >= most),
+                 next(x for x, _ in mains if x.size == most))
+        path = set(map(id, _up(x, above)))
+        # several articles below a role word, none most of the text: comments or teasers
+        alone = all(id(y) in path or any(z is x for z in _up(y, above)) for y, _ in mains)
+        if alone or 2 * x.size > root.size:
+            for y in _up(x, above):
+                y.holds_main = True
+    # further articles that no role word stands on or around
+    for x, roled in mains:
+        if not roled and not by_role(x, True):
+            for y in _up(x, above):
+                y.holds_main = True
+
+
+def _up(x: Node, above: dict[int, Node]) -> Iterator[Node]:
+    while x is not None:
+        yield x
+        x = above.get(id(x))
 
 
 def digest(*parts: str) -> int:
@@ -178,9 +217,10 @@ def subtree(n: Node, words: bool, done: dict[tuple[int, bool], int]) -> int:
     return done[id(n), words]
 
 
-def blocks(html: str) -> tuple[list[tuple[str, list[int], list[int]]], set[tuple[int, bool]]]:
+def blocks(html: str) -> tuple[list[tuple[str, list[int], list[int], list[int], bool]], set[tuple[int, bool]]]:
     """A page's text units, each with the subtree digests around it (outside and inside
-    the article), and all digests of the page with whether they lie inside."""
+    the article, and of prose on a page without one) and whether a role word stands
+    around it, and all digests of the page with whether they lie inside."""
     root = parse(html)
     _mark(root)
     done: dict[tuple[int, bool], int] = {}
@@ -192,23 +232,37 @@ def blocks(html: str) -> tuple[list[tuple[str, list[int], list[int]]], set[tuple
             runs.append((around, []))
         runs[-1][1].append(text)
 
-    todo: list[tuple] = [(root, not root.holds_main, ((), ()))]
+    bare = not root.holds_main
+    todo: list[tuple] = [(root, bare, ((), (), (), False))]
     while todo:
         x, inside, around = todo.pop()
         if isinstance(x, str):
             add(around, entities.unescape(x) if "&" in x else x)
             continue
-        inside = inside or is_main(x)
+        out, ins, prose, role = around
+        inside = not role and (inside or is_main(x))
+        kept = x.holds_main or 2 * x.size > root.size and bare
+        if not role and not kept and by_role(x, inside):
+            # known by its name, not by its words: its shape may change from page to page
+            role, inside, d = True, False, digest("role", x.tag, " ".join(sorted(x.words())))
+            counted.add((d, False))
+            out = (*out, d)
+            around = (out, ins, prose, role)
         if x.tag not in INLINE:
             add(around, " ")
             todo.append((" ", inside, around))
-            if x.tag not in ("#root", "html", "body", "head", "br", "hr") and not x.holds_main and (not inside or not x.prose):
-                d = subtree(x, inside, done)
-                counted.add((d, inside))
-                around = (around[0], (*around[1], d)) if inside else ((*around[0], d), around[1])
-        if not by_role(x, inside):
+            if x.tag not in ("#root", "html", "body", "head", "br", "hr") and not x.holds_main:
+                if not inside or not x.prose:
+                    d = subtree(x, inside, done)
+                    counted.add((d, inside))
+                    around = (out, (*ins, d), prose, role) if inside else ((*out, d), ins, prose, role)
+                elif bare and not kept:
+                    d = subtree(x, True, done)
+                    counted.add((d, True))
+                    around = (out, ins, (*prose, d), role)
+        if not invisible(x):
             todo.extend((c, inside, around) for c in reversed(x.children))
-    units = [(t, list(out), list(ins)) for (out, ins), parts in runs if (t := " ".join("".join(parts).split()))]
+    units = [(t, *map(list, around[:3]), around[3]) for around, parts in runs if (t := " ".join("".join(parts).split()))]
     return units, counted
 
 
@@ -217,7 +271,8 @@ def parsed(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_co
     src = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                     F.coalesce(F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit("")).alias("host"),
                     F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    unit = pa.struct([("text", pa.string()), ("outside", pa.list_(pa.int64())), ("inside", pa.list_(pa.int64()))])
+    unit = pa.struct([("text", pa.string()), ("outside", pa.list_(pa.int64())), ("inside", pa.list_(pa.int64())),
+                      ("prose", pa.list_(pa.int64())), ("role", pa.bool_())])
     seen = pa.struct([("digest", pa.int64()), ("inside", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,25 +282,26 @@ def parsed(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_co
                 units, digests = [], []
                 for h in part["html"]:
                     u, c = blocks(h.as_py())
-                    units.append([{"text": t, "outside": o, "inside": i} for t, o, i in u])
+                    units.append([{"text": t, "outside": o, "inside": i, "prose": p, "role": r} for t, o, i, p, r in u])
                     digests.append([{"digest": d, "inside": i} for d, i in sorted(c)])
                 yield pa.RecordBatch.from_arrays(
                     [part["page_id"], part["url"], part["host"], pa.array(units, pa.list_(unit)), pa.array(digests, pa.list_(seen))],
                     names=["page_id", "url", "host", "units", "digests"])
 
     return stash(src.mapInArrow(run, "page_id long, url string, host string, units array<struct<text:string,outside:array<bigint>,"
-                                     "inside:array<bigint>>>, digests array<struct<digest:bigint,inside:boolean>>"), "pages")
+                                     "inside:array<bigint>,prose:array<bigint>,role:boolean>>, digests array<struct<digest:bigint,inside:boolean>>"), "pages")
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Per host the digests that recur on enough of its pages; their number is at most
+    """Per host its pages and the digests that recur on enough of its pages; their number is at most
     the digests of a page divided by the share."""
     total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     seen = (pages.select("host", F.explode("digests").alias("d")).groupBy("host", "d.digest", "d.inside")
                  .agg(F.count(F.lit(1)).alias("c")))
     share = F.when(F.col("inside"), INSIDE_SHARE).otherwise(OUTSIDE_SHARE)
-    return (seen.join(total, "host").filter((F.col("c") >= min_pages) & (F.col("c") >= share * F.col("pages")))
-                .groupBy("host").agg(F.collect_set("digest").alias("template")))
+    recurring = (seen.join(total, "host").filter((F.col("c") >= min_pages) & (F.col("c") >= share * F.col("pages")))
+                     .groupBy("host").agg(F.collect_set("digest").alias("template")))
+    return total.join(recurring, "host", "left")
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -259,10 +315,14 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     """
     pages = parsed(df, id_col, url_col, html_col)
     # stored, so that its size is known when the join is planned and few hosts' templates are broadcast
-    j = pages.drop("digests").join(stash(templates(pages, min_pages), "templates"), "host", "left")
+    j = pages.drop("digests").join(stash(templates(pages, min_pages), "templates"), "host")
     t = F.coalesce("template", F.array().cast("array<bigint>"))
-    stays = F.filter("units", lambda u: ~F.arrays_overlap(u["outside"], t) & ~F.arrays_overlap(u["inside"], t))
-    out = j.select("page_id", "url", F.size("units").alias("blocks"), stays.alias("kept"))
+    few = F.col("pages") < FEW_PAGES
+    stays = F.filter("units", lambda u: ~F.arrays_overlap(u["outside"], t) & ~F.arrays_overlap(u["inside"], t) & ~(few & u["role"]))
+    j = j.select("page_id", "url", F.size("units").alias("blocks"), stays.alias("all"), F.filter(stays, lambda u: ~F.arrays_overlap(u["prose"], t)).alias("own"))
+    size = lambda c: F.aggregate(c, F.lit(0), lambda n, u: n + F.length(u["text"]))
+    # what recurs is no template where it is most of the page, as on copies of a page
+    out = j.select("page_id", "url", "blocks", F.when(2 * size("own") >= size("all"), F.col("own")).otherwise(F.col("all")).alias("kept"))
     out = out.withColumn("text", F.array_join(F.transform("kept", lambda u: u["text"]), " "))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"),
                       (F.col("blocks") - F.size("kept")).alias("template_blocks"))

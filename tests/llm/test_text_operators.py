@@ -40,6 +40,23 @@ def test_pages_by_role_and_by_template(spark):
     assert page_text.main_text(one.filter("page_id < 0")).collect() == []
 
 
+def test_pages_role_words_spare_the_article_and_prose_is_counted(spark):
+    body = "<p>%s</p><p>more of the text of this page</p>"
+    rows = [(1, "https://a.example/", "<div class=menu>m</div><div class='content has-sidebar'><article class='post tag-social'><p>Body</p></article><aside>s</aside></div>"),
+            (2, "https://b.example/", f"<body><form id=aspnet><div class=nav>n</div><div class=entry-with-comments>{body % 'first'}</div></form></body>")]
+    rows += [(100 + i, "https://c.example/", f"<body><div class=zq><p>We keep your data</p></div><div>{body % f'page {i} has words of its own that no other page of this host has, such as number {i * i}'}<div>own {i}</div></div></body>") for i in range(12)]
+    rows += [(200, "https://c.example/", f"<body><div>{body % 'rare and long enough to be most of its page'}<div class=promotion><p>of a rook</p></div></div></body>")]
+    rows += [(300 + i, "https://d.example/", "<body><div><p>same one</p><p>same two</p></div></body>") for i in range(12)]
+    rows += [(400 + i, "https://e.example/", "<body><article><p>the text</p></article><div id=comments>" + "".join(f"<article><p>reader {i} {k}</p></article>" for k in range(i % 5))
+              + "</div></body>") for i in range(25)]
+    got = {r.page_id: r.text for r in page_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Body" and got[2] == "first more of the text of this page"
+    assert got[103] == "page 3 has words of its own that no other page of this host has, such as number 9 own 3"  # without the notice and the sentence that recurs
+    assert got[200] == "rare and long enough to be most of its page of a rook"             # a role word that does not recur on a host of many pages
+    assert got[300] == "same one same two"
+    assert {got[400 + i] for i in range(25)} == {"the text"}
+
+
 def check_fingerprints(rows, found):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     want = []
