@@ -6,7 +6,8 @@ characters. Over the training rows, Spark counts in how many texts of either
 class a feature occurs; the log-count ratio ``r`` of the smoothed counts scales
 the feature, and a logistic regression is fitted on the scaled features. The
 fit uses at most ``PER_CLASS`` labelled rows a class (those of the smallest
-identifier hash) and the ``SELECTED`` features of the highest likelihood-ratio
+identifier hash; the intercept is then moved by the log odds of the share taken
+of either class, so that scores keep the rate of all labelled rows) and the ``SELECTED`` features of the highest likelihood-ratio
 statistic; both bounds are parameters. Scoring reads every whole text in one
 pass without a shuffle.
 
@@ -67,11 +68,16 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
+def training_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """``__id, y``: the labelled identifiers outside the held-out fold."""
+    return (labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+                  .groupBy(F.col(id_col).alias("__id")).agg((F.max(label_col) > 0).cast("int").alias("y")))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
                   per_class: int) -> DataFrame:
     """``__text, y``: at most ``per_class`` labelled rows a class, none of the held-out fold."""
-    known = (labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-                   .groupBy(F.col(id_col).alias("__id")).agg((F.max(label_col) > 0).cast("int").alias("y")))
+    known = training_labels(labels, id_col, label_col)
     order = [F.xxhash64("__id"), F.col("__id")]
     picked = None
     for y in (0, 1):
@@ -126,6 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     sample = table.mapInArrow(narrow, "y int, ids binary").toPandas()  # at most 2 * per_class rows
     weights, intercept = regression([np.frombuffer(x, "<u4") for x in sample["ids"]], sample["y"].to_numpy(float), ratio)
+    of = {r["y"]: r["n"] for r in training_labels(labels, id_col, label_col).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    intercept += float(np.log(max(1, of[1] / per_class)) - np.log(max(1, of[0] / per_class)))
     return Model(feats, weights, intercept)
 
 

@@ -122,6 +122,14 @@ def test_toxicity_edges(spark, edge, nothing):
     assert toxicity.drop_toxic(edge, none).count() == edge.count()
 
 
+def test_toxicity_keeps_the_rate_of_all_labels(spark):
+    rows = spark.createDataFrame([(i, "the same words") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    for per_class in (20, 10_000):  # fewer and more than the labelled rows
+        model = toxicity.fit(rows, labels, per_class=per_class)
+        assert 0.05 < toxicity.score(rows, model).first().score < 0.2
+
+
 def check_spans(found, rows, kinds, names):
     want = sorted(str((d, [sum(k == n for _, _, k, _ in b) for n in names], sha(base_text(b)))) for d, b in ((d, base(t, kinds)) for d, t in rows))
     assert sorted(str((r.doc_id, [r[f"n_{n}"] for n in names], r.base_sha256)) for r in found) == want
