@@ -36,8 +36,10 @@ class RoundRobin:
 
     ``totals``: tokens by source; ``weights``: target proportions (default: the
     totals, so every window has the corpus' own mixture). A source that runs
-    dry hands its quantum to the others. A round is one window unless there are
-    so many sources that quanta fall to a few tokens; then it is more windows.
+    dry hands its quantum to the others. A round is one window. Where there are so
+    many sources that the widest could not lend the window's tokens, tokens go in
+    the order in which the fluid model ends them, each source shifted by a phase of
+    its own so that few fall due at once.
     """
 
     def __init__(self, totals: list[int], weights: list[float] | None = None, length: int = LENGTH):
@@ -63,22 +65,44 @@ class RoundRobin:
         legs = np.diff(self.at)[:, None]
         self.slope = np.divide(np.diff(self.sent, axis=0), legs, out=np.zeros((len(legs), n)), where=legs > 0)
         share = w[self.lender] / w[self.totals > 0].sum() if total else 1.0
-        self.windows = max(1, int(np.ceil(2 * n / (share * length))))   # the lender never runs negative
-        self.round = self.windows * length
+        self.lends = 2 * n <= share * length   # the lender never runs negative
+        self.phase = (np.arange(n) * 0.6180339887498949 + 0.5) % 1
+        self.round = length
         self.rounds = -(-total // self.round)
         self.total = total
 
     def after(self, rounds: np.ndarray) -> np.ndarray:
         """Array (rounds, sources): whole tokens sent after so many rounds."""
         x = np.minimum(np.asarray(rounds, np.int64) * self.round, self.total)
-        leg = np.minimum(np.searchsorted(self.at, x, side="right") - 1, len(self.slope) - 1)
-        fluid = self.sent[leg] + (x - self.at[leg])[:, None] * self.slope[leg]
+        if not self.lends:
+            return self._by_due(x)
+        fluid = self._fluid(x)
         out = np.minimum(np.ceil(fluid - 1e-6).astype(np.int64), self.totals)
         out[x == self.total] = self.totals
         out[:, self.lender] = 0
         out[:, self.lender] = x - out.sum(1)
         return out
 
+    def _fluid(self, x: np.ndarray) -> np.ndarray:
+        leg = np.minimum(np.searchsorted(self.at, x, side="right") - 1, len(self.slope) - 1)
+        return self.sent[leg] + (x - self.at[leg])[:, None] * self.slope[leg]
+
+    def _due(self, t: np.ndarray) -> np.ndarray:
+        return np.minimum(np.floor(self._fluid(t) + self.phase).astype(np.int64), self.totals)
+
+    def _by_due(self, x: np.ndarray) -> np.ndarray:
+        """The first ``x`` tokens of all by the fluid time at which they fall due."""
+        lo, hi = np.zeros(len(x)), np.full(len(x), float(self.total))
+        while ((mid := (lo + hi) / 2) > lo).any() and (hi - lo).max() > 1e-7:
+            early = self._due(mid).sum(1) <= x
+            lo, hi = np.where(early, mid, lo), np.where(early, hi, mid)
+        out = self._due(lo)
+        tied = np.where((x < self.total)[:, None], self._due(hi) - out, 0)  # due at one time: in the order of sources
+        before = np.cumsum(tied, 1) - tied
+        out += np.clip((x - out.sum(1))[:, None] - before, 0, tied)
+        out[x == self.total] = self.totals
+        return out
+
     def span(self, s: int, token: int, n: int) -> tuple[int, np.ndarray]:
         """First round, and ``after`` from that round on, in which source ``s``
         sends its ``n`` tokens from number ``token`` on."""
@@ -167,7 +191,7 @@ def _pieces(b: pa.RecordBatch, rr: RoundRobin, index: dict, length: int) -> Iter
         for k in range(len(ends) - 1):
             a, e = max(queue, ends[k]), min(queue + n, ends[k + 1])
             place = (first + k) * rr.round + ahead[k + 1] - ahead[k] + a - ends[k]  # in the packed stream
-            while a < e:  # a round of several windows is cut at each window, too
+            while a < e:
                 step = min(e - a, length - place % length)
                 x = a - queue
                 out.append((doc, x, step, zlib.crc32(ids[4 * x:4 * (x + step)]), n, place // length, place % length, source))

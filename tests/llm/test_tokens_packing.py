@@ -145,3 +145,16 @@ def test_long_documents_leave_no_short_batch_inside_a_shard(tmp_path):
         assert start == at and np.array_equal(np.concatenate(parts), want[doc])
         at += len(want[doc])
     assert at == out.total == sum(sizes)
+
+
+@pytest.mark.parametrize("n", [64, 300])
+@pytest.mark.parametrize("kind", ["equal", "uneven"])
+def test_every_window_of_many_sources_has_the_mixture(n, kind):
+    totals = [40_000] * n if kind == "equal" else np.random.default_rng(n).integers(1_000, 80_000, n).tolist()
+    rr = packing.RoundRobin(totals)
+    assert rr.round == packing.LENGTH
+    sent = rr.after(np.arange(rr.rounds + 1))
+    got = np.diff(sent, axis=0)
+    want = packing.LENGTH * np.asarray(totals) / sum(totals)
+    assert (got >= 0).all() and (got[:-1].sum(1) == packing.LENGTH).all() and (sent[-1] == totals).all()
+    assert np.abs(got[:-1] - want).max() < 1.5
