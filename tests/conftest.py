@@ -6,8 +6,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF_SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -25,6 +23,3 @@ def spark():
     yield s
     s.stop()
 
-
-def edges_df(spark, pairs, typ="int"):
-    return spark.createDataFrame(pairs, f"src {typ}, dst {typ}")

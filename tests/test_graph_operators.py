@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import edges_df
+from shapes import edges_df
 from spindle.operators.graph import algebra as GA
 from spindle.operators.graph import cycles as GC
 from spindle.operators.graph import edges as E

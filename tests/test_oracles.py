@@ -4,7 +4,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from shapes import SF_SMALL
 from spindle.plans.oracle_check import compare, duck
 
 QUERIES = entry.queries()

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from shapes import SF_SMALL
 from spindle.operators import forest as M
 from spindle.operators import quality as q
 from spindle.operators import retrieval as R
