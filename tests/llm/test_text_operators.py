@@ -5,7 +5,7 @@ import re
 import zlib
 
 from brute import PERSONAL, SECRET, base, base_text, sha
-from conftest import SF
+from llm_rows import SF
 
 from spindle.llm import merkle, page_text, sanitise, secret_scan, toxicity
 
