@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindle.llm.common import partitions, shared_path, whole_text
+from spindle.llm.common import partitions, shared_path, tidy, whole_text
 from spindle.llm.tokens import encoder, id_type
 from spindle.session import cut_lineage
 
@@ -129,7 +129,7 @@ def write_shards(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                                                         ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     # reliable checkpoint: one row a shard; shards are written once and never again
-    return cut_lineage(src.mapInArrow(write, "shard long, root string, name string, n_docs long, n_tokens long"))
+    return cut_lineage(src.mapInArrow(tidy(write, lambda: encoder(tokenizer).forget()), "shard long, root string, name string, n_docs long, n_tokens long"))
 
 
 def open_shard(root: str, name: str):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,40 +23,63 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_WORKING: list[str] | None = None  # tables of the pipeline stage at hand
+_WORKING: ContextVar[list[str] | None] = ContextVar("working_tables", default=None)  # of the thread's pipeline stage
 
 
 @contextmanager
 def working_tables() -> Iterator[list[str]]:
-    """Collects the paths that :func:`stash` writes inside the block."""
-    global _WORKING
-    before, _WORKING = _WORKING, []
+    """Collects the paths that :func:`stash` writes inside the block, in its thread."""
+    paths: list[str] = []
+    token = _WORKING.set(paths)
     try:
-        yield _WORKING
+        yield paths
     finally:
-        _WORKING = before
+        _WORKING.reset(token)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def delete_tables(spark: SparkSession, paths: list[str]) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while paths:
-        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
-        path.getFileSystem(conf).delete(path, True)
+        fs, at = _file_system(spark, paths.pop())
+        fs.delete(at, True)
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage: what follows reads committed files that every executor
-    sees, so a lost executor costs a re-read and never a recomputation.
+    sees, so a lost executor costs a re-read and never a recomputation. The table
+    goes when the driver ends, or earlier by :func:`delete_tables`.
     """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    if _WORKING is not None:
-        _WORKING.append(path)
+    fs, at = _file_system(df.sparkSession, path)
+    fs.deleteOnExit(at)
+    if (made := _WORKING.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable[[Iterator], Iterator], *forget: Callable[[], None]) -> Callable[[Iterator], Iterator]:
+    """``run`` of a Python task, after which the worker gives back what it held: memos by
+    ``forget``, then the free memory of Arrow's pool and of the C heap."""
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow as pa
+            for f in forget:
+                f()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+    return task
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindle.llm.common import partitions, stash, whole_text
+from spindle.llm.common import partitions, stash, tidy, whole_text
 from spindle.session import cut_lineage
 
 WORDS = 5
@@ -39,7 +39,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 CENTRES = 4            # members compared with all others, per bucket
 BLOCK = 512            # members of a larger bucket that a task holds of either side
-MEMO = 100_000         # word hashes kept per worker
+MEMO = 12 << 20        # bytes of word hashes kept in a task
+TEXTS, BYTES = 256, 2_000_000   # texts, and their bytes, whose darts are thrown at once
 
 U64 = np.uint64
 
@@ -53,17 +54,28 @@ def mix(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 class WordHashes(dict):
+    held = 0  # bytes, about
+
     def __missing__(self, word: str) -> int:
         import xxhash
-        if len(self) >= MEMO:
-            self.clear()
+        if self.held >= MEMO:
+            self.forget()
         h = self[word] = xxhash.xxh64_intdigest(word)
+        self.held += 200 + 2 * len(word)
         return h
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
 
 _WORDS = WordHashes()
 
 
+def forget_words() -> None:
+    _WORDS.forget()
+
+
 def shingles(words: list[str], size: int = WORDS) -> np.ndarray:
     """Hashes of the runs of ``size`` words (a shorter text is one run), with repeats."""
     if not words:
@@ -152,8 +164,9 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_ba
             at = 0
             sizes = np.frombuffer(b["text"].buffers()[1], np.int32)[b["text"].offset:b["text"].offset + b.num_rows + 1] \
                 if pa.types.is_string(b["text"].type) else np.arange(b.num_rows + 1) * 4096
-            while at < b.num_rows:  # about 2 MB of text at a time
-                end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + 2_000_000, side="right")) - 1)
+            while at < b.num_rows:
+                end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + BYTES, side="right")) - 1)
+                end = min(end, at + TEXTS)  # a text takes about 57 KB of darts, whatever its length
                 yield block(b.slice(at, end - at))
                 at = end
 
@@ -172,7 +185,8 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_ba
              pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.reshape(-1), pa.int64()))],
             names=["id", "key", "node", "n", "shingles", "bands"])
 
-    return stash(src.mapInArrow(run, "id long, key binary, node binary, n int, shingles binary, bands array<bigint>"), "near-features")
+    shape = "id long, key binary, node binary, n int, shingles binary, bands array<bigint>"
+    return stash(src.mapInArrow(tidy(run, forget_words), shape), "near-features")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -189,7 +203,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -
                 ok.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
             yield x.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(tidy(run), "u binary, v binary")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindle.llm.common import stash, whole_text
+from spindle.llm.common import stash, tidy, whole_text
 from spindle.llm.tokens import encoder, id_type
 
 LENGTH = 2048
@@ -146,7 +146,7 @@ def tokenised(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
                      pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
                     names=["__id", "__source", "pid", "place", "n", "ids"])
 
-    return stash(src.mapInArrow(encode, "__id long, __source string, pid long, place long, n long, ids binary"), "tokens")
+    return stash(src.mapInArrow(tidy(encode, lambda: encoder(tokenizer).forget()), "__id long, __source string, pid long, place long, n long, ids binary"), "tokens")
 
 
 def pack(df: DataFrame, tokenizer: str, weights: dict[str | None, float] | None = None, length: int = LENGTH,

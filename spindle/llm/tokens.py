@@ -3,7 +3,8 @@
 The pre-tokenizers of the supported files never let a token cross the start of
 a word that follows a space, so a text is cut at its spaces, each distinct word
 is encoded once by the library and its ids are kept. Texts in which that cut
-would not be a token boundary, and words other than plain letters with plain
+would not be a token boundary, texts that hold the string of an added token
+(one id, as the library has it), and words other than plain letters with plain
 punctuation behind them, go through the library's whole pipeline.
 """
 
@@ -15,7 +16,8 @@ import struct
 from functools import lru_cache
 
 END_ID = 1
-MEMO = 200_000      # entries kept per worker and table: the first, so the frequent ones
+MEMO = 16 << 20     # bytes kept per table, in one task: the first words, so the frequent ones
+ENTRY = 200         # bytes of an entry besides its characters
 INNER, UNCUT = re.compile(r" \s"), re.compile(r"\s \s")
 PUNCTUATION = ".,;:!?*%$&#)|"
 
@@ -36,7 +38,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.marks = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         spec = json.loads(self.tok.to_str())
         self.vocab = self.tok.get_vocab_size()
         self.spaced = spec["pre_tokenizer"]["type"] == "ByteLevel"  # a word's space is part of its token
@@ -47,6 +49,7 @@ class Encoder:
         self.space = chr(self.alphabet[32])
         self.model = self.tok.model
         self.pieces: dict[str, bytes] = {}
+        self.held = 0  # bytes of ``pieces``
         self.line_end = self.whole("\n") if self.spaced else b""
         self.first, self.rest = _Words(self, ""), _Words(self, " " if self.spaced else "")
 
@@ -61,13 +64,21 @@ class Encoder:
             else:
                 mapped = text.encode().decode("latin-1").translate(self.alphabet)
             ids = as_bytes([t.id for t in self.model.tokenize(mapped)])
-            if len(self.pieces) < MEMO:
+            if self.held < MEMO:
                 self.pieces[text] = ids
+                self.held += ENTRY + 2 * len(text) + len(ids)
         return ids
 
+    def forget(self) -> None:
+        """Empties the memos, as at the end of a task."""
+        self.pieces, self.held = {}, 0
+        for w in (self.first, self.rest):
+            w.clear()
+            w.held = 0
+
     def encode(self, text: str) -> bytes:
         # a space between two white spaces is no boundary where spaces are tokens
-        if self.spaced and INNER.search(text) and UNCUT.search(text):
+        if self.spaced and INNER.search(text) and UNCUT.search(text) or any(m in text for m in self.marks):
             return self.whole(text)
         head, *words = text.split(" ")
         return self.first[head] + b"".join(map(self.rest.__getitem__, words))
@@ -80,7 +91,7 @@ class Encoder:
 class _Words(dict):
     def __init__(self, enc: Encoder, space: str):
         super().__init__()
-        self.enc, self.space = enc, space
+        self.enc, self.space, self.held = enc, space, 0
 
     def __missing__(self, chunk: str) -> bytes:
         enc = self.enc
@@ -94,8 +105,9 @@ class _Words(dict):
             ids = enc.line_end.join([self[lines[0]], *map(enc.first.__getitem__, lines[1:])])
         else:
             ids = enc.whole(self.space + chunk)
-        if len(self) < MEMO:
+        if self.held < MEMO:
             self[chunk] = ids
+            self.held += ENTRY + 2 * len(chunk) + len(ids)
         return ids
 
 

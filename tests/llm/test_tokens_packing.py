@@ -4,20 +4,19 @@ import numpy as np
 import public_tokenizers
 import pytest
 from brute import crc, ids_of
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spindle.llm import arrow_ids, packing
 from spindle.llm.tokens import Encoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-ODD = ["", " ", "  ", "a  b", "a   b", " lead", "trail ", "a \n b", "a\n \nb", "don't we'll I'm", "x's", "<|endoftext|> end", "ΣΑΣ İstanbul ﬁ",
+ODD = ["", " ", "  ", "a  b", "a   b", " lead", "trail ", "a \n b", "a\n \nb", "don't we'll I'm", "x's", "<|endoftext|> end", "a <|endoftext|> b", "x<|startoftext|>y <|endoftext|><|endoftext|>  z", "<|ENDOFTEXT|> <|endoftext |>", "ΣΑΣ İstanbul ﬁ",
        "é é", "😀😀 🎉", "tab\tb", " nbsp   x", "word.,;", "|||", "1234 12a a12", "a.\nB c\n\nd\t\ne f\n", "x,\ny;\nz \n q", "ªº µ", "\x1c\x1d a", "a b c", "'s 't", " 's"]
 
 
 def library(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
@@ -158,3 +157,27 @@ def test_every_window_of_many_sources_has_the_mixture(n, kind):
     want = packing.LENGTH * np.asarray(totals) / sum(totals)
     assert (got >= 0).all() and (got[:-1].sum(1) == packing.LENGTH).all() and (sent[-1] == totals).all()
     assert np.abs(got[:-1] - want).max() < 1.5
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_literal_added_tokens_are_one_id(spark, path):
+    rows = [(1, "a <|endoftext|> b"), (2, "plain words"), (3, "<|startoftext|>x <|endoftext|>"), (4, None), (5, "<|endoftext|>" * 3000)]
+    df, tok = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s")), library(path)
+    got = {r.doc_id: r for r in arrow_ids.read_documents(arrow_ids.write_shards(df, path)).collect()}
+    at = 0
+    for d, t in rows:
+        ids = ids_of(tok, t)
+        assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (at, len(ids), crc(ids))
+        at += len(ids)
+    check_packing(packing.pack(df, path).collect(), {d: [ids_of(tok, t)] for d, t in rows})
+
+
+def test_memos_are_bounded_by_bytes_and_emptied(monkeypatch):
+    from spindle.llm import tokens
+    monkeypatch.setattr(tokens, "MEMO", 4000)
+    enc, tok = Encoder(BYTE), library(BYTE)
+    text = " ".join(f"word{'x' * (i % 50)}q{chr(97 + i % 26)}" for i in range(3000))
+    assert list(np.frombuffer(enc.encode(text), "<u4")) == tok.encode(text, add_special_tokens=False).ids
+    assert enc.rest.held <= 4000 + 400 and enc.held <= 4000 + 400 and len(enc.rest) < 30
+    enc.forget()
+    assert not enc.rest and not enc.pieces and enc.rest.held == enc.held == 0
