@@ -1,16 +1,22 @@
 """Personal data by pattern and by what reveals it (operator 10, native).
 
 Protected entities are e-mail addresses, IP addresses, card and phone numbers.
-Beyond them the corpus tells which terms give an entity away: a term ``t`` near
-an entity ``c`` discloses ``PMI(c; t)`` of the entity's information content
-``IC(c) = -log p(c)``, both estimated from document counts over the whole
-corpus. A term that discloses at least ``REMOVE`` of it beside the entity is
-removed, one that discloses at least ``GENERALISE`` is generalised.
-
-Near is a window of ``NEAR`` code points on either side of each entity, so the
-pairs grow with the entities and not with the square of a text. Terms are
-counted over all documents; a pair seen in fewer than ``SUPPORT`` documents is
-no evidence.
+Beyond them the corpus tells which terms give an entity away. In a document that
+holds an entity ``c``, a term ``t`` discloses ``log(p(c|t) / p(c))`` of the
+entity's information content ``log(1 / p(c))``, estimated from counts of whole
+documents over the whole corpus. A document is no evidence against itself, so
+the document at hand is left out of ``p(c|t)``, which is smoothed towards
+``p(c)``: an entity or a term that stands in no other document discloses
+nothing. Every occurrence, anywhere in the document, of a term that discloses at
+least ``REMOVE`` of one of its entities is removed; one that discloses at least
+``GENERALISE`` is generalised: a number keeps its leading half, another term
+becomes the form it has (a name, a code, a word).
+
+The bound ``p(c|t) <= (n_c - 1 + a p(c)) / (n_t - 1 + a)`` tells, before any pair
+is made, which terms are too frequent to disclose ``c``; no other pair is left
+out. Entities that stand in the same documents are one class, terms likewise,
+and pairs are counted between classes, so a document of many entities, or many
+copies of one, do not multiply them.
 """
 
 from __future__ import annotations
@@ -19,17 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindle.llm.common import stash, whole_text
-from spindle.llm.spans import count_of, find_spans, joined, redact, tagged
+from spindle.llm.spans import bracketed, count_of, find_spans, joined, replaced, tagged
 
 # Starts of runs only (or the end of the last match): the same matches, without a new try inside a run.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"\p{L}{3,}"
+TERM = r"[\p{L}\p{N}]{2,}+"
 KINDS = ("email", "ip", "card", "phone")
-NEAR = 64
-SUPPORT = 3
+SMOOTH = 1.0                    # documents of the prior in p(c|t)
 REMOVE, GENERALISE = 0.9, 0.75
 
 
@@ -54,59 +59,82 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[tagged(s, k, i) for i, (k, s) in enumerate(zip(KINDS, found, strict=True))]))
 
 
-def _neighbours(text: Column, base: Column) -> Column:
-    """``array<struct<entity, term, start, end>>`` of the terms near each entity."""
-    def near(b: Column) -> Column:
-        lo = F.greatest(b["start"] - NEAR, F.lit(0))
-        hi = F.least(b["end"] + NEAR, F.length(text))
-        words = F.transform(find_spans(F.substring(text, lo + 1, hi - lo), TERM), lambda w: F.struct(
-            F.concat_ws(":", b["kind"], F.lower(b["value"])).alias("entity"), F.lower(w["value"]).alias("term"),
-            (w["start"] + lo).alias("start"), (w["end"] + lo).alias("end")))
-        # whole words of the window, none of an entity's own
-        return F.filter(words, lambda w: ((w["start"] > lo) | (lo == 0)) & ((w["end"] < hi) | (hi == F.length(text)))
-                        & ~F.exists(base, lambda o: (w["start"] < o["end"]) & (w["end"] > o["start"])))
-    return F.array_distinct(F.flatten(F.transform(base, near)))
-
-
-def disclosing(df: DataFrame, found: DataFrame, text_col: str, support: int = SUPPORT) -> DataFrame:
-    """``entity, term, share``: the pairs of enough support, and the share of the
-    entity's information content that the term discloses."""
-    pairs = found.select(F.explode(F.array_distinct(F.transform("near", lambda w: F.struct(
-        w["entity"].alias("entity"), w["term"].alias("term"))))).alias("p")).select("p.*")
-    joint = stash(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).filter(F.col("n_ct") >= support), "pii-pairs")
-    entities = (found.select(F.explode(F.array_distinct(F.transform("base", lambda b: F.concat_ws(":", b["kind"], F.lower(b["value"]))))).alias("entity"))
-                     .groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")))
-    # counted before the join, so that frequent terms travel as one row a task
-    terms = (df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole_text(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
-               .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
-    n = F.lit(float(df.count()))
-    return (joint.join(entities, "entity").join(terms, "term").filter(F.col("n_c") < n)
-                 .select("entity", "term", (F.log(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t"))) / F.log(n / F.col("n_c"))).alias("share")))
+def _entity(b: Column) -> Column:
+    return F.concat_ws(":", b["kind"], F.lower(b["value"]))
+
+
+def _signature() -> list[Column]:
+    """Which documents a group stands in, whatever their order: equal for equal sets."""
+    return [F.bit_xor(F.xxhash64("row")).alias("h1"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("h2")]
+
+
+def entity_classes(found: DataFrame) -> DataFrame:
+    """Stored table ``row, c, n_c``: the classes of the entities of each document that stand
+    in two documents or more."""
+    own = found.filter(F.size("base") > 0).select("row", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    shared = own.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"), *_signature()).filter("n_c > 1")
+    return stash(own.join(shared, "entity").select("row", F.struct("h1", "h2").alias("c"), "n_c").distinct(), "pii-entities")
+
+
+def occurrences(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """Stored table ``row, term, start, end``: all terms of those documents outside the entities."""
+    blank = replaced(F.col("text"), F.col("base"), lambda s, n: F.repeat(F.lit(" "), n))
+    words = (found.join(rows, "row", "left_semi").select("row", blank.alias("text"))
+                  .select("row", F.explode(find_spans(F.col("text"), TERM)).alias("w")))
+    return stash(words.select("row", F.lower("w.value").alias("term"), "w.start", "w.end", "w.value"), "pii-terms")
+
+
+def disclosing(df: DataFrame, classes: DataFrame, words: DataFrame, n: int, text_col: str = "text",
+               least: float = GENERALISE, smooth: float = SMOOTH) -> DataFrame:
+    """``row, term, share``: the terms of each document that disclose at least ``least``
+    of an entity of it, and the largest share that they disclose."""
+    p = F.col("n_c") / n
+    # the most frequent term that can disclose so much of an entity of n_c documents
+    most = (F.col("n_c") - 1 + smooth * p) / F.pow(p, F.lit(1 - least)) - smooth + 1 + 1e-9
+    top = classes.agg(F.max(most)).first()[0]
+    # counted before any join, so that frequent terms travel as one row a task
+    counts = (df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole_text(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
+                .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).filter((F.col("n_t") > 1) & (F.col("n_t") <= F.lit(top or 0.0))))
+    own = stash(words.select("row", "term").distinct().join(counts, "term"), "pii-own")
+    of = own.groupBy("term").agg(*_signature()).select("term", F.struct("h1", "h2").alias("t"))
+    own = stash(own.join(of, "term"), "pii-classes")
+    pairs = stash(classes.join(own.select("row", "t", "n_t").distinct(), "row").filter(F.col("n_t") <= most), "pii-pairs")
+    given = (F.col("n_ct") - 1 + smooth * p) / (F.col("n_t") - 1 + smooth)
+    joint = (pairs.groupBy("c", "t", "n_c", "n_t").agg(F.count(F.lit(1)).alias("n_ct")).filter((F.col("n_ct") > 1) & (F.col("n_c") < n))
+                  .select("c", "t", "n_t", (F.log(given / p) / F.log(1 / p)).alias("share")).filter(F.col("share") >= least))
+    told = pairs.join(joint, ["c", "t", "n_t"]).groupBy("row", "t", "n_t").agg(F.max("share").alias("share"))
+    return own.join(told, ["row", "t", "n_t"]).select("row", "term", "share")
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry_text: bool = False) -> DataFrame:
-    """One row per input row: ``doc_id``, ``base`` and ``spans`` (sorted span structs;
-    the method's have the kinds ``removed`` and ``generalised``).
+    """One row per input row: ``doc_id, base, spans`` (sorted span structs; the method's
+    have the kinds ``removed`` and ``generalised``).
 
     A null text is empty; an entity that stands in every document has no
-    information to disclose. An empty table gives no rows.
+    information to disclose. Rows that repeat an identifier, or an identifier and a
+    text, are documents of their own. An empty table gives no rows.
     """
     text = whole_text(text_col)
     src = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), base_spans(text).alias("base"))
-    near = F.when(F.size("base") > 0, _neighbours(F.col("text"), F.col("base"))).otherwise(
-        F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>"))
-    found = stash(src.select("doc_id", "base", near.alias("near"), F.monotonically_increasing_id().alias("row"),
-                             *(["text"] if carry_text else [])), "pii")
-    shares = disclosing(df, found, text_col).filter(F.col("share") >= GENERALISE)
+    kept = F.col("text") if carry_text else F.when(F.size("base") > 0, F.col("text"))
+    found = stash(src.select("doc_id", "base", kept.alias("text"), F.monotonically_increasing_id().alias("row")), "pii")
+    classes = entity_classes(found)
+    words = occurrences(found, classes.select("row").distinct())
+    shares = disclosing(df, classes, words, found.count(), text_col)
     removed = F.col("share") >= REMOVE
-    extra = (found.select("row", F.explode("near").alias("w")).select("row", "w.*").join(shares, ["entity", "term"])
-                  .groupBy("row", "start", "end").agg(F.max("share").alias("share"), F.first("term").alias("value"))
-                  .groupBy("row").agg(F.collect_list(F.struct(
-                      "start", F.when(removed, F.lit(len(KINDS))).otherwise(F.lit(len(KINDS) + 1)).alias("rank"), "end",
-                      F.when(removed, F.lit("removed")).otherwise(F.lit("generalised")).alias("kind"), "value")).alias("extra")))
+    extra = words.join(shares, ["row", "term"]).groupBy("row").agg(F.collect_list(F.struct(
+        "start", F.when(removed, F.lit(len(KINDS))).otherwise(F.lit(len(KINDS) + 1)).alias("rank"), "end",
+        F.when(removed, F.lit("removed")).otherwise(F.lit("generalised")).alias("kind"), "value")).alias("extra"))  # of one text
     none = F.array().cast(found.schema["base"].dataType)
     return (found.join(extra, "row", "left")
-                 .withColumn("spans", F.array_sort(F.concat("base", F.coalesce("extra", none)))).drop("near", "row", "extra"))
+                 .withColumn("spans", F.array_sort(F.concat("base", F.coalesce("extra", none)))).drop("row", "extra"))
+
+
+def general(term: Column) -> Column:
+    """The more general term: a number's leading half, else the form of the term."""
+    half = F.ceil(F.length(term) / 2).cast("int")
+    return (F.when(term.rlike(r"^[0-9]+$"), F.concat(F.substring(term, F.lit(1), half), F.repeat(F.lit("#"), F.length(term) - half)))
+             .when(term.rlike(r"\p{N}"), F.lit("[CODE]")).when(term.rlike(r"^\p{Lu}"), F.lit("[NAME]")).otherwise(F.lit("[WORD]")))
 
 
 def personal_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,6 +144,10 @@ def personal_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and the text with entities and disclosing terms replaced by their kind."""
+    """``doc_id`` and the text without entities and removed terms (their kind stands there)
+    and with the more general term for those to generalise."""
+    def by(span: Column, length: Column) -> Column:
+        return F.when(span["kind"] == "generalised", general(span["value"])).otherwise(bracketed(span, length))
+
     return scan(df, id_col, text_col, carry_text=True).select(
-        F.col("doc_id").alias(id_col), redact(F.col("text"), F.col("spans")).alias(text_col))
+        F.col("doc_id").alias(id_col), replaced(F.col("text"), F.col("spans"), by).alias(text_col))

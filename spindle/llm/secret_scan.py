@@ -2,7 +2,7 @@
 
 Known forms are matched by pattern. Beyond them, every token of 16 or more
 encoding characters is tested for being random in its inferred encoding (hex,
-base32, upper or lower base36, base64): chi-squared uniformity over the
+base32, upper or lower base36, base62, either base64): chi-squared uniformity over the
 alphabet, runs above and below the alphabet's middle, and lag-1 serial
 correlation, each as a standard score. Their squared sum ``t`` is small for
 random tokens and large for words.
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindle.llm.common import stash, whole_text
-from spindle.llm.spans import count_of, find_spans, joined, redact, tagged
+from spindle.llm.spans import count_of, find_spans, joined, let, redact, tagged
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -47,9 +47,21 @@ ALPHABETS = {
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "upper36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "lower36": "0123456789abcdefghijklmnopqrstuvwxyz",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "url64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "any66": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 
+#: Rank of each ASCII character in its encoding's alphabet (hex in either case), and the alphabets' sizes, as map literals.
+_RANK = {e: [(a.find(chr(i).lower() if e == "hex" else chr(i))) for i in range(128)] for e, a in ALPHABETS.items()}
+
+
+def _literals() -> tuple[Column, Column]:
+    pairs = [(F.lit(e), F.array(*map(F.lit, r)), F.lit(float(len(ALPHABETS[e])))) for e, r in _RANK.items()]
+    return (F.create_map(*[x for e, r, _ in pairs for x in (e, r)]), F.create_map(*[x for e, _, n in pairs for x in (e, n)]))
+
+
 #: Letters a to z in 100,000 letters of English text.
 LETTERS = (8167, 1492, 2782, 4253, 12702, 2228, 2015, 6094, 6966, 153, 772, 4025, 2406, 6749, 7507, 1929, 95, 5987, 6327, 9056, 2758, 978, 2360,
            150, 1974, 74)
@@ -64,55 +76,50 @@ def base_spans(text: Column) -> Column:
 
 def battery(tokens: Column) -> Column:
     """Tokens (spans) with their encoding, ``t`` and the length class."""
+    ranks, sizes = _literals()
+
     def encoding(s: Column) -> Column:
         return (F.when(s.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit("hex")).when(s.rlike("^[A-Z2-7]+$"), F.lit("base32"))
-                 .when(s.rlike("^[A-Z0-9]+$"), F.lit("upper36")).when(s.rlike("^[a-z0-9]+$"), F.lit("lower36")).otherwise(F.lit("base64")))
-
-    def alphabet(e: Column) -> Column:
-        c = F.lit(ALPHABETS["base64"])
-        for name, letters in ALPHABETS.items():
-            c = F.when(e == name, F.lit(letters)).otherwise(c)
-        return c
+                 .when(s.rlike("^[A-Z0-9]+$"), F.lit("upper36")).when(s.rlike("^[a-z0-9]+$"), F.lit("lower36"))
+                 .when(s.rlike("^[A-Za-z0-9]+$"), F.lit("base62")).when(s.rlike("^[A-Za-z0-9+/]+$"), F.lit("base64"))
+                 .when(s.rlike("^[A-Za-z0-9_-]+$"), F.lit("url64")).otherwise(F.lit("any66")))
 
-    def ranks(c: Column) -> Column:
-        s = F.when(c["e"] == "hex", F.lower(c["value"])).otherwise(c["value"])
-        return F.transform(F.sequence(F.lit(1), F.length(c["value"])), lambda i: F.instr(c["a"], F.substring(s, i, 1)) - 1)
+    def struct(c: Column, *keep: str, **new: Column) -> Column:
+        return F.struct(*[c[k].alias(k) for k in keep], *[v.alias(k) for k, v in new.items()])
 
     def total(xs: Column, f) -> Column:
         return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + f(x))
 
+    def pairs(xs: Column) -> Column:
+        """Sum of the squared counts of the values, off the sorted array."""
+        zero = F.struct(F.lit(-1).alias("v"), F.lit(0.0).alias("n"), F.lit(0.0).alias("sum"))
+        return F.aggregate(F.array_sort(xs), zero, lambda a, v: let(F.when(a["v"] == v, a["n"]).otherwise(F.lit(0.0)), lambda n: F.struct(
+            v.alias("v"), (n + 1).alias("n"), (a["sum"] + 2 * n + 1).alias("sum"))), lambda a: a["sum"])
+
+    place = ("start", "end", "value", "e")
+    high = lambda c, i: 2 * F.get(c["x"], i) >= c["k"]
     steps = [
-        lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), encoding(c["value"]).alias("e")),
-        lambda c: F.struct(
-            c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["e"].alias("e"), alphabet(c["e"]).alias("a")),
-        lambda c: F.struct(
-            c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["e"].alias("e"), F.length(c["a"]).cast("double").alias("k"), ranks(c).alias("x")),
-        lambda c: F.struct(
-            c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["e"].alias("e"), c["k"].alias("k"), c["x"].alias("x"),
-            F.size(c["x"]).cast("double").alias("n"),
-            (total(c["x"], lambda v: v.cast("double")) / F.size(c["x"])).alias("m"),
-            F.size(F.filter(c["x"], lambda v: 2 * v >= c["k"])).cast("double").alias("hi")),
-        lambda c: F.struct(
-            c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["e"].alias("e"), c["k"].alias("k"), c["n"].alias("n"), c["hi"].alias("hi"),
-            (c["k"] / c["n"] * total(F.sequence(F.lit(0), (c["k"] - 1).cast("int")),
-                                     lambda j: F.pow(F.size(F.filter(c["x"], lambda v: v == j)).cast("double"), F.lit(2.0))) - c["n"]).alias("chi"),
-            (1 + total(F.sequence(F.lit(1), (c["n"] - 1).cast("int")),
-                       lambda i: ((2 * F.get(c["x"], i) >= c["k"]) != (2 * F.get(c["x"], i - 1) >= c["k"])).cast("double"))).alias("runs"),
-            total(c["x"], lambda v: (v - c["m"]) * (v - c["m"])).alias("var"),
-            total(F.sequence(F.lit(1), (c["n"] - 1).cast("int")),
-                  lambda i: (F.get(c["x"], i) - c["m"]) * (F.get(c["x"], i - 1) - c["m"])).alias("lag")),
-        lambda c: F.struct(
-            c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["e"].alias("e"), c["n"].alias("n"),
-            _uniformity(c["chi"], c["k"] - 1).alias("z1"), _runs(c["runs"], c["hi"], c["n"]).alias("z2"),
-            F.when(c["var"] > 0, c["lag"] / c["var"] * F.sqrt(c["n"])).otherwise(F.lit(10.0)).alias("z3")),
-        lambda c: F.struct(
-            c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["e"].alias("e"),
-            (F.pow(F.greatest(c["z1"], F.lit(0.0)), F.lit(2.0)) + c["z2"] * c["z2"] + c["z3"] * c["z3"]).alias("t"),
-            F.floor(2 * F.log2(c["n"])).cast("int").alias("cls")),
+        lambda c: struct(c, "start", "end", "value", e=encoding(c["value"])),
+        lambda c: struct(c, *place, k=F.element_at(sizes, c["e"]), x=F.transform(
+            F.split(c["value"], ""), lambda x: F.get(F.element_at(ranks, c["e"]), F.ascii(x)))),
+        lambda c: struct(c, *place, "k", "x", n=F.size(c["x"]).cast("double"), m=total(c["x"], lambda v: v.cast("double")) / F.size(c["x"]),
+                         hi=F.size(F.filter(c["x"], lambda v: 2 * v >= c["k"])).cast("double")),
+        lambda c: struct(c, *place, "k", "n", "hi", chi=c["k"] / c["n"] * pairs(c["x"]) - c["n"],
+                         runs=1 + total(F.sequence(F.lit(1), (c["n"] - 1).cast("int")), lambda i: (high(c, i) != high(c, i - 1)).cast("double")),
+                         var=total(c["x"], lambda v: (v - c["m"]) * (v - c["m"])),
+                         lag=total(F.sequence(F.lit(1), (c["n"] - 1).cast("int")),
+                                   lambda i: (F.get(c["x"], i) - c["m"]) * (F.get(c["x"], i - 1) - c["m"]))),
+        lambda c: struct(c, *place, "n", z1=_uniformity(c["chi"], c["k"] - 1), z2=_runs(c["runs"], c["hi"], c["n"]),
+                         z3=F.when(c["var"] > 0, c["lag"] / c["var"] * F.sqrt(c["n"])).otherwise(F.lit(10.0))),
+        lambda c: struct(c, *place, t=F.pow(F.greatest(c["z1"], F.lit(0.0)), F.lit(2.0)) + c["z2"] * c["z2"] + c["z3"] * c["z3"],
+                         cls=F.floor(2 * F.log2(c["n"])).cast("int")),
     ]
+    # Tokens of digits alone are decided without counting: numbers that people write are
+    # uniform over the digits, too, so under their null law no p-value is small.
+    tokens = F.filter(tokens, lambda c: c["value"].rlike("[A-Za-z]"))
     for s in steps:
         tokens = F.transform(tokens, s)
-    return F.filter(tokens, lambda c: c["value"].rlike("[A-Za-z]"))  # numbers are no words: the known form hex has them
+    return tokens
 
 
 def _uniformity(chi: Column, df: Column) -> Column:
