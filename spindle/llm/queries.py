@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spindle.llm import arrow_ids, content_sort, merkle, mixing, near_dup, packing, page_text, sanitise, secret_scan, toxicity
+from spindle.llm import (arrow_ids, content_sort, conversation, merkle, mixing, near_dup, oracles, packing, page_text, sanitise,
+                         secret_scan, shard_tree, toxicity, vector_codes)
 from spindle.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +106,28 @@ def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_disclosure_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.personal_spans(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_norm_of_sum_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op11_norm_of_sum_codes"] = oracles.codes_sql()
+
+
+@query
+def op12_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_tree.shards(read_table(spark, sf_dir, "documents"))
+
+
+_TREE = shard_tree.even_tree()
+ORACLES["op12_weighted_hash_tree"] = oracles.shards_sql(_TREE, shard_tree.grown(_TREE, shard_tree.SHARDS))
+
+
+@query
+def op13_run_length_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair(read_table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_run_length_repair"] = oracles.repair_sql()
