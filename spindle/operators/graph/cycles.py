@@ -1,11 +1,9 @@
 """Cycle detection and enumeration.
 
-:func:`cycle_core` peels nodes without predecessors or successors until
-nothing changes; a non-empty remainder means a cycle. Each round is two semi
-joins against the degree sets of the remaining edges. :func:`one_cycle`
-follows ``min(dst)`` inside the core -- a functional graph -- with pointer
-doubling (log2 rounds of a node-sized self join) instead of a node-by-node
-walk on the driver.
+The cycle core and the strongly connected components come from
+:mod:`spindle.operators.graph.components`. :func:`one_cycle` follows ``min(dst)``
+inside the core -- a functional graph -- with pointer doubling (log2 rounds of a
+node-sized self join) instead of a node-by-node walk on the driver.
 """
 
 from __future__ import annotations
@@ -13,32 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindle.operators.graph.components import cycle_core, reaching_cycles, strong_components
 from spindle.operators.graph.frontier import ARROW, Rounds, walk_paths
 from spindle.session import cut_lineage
 
-
-def cycle_core(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """Edges left after repeatedly removing edges whose source has no
-    incoming or whose target has no outgoing edge. Empty iff the graph is acyclic."""
-    core = cut_lineage(edges.select("src", "dst").distinct())
-    n = core.count()
-    rounds = Rounds()
-    while max_rounds is None or rounds.k < max_rounds:
-        has_in = core.select(F.col("dst").alias("src")).distinct()
-        has_out = core.select(F.col("src").alias("dst")).distinct()
-        core, m = rounds.materialise(core.join(has_in, "src", "left_semi").join(has_out, "dst", "left_semi")
-                                     .select("src", "dst"))
-        if m == n:
-            break
-        n = m
-    core = cut_lineage(core)
-    rounds.release()
-    return core
+__all__ = ["cycle_core", "has_cycle", "one_cycle", "simple_cycles", "strong_components"]
 
 
 def has_cycle(edges: DataFrame) -> bool:
     """True when the graph has a directed cycle (warn-and-continue callers)."""
-    return not cycle_core(edges).isEmpty()
+    return not reaching_cycles(edges).isEmpty()
 
 
 def one_cycle(edges: DataFrame, core: DataFrame | None = None) -> DataFrame:
@@ -83,14 +65,37 @@ def one_cycle(edges: DataFrame, core: DataFrame | None = None) -> DataFrame:
                                         F.pmod(F.lit(length) - F.col("d"), F.lit(length)).cast("int").alias("pos"))
 
 
+def returning(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """``start, node``: from which nodes above the start it can be reached over nodes above it."""
+    rounds = Rounds()
+    seen = cut_lineage(starts.select(F.col("node").alias("start"), "node"))
+    front = seen
+    while True:
+        step = front.join(edges, F.col("node") == F.col("dst")).filter(F.col("src") > F.col("start")).select("start", F.col("src").alias("node")).distinct()
+        front, n = rounds.materialise(step.join(seen, ["start", "node"], "left_anti"))
+        if n == 0:
+            out = cut_lineage(seen)
+            rounds.release()
+            return out
+        seen = seen.unionByName(front)
+        if rounds.cut_now():
+            seen = cut_lineage(seen)
+
+
 def simple_cycles(edges: DataFrame, max_length: int | None = None, core: DataFrame | None = None) -> DataFrame:
     """All simple cycles, each once, written from its smallest node
-    (``a -> b -> ... -> a``). Enumeration is exponential, so it runs on the
-    cycle core only. With ``max_length`` the paths of that many nodes that
-    could still close are returned as well, flagged ``truncated``."""
-    core = core if core is not None else cycle_core(edges)
-    starts = core.select(F.col("src").alias("node")).distinct()
-    cyc = walk_paths(core, starts, max_levels=max_length, guard="above_start", emit="cycle")
+    (``a -> b -> ... -> a``). Walks stay inside a strongly connected component, and
+    a walk is dropped as soon as its start can no longer be reached over nodes above it.
+    With ``max_length`` the open paths of that many nodes are returned as well, flagged
+    ``truncated``."""
+    e = core if core is not None else cycle_core(edges)
+    of = strong_components(e).filter("size > 1").select("node", "component")
+    inside = (e.join(of.select(F.col("node").alias("src"), F.col("component").alias("a")), "src")
+               .join(of.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst").filter("a = b").select("src", "dst"))
+    inside = cut_lineage(inside.unionByName(e.filter("src = dst").select("src", "dst")).distinct())
+    starts = inside.select(F.col("src").alias("node")).distinct()
+    alive = returning(inside, starts) if max_length is None else None
+    cyc = walk_paths(inside, starts, max_levels=max_length, guard="above_start", emit="cycle", alive=alive)
     text = F.array_join(F.transform("path", lambda x: x.cast("string")), ARROW)
     closed = F.concat(text, F.lit(ARROW), F.col("start").cast("string"))
     if max_length is None:

@@ -26,7 +26,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindle.session import cut_lineage
+from spindle.session import cut_lineage, store
 
 ARROW = " -> "
 CHECKPOINT_EVERY = 4
@@ -36,7 +36,7 @@ class Rounds:
     """Materialises one frame per round with a single job (``count``).
 
     Frames are persisted (memory, spilling to disk); every ``every`` rounds
-    the frame is written to the reliable checkpoint folder instead, which
+    the frame is written to the shared checkpoint folder instead, which
     bounds the lineage a lost executor has to replay. Call :meth:`release`
     when the loop result has been consumed or checkpointed.
     """
@@ -52,7 +52,7 @@ class Rounds:
     def materialise(self, df: DataFrame) -> tuple[DataFrame, int]:
         self.k += 1
         if self.cut_now():
-            out = cut_lineage(df)
+            out = store(df)
         else:
             out = df.persist(StorageLevel.MEMORY_AND_DISK)
             self.held.append(out)
@@ -91,24 +91,13 @@ def _union_all(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def bfs(edges: DataFrame, starts, *, per_start: bool = True, max_level: int | None = None,
-        targets: DataFrame | None = None, parents: bool = False, paths: bool = False,
-        prepared: bool = False) -> DataFrame:
+        targets: DataFrame | None = None, parents: bool = False, prepared: bool = False) -> DataFrame:
     """Breadth-first levels.
 
-    Returns ``(start, node, level[, parent][, path])`` -- ``start`` only when
+    Returns ``(start, node, level[, parent])`` -- ``start`` only when
     ``per_start`` -- with every reached node once per start at its first level
     (level 0 = the start). ``parent`` is the smallest predecessor on the level
-    before (BFS tree); ``path`` is the smallest path text among the shortest
-    paths (text ``a -> b -> c``).
-
-    Paths are chosen without comparing text in the aggregation: every frontier
-    row carries ``pkey``, a number that orders the paths of one start and
-    level like their text. Two shortest paths to a node differ first in
-    their parents' paths (no path of a level is a prefix of another), so the
-    smallest text extends the parent with the smallest ``pkey`` -- a
-    ``min(long)`` that hash-aggregates map-side. The next level's keys come
-    from one distributed sort on ``(start, parent key, node text)`` with
-    ``monotonically_increasing_id`` (order-preserving after a sort).
+    before (BFS tree).
 
     ``targets``: a start stops expanding after the level on which it reaches a
     target node; that level is kept complete.
@@ -117,17 +106,15 @@ def bfs(edges: DataFrame, starts, *, per_start: bool = True, max_level: int | No
     e = edges if prepared else prepared_edges(edges)
     key = ["start", "node"] if per_start else ["node"]
     s = as_nodes(spark, starts, dict(edges.dtypes)["src"])
-    if per_start and not (paths or parents or targets is not None):
+    if per_start and not (parents or targets is not None):
         return ms_bfs(e, cut_lineage(s), max_level=max_level)
     cols = [F.col("node").alias("start")] if per_start else []
     front = s.select(*cols, "node", F.lit(0).alias("level"))
     if parents:
         front = front.withColumn("parent", F.lit(None).cast(s.schema["node"].dataType))
-    if paths:
-        front = _keyed(front.withColumn("path", F.col("node").cast("string")), per_start, F.lit(0).cast("long"))
     front = cut_lineage(front)
-    out_cols = [c for c in front.columns if c != "pkey"]
-    visited = front.select(*out_cols)
+    out_cols = front.columns
+    visited = front
     done = None
     level = 0
     rounds = Rounds()
@@ -143,21 +130,12 @@ def bfs(edges: DataFrame, starts, *, per_start: bool = True, max_level: int | No
                 break
         step = front.join(e, front.node == e.src).select(
             *([F.col("start")] if per_start else []), F.col("dst").alias("node"),
-            F.col("node").alias("prev"), *([F.col("pkey").alias("ppkey")] if paths else []))
+            F.col("node").alias("prev"))
         aggs = [F.min("prev").alias("parent")] if parents else [F.count(F.lit(1)).alias("_n")]
-        if paths:
-            aggs.append(F.min("ppkey").alias("ppkey"))
         new = (step.groupBy(*key).agg(*aggs)
                    .join(visited.select(*key), key, "left_anti")
                    .withColumn("level", F.lit(level + 1)))
-        if paths:
-            pk = (["start"] if per_start else []) + ["ppkey"]
-            pp = front.select(*(["start"] if per_start else []), F.col("pkey").alias("ppkey"), F.col("path").alias("ppath"))
-            new = new.join(pp, pk).withColumn(
-                "path", F.concat(F.col("ppath"), F.lit(ARROW), F.col("node").cast("string")))
-            new = _keyed(new, per_start, None).select(*out_cols, "pkey")
-        else:
-            new = new.select(*out_cols)
+        new = new.select(*out_cols)
         new, n = rounds.materialise(new)
         if n == 0:
             break
@@ -230,17 +208,9 @@ def ms_bfs(edges: DataFrame, starts: DataFrame, max_level: int | None = None, wi
     return out
 
 
-def _keyed(df: DataFrame, per_start: bool, const: Column | None) -> DataFrame:
-    """Adds ``pkey``: path order within (start, level) as a number (see :func:`bfs`)."""
-    if const is not None and per_start:
-        return df.withColumn("pkey", const)  # one path per start on level 0
-    order = ([F.col("start")] if per_start else []) + \
-        ([F.col("ppkey")] if "ppkey" in df.columns else []) + [F.col("node").cast("string")]
-    return df.orderBy(*order).withColumn("pkey", F.monotonically_increasing_id())
-
-
 def walk_paths(edges: DataFrame, starts, *, max_levels: int | None = None, guard: str = "path", emit: str = "leaf",
-               ends: DataFrame | None = None, collapse: bool = True, emit_truncated: bool = False) -> DataFrame:
+               ends: DataFrame | None = None, collapse: bool = True, emit_truncated: bool = False,
+               alive: DataFrame | None = None) -> DataFrame:
     """Path frontier loop. Returns ``(start, path array, levels[, truncated])``.
 
     guard: ``path`` (no node twice in a path), ``above_start`` (only nodes
@@ -253,7 +223,8 @@ def walk_paths(edges: DataFrame, starts, *, max_levels: int | None = None, guard
 
     Without ``max_levels`` the loop ends when no path can be extended. With it,
     the paths still open at the bound are returned too, flagged ``truncated``
-    (not with ``all``, where every prefix is a result).
+    (not with ``all``, where every prefix is a result). ``alive``: ``(start, node)``
+    pairs; a path of a start is only extended to such nodes.
     """
     spark = edges.sparkSession
     e = prepared_edges(edges, collapse=collapse)
@@ -289,6 +260,8 @@ def walk_paths(edges: DataFrame, starts, *, max_levels: int | None = None, guard
                 out.append(step.filter(F.col("dst") == F.col("start")).select("start", "path", F.col("dst").alias("last")))
             step = step.filter((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst")))
         nxt = step.select("start", F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("last"))
+        if alive is not None:
+            nxt = nxt.join(alive.withColumnRenamed("node", "last"), ["start", "last"], "left_semi").select("start", "path", "last")
         if emit_truncated and guard == "path":
             stuck = front.join(sinks, "last", "left_anti").join(
                 nxt.select("start", F.slice("path", 1, level + 1).alias("path")).distinct(),

@@ -12,8 +12,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindle.operators.graph import edges as E
 from spindle.operators.graph.frontier import ARROW, Rounds, as_nodes, path_text, prepared_edges, walk_paths
-from spindle.session import cut_lineage
+from spindle.session import cut_lineage, store
 
 
 def leaf_paths(edges: DataFrame, starts, max_levels: int | None = None, emit_truncated: bool = False) -> DataFrame:
@@ -92,32 +93,64 @@ def path_details(paths: DataFrame, id_col: str, details: DataFrame | None = None
     return g.select(*out)
 
 
-def path_counts(edges: DataFrame, starts, max_level: int | None = None) -> DataFrame:
-    """On an acyclic graph, per start the number of walks and of paths ending
-    in a leaf, by level-wise ``sum(count)`` propagation -- no path is built.
+def path_counts(edges: DataFrame, starts=None, max_level: int | None = None) -> DataFrame:
+    """On an acyclic graph, per start (default: every node) the number of walks and of
+    paths ending in a leaf -- no path is built, and no row per (start, node).
 
-    Per round: join (start, node, count) with the edges, sum per (start, dst).
-    Equals the row counts of :func:`prefix_walks` / :func:`leaf_paths` on a DAG.
-    Counts are ``decimal(38,0)``. A cyclic graph raises ``ValueError`` (its walks
+    Counted from the leaves: a node is done when all its successors are, and has the
+    sum of their counts, so every edge is read once and a count per node serves all
+    starts. Equals the row counts of :func:`prefix_walks` / :func:`leaf_paths` on a DAG.
+    Counts are ``decimal(38,0)``. A cycle below a start raises ``ValueError`` (its walks
     have no end), unless ``max_level`` bounds them.
     """
-    spark = edges.sparkSession
+    if max_level is not None:
+        return _bounded_counts(edges, starts, max_level)
+    number = "decimal(38,0)"
+    e = prepared_edges(edges)
+    every = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    s = every if starts is None else as_nodes(edges.sparkSession, starts, dict(edges.dtypes)["src"])
+    need = store(e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("need")))
+    one = F.lit(1).cast(number)
+    front = store(every.union(s).distinct().join(need, "node", "left_anti").select("node", one.alias("walks"), one.alias("leaf_paths")))
+    out, waiting = [front], None
+    while True:
+        sums = (e.join(front.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"))
+                 .agg(F.count(F.lit(1)).alias("got"), F.sum("walks").cast(number).alias("walks"), F.sum("leaf_paths").cast(number).alias("leaf_paths")))
+        if waiting is not None:  # nodes some of whose successors were done before
+            sums = sums.unionByName(waiting).groupBy("node").agg(
+                F.sum("got").alias("got"), *[F.sum(c).cast(number).alias(c) for c in ("walks", "leaf_paths")])
+        sums = store(sums.join(need, "node"))
+        waiting = sums.filter("got < need").drop("need")
+        front = sums.filter("got = need").select("node", (F.col("walks") + 1).cast(number).alias("walks"), "leaf_paths")
+        if front.isEmpty():
+            break  # what is left lies on cycles or leads to them
+        out.append(front)
+    res = cut_lineage(s.select("node").join(_union_counts(out), "node", "left"))
+    if not res.filter("walks IS NULL").isEmpty():
+        raise ValueError("path_counts: the graph below the starts has a cycle")
+    return res.select(F.col("node").alias("start"), "walks", "leaf_paths")
+
+
+def _union_counts(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _bounded_counts(edges: DataFrame, starts, max_level: int) -> DataFrame:
+    """Walks and leaf paths of at most ``max_level`` edges, level by level from each start."""
     e = prepared_edges(edges)
-    s = as_nodes(spark, starts, dict(edges.dtypes)["src"])
+    s = E.nodes_of(e) if starts is None else as_nodes(edges.sparkSession, starts, dict(edges.dtypes)["src"])
     has_out = e.select(F.col("src").alias("node")).distinct().withColumn("has_out", F.lit(True))
     front = cut_lineage(s.select(F.col("node").alias("start"), "node", F.lit(1).cast("decimal(38,0)").alias("n")))
-    nodes = e.select("src").union(e.select("dst")).distinct().count()
-    totals = []
-    level = 0
-    rounds = Rounds()
+    totals, level, rounds = [], 0, Rounds()
     while True:
         totals.append(front.join(has_out, "node", "left").groupBy("start").agg(
             F.sum("n").alias("walks"),
             F.sum(F.when(F.col("has_out").isNull(), F.col("n")).otherwise(F.lit(0))).alias("leaf_paths")))
-        if max_level is not None and level >= max_level:
+        if level >= max_level:
             break
-        if max_level is None and level > nodes:
-            raise ValueError("path_counts: the graph below the starts has a cycle")
         nxt = (front.join(e, front.node == e.src).groupBy("start", F.col("dst").alias("node"))
                     .agg(F.sum("n").cast("decimal(38,0)").alias("n")))
         nxt, n = rounds.materialise(nxt)
@@ -133,9 +166,7 @@ def path_counts(edges: DataFrame, starts, max_level: int | None = None) -> DataF
 
 
 def _sum_totals(totals):
-    allt = totals[0]
-    for t in totals[1:]:
-        allt = allt.unionByName(t)
+    allt = _union_counts(totals)
     return allt.groupBy("start").agg(F.sum("walks").cast("decimal(38,0)").alias("walks"),
                                      F.sum("leaf_paths").cast("decimal(38,0)").alias("leaf_paths"))
 

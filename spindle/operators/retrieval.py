@@ -1,12 +1,14 @@
 """Exact nearest-neighbour retrieval, grading, retry routing and prompt text.
 
-Exact kNN without a cross join: the corpus stays partitioned where it is; the
-query block (size checked against ``max_query_bytes``) is shipped to every
-corpus task, and each task keeps only the running top-k per query over its
-Arrow batches (numpy). A task emits ``queries x k`` rows, so the final
-per-query ranking sees ``k x partitions`` rows per query, never
-``queries x corpus``. A query set above the bound is processed in blocks, one
-corpus pass per block.
+The batch search is a partitioned exact join. A bounded sample of the corpus gives
+pivots; every corpus vector belongs to the cell of its nearest pivot. A cell's count
+and radius bound, by the triangle inequality, the distance of a query's k-th
+neighbour from above, and which cells can hold a nearer one: only those are visited.
+Cells and the queries that visit them are dealt into blocks and meet in Spark,
+block with block; a task holds one block of either side and returns the k nearest a
+query, which are merged per query. Neither side passes through the driver, and no
+(query, vector) pair is ever a row. In many dimensions the bounds rule out little,
+and the join becomes a blocked nested loop, which is what exactness then costs.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindle.session import cut_lineage
+from spindle.session import cut_lineage, store
 
 from spindle.functions.vectors import distance, literal_vector
 
@@ -27,7 +29,9 @@ NO_MATCH_TEXT = "No match found"
 NO_MATCH_DISTANCE = 99.0
 DISTANCE_THRESHOLD = 1.1
 
-MAX_QUERY_BYTES = 16 << 20   # query vectors that travel with a task
+MAX_QUERY_BYTES = 1 << 20    # query vectors of a block
+CELL_ROWS = 8192             # corpus vectors of a block
+PIVOTS = 32                  # cells; the sample that reaches the driver
 CELL = 4_000_000             # differences held at once
 QUERY_CELL = 512             # queries of a cell
 
@@ -61,64 +65,124 @@ def _merge(best_d, best_i, x, ids, qmat, k: int, metric: str):
     return best_d, best_i
 
 
-def _block_top_k(queries: pd.DataFrame, k: int, vec: str, id_col: str, metric: str):
-    qids = queries["qid"].to_numpy()
-    qmat = np.stack(queries["qvec"].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-
-    def run(batches):
-        best_d = None
-        best_i = None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf[vec].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-            ids = pdf[id_col].to_numpy()
-            best_d, best_i = _merge(best_d, best_i, x, ids, qmat, k, metric)
-        if best_d is None:
-            return
-        kk = best_d.shape[0]
-        yield pd.DataFrame({
-            "qid": np.tile(qids, kk),
-            id_col: best_i.reshape(-1),
-            "distance": best_d.reshape(-1),
-        })
-    return run
+def _unit(x: np.ndarray, metric: str) -> np.ndarray:
+    """Where the geometry is that of L2: the vectors, or their directions."""
+    if metric == "l2":
+        return x
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def _matrix(column) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in column])
+
+
+def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    out = np.empty((len(x), len(pivots)))
+    for j, p in enumerate(pivots):
+        out[:, j] = np.sqrt(((x - p) ** 2).sum(1))
+    return out
+
+
+class Cells:
+    """Pivots, and per cell the number of corpus vectors and the radius."""
+
+    def __init__(self, corpus: DataFrame, vec: str, id_col: str, metric: str, pivots: int):
+        rows = corpus.orderBy(F.xxhash64(id_col), id_col).select(vec).limit(pivots).collect()  # a bounded sample
+        self.metric, self.vec, self.id_col = metric, vec, id_col
+        self.pivots = _unit(_matrix([r[vec] for r in rows]), metric) if rows else np.empty((0, 0))
+        self.n, self.radius = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+        if rows:
+            for r in self.placed(corpus).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("r")).collect():  # a row a pivot
+                self.n[r["cell"]], self.radius[r["cell"]] = r["n"], r["r"]
+
+    def placed(self, corpus: DataFrame) -> DataFrame:
+        """``id, vec, cell, d``: the corpus with the cell of each vector and its distance to the pivot."""
+        vec, id_col, pivots, metric = self.vec, self.id_col, self.pivots, self.metric
+
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    d = _to_pivots(_unit(_matrix(pdf[vec]), metric), pivots)
+                    cell = d.argmin(1)
+                    yield pdf.assign(cell=cell.astype(np.int32), d=d[np.arange(len(d)), cell])
+
+        return corpus.select(id_col, vec).mapInPandas(run, f"{id_col} {dict(corpus.dtypes)[id_col]}, {vec} array<double>, cell int, d double")
+
+    def visited(self, queries: DataFrame, k: int) -> DataFrame:
+        """``qid, qvec, cell``: a row for each cell that may hold one of a query's k nearest."""
+        pivots, n, radius, metric = self.pivots, self.n, self.radius, self.metric
+
+        def run(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                d = _to_pivots(_unit(_matrix(pdf["qvec"]), metric), pivots)
+                far = np.where(n > 0, d + radius, np.inf)
+                order = np.argsort(far, axis=1)
+                enough = np.cumsum(n[order], axis=1) >= min(k, n.sum())
+                bound = np.take_along_axis(far, np.take_along_axis(order, enough.argmax(1)[:, None], 1), 1)[:, 0]
+                near = (n > 0) & (d - radius <= (bound * (1 + 1e-9) + 1e-9)[:, None])
+                row, cell = np.nonzero(near)
+                yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[row], "qvec": pdf["qvec"].to_numpy()[row], "cell": cell.astype(np.int32)})
+
+        return queries.mapInPandas(run, f"qid {dict(queries.dtypes)['qid']}, qvec array<double>, cell int")
+
+
+def _sides(queries: DataFrame, corpus: DataFrame, vec: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+    q = queries.select("qid", F.col("qvec").cast("array<double>").alias("qvec")).filter(F.col("qvec").isNotNull())
+    return q, corpus.select(id_col, F.col(vec).cast("array<double>").alias(vec)).filter(F.col(vec).isNotNull())
+
+
+def cells_visited(queries: DataFrame, corpus: DataFrame, k: int = 1, vec: str = "vec", id_col: str = "id", metric: str = "l2",
+                  pivots: int = PIVOTS) -> DataFrame:
+    """``qid, visited, cells, vectors``: how many of the cells, and of the corpus' vectors in them,
+    the exact search of each query has to read."""
+    q, c = _sides(queries, corpus, vec, id_col)
+    cells = Cells(c, vec, id_col, metric, pivots)
+    size = F.get(F.array(*[F.lit(int(n)) for n in cells.n] or [F.lit(0)]), F.col("cell"))
+    return cells.visited(q, k).groupBy("qid").agg(F.count(F.lit(1)).alias("visited"), F.lit(int((cells.n > 0).sum())).alias("cells"),
+                                                  F.sum(size).cast("long").alias("vectors"))
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 1, vec: str = "vec", id_col: str = "id",
-        metric: str = "l2", max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
+        metric: str = "l2", max_query_bytes: int = MAX_QUERY_BYTES, pivots: int = PIVOTS) -> DataFrame:
     """V2: exact top-k per query. ``queries(qid, qvec)``, ``corpus(id, vec)``.
 
-    Returns ``(qid, id, distance, rank)`` with ties broken by ``id``.
+    Returns ``(qid, id, distance, rank)`` with ties broken by ``id``. Null vectors
+    are left out on both sides. ``max_query_bytes``: query vectors that a task holds at once.
     """
     spark = corpus.sparkSession
-    qtypes = dict(queries.dtypes)
-    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qvec")).alias("d")).first()
-    n, d = int(stats["n"]), int(stats["d"] or 0)
-    if n == 0:
-        schema = f"qid {qtypes['qid']}, {id_col} {dict(corpus.dtypes)[id_col]}, distance double, rank int"
-        return spark.createDataFrame([], schema)
-    per_query = max(d, 1) * 8 + 64
-    block = max(1, min(n, max_query_bytes // per_query))
-    id_type = dict(corpus.dtypes)[id_col]
-    schema = f"qid {qtypes['qid']}, {id_col} {id_type}, distance double"
-    c = corpus.select(id_col, vec)
-    parts = []
-    qb = queries.select("qid", "qvec")
-    # blocks by hash of the query id (no single-task numbering); 2x slack for hash variance
-    nblocks = 1 if block >= n else 2 * ((n + block - 1) // block)
-    qb = qb.withColumn("__blk", F.pmod(F.xxhash64("qid"), F.lit(nblocks)))
-    for bi in range(nblocks):
-        # bounded by max_query_bytes: the block travels with the task closure
-        qpdf = qb.filter(F.col("__blk") == bi).select("qid", "qvec").toPandas()
-        if len(qpdf) == 0:
-            continue
-        parts.append(c.mapInPandas(_block_top_k(qpdf, k, vec, id_col, metric), schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    qtype, itype = dict(queries.dtypes)["qid"], dict(corpus.dtypes)[id_col]
+    q, c = _sides(queries, corpus, vec, id_col)
+    cells = Cells(c, vec, id_col, metric, pivots)
+    if not len(cells.pivots):
+        return spark.createDataFrame([], f"qid {qtype}, {id_col} {itype}, distance double, rank int")
+    wanted = store(cells.visited(q, k))
+    visits = np.zeros(len(cells.n), np.int64)
+    for r in wanted.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a pivot
+        visits[r["cell"]] = r["n"]
+    rows = max(1, max_query_bytes // (cells.pivots.shape[1] * 8 + 64))
+    of = lambda counts: F.get(F.array(*[F.lit(int(x)) for x in counts]), F.col("cell"))
+    c_blocks, q_blocks = of(-(-cells.n // CELL_ROWS)), of(-(-visits // rows))
+    none = lambda kind: F.lit(None).cast(kind)
+    dealt = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
+    left = (cells.placed(c).filter(q_blocks > 0).withColumn("cb", F.pmod(F.xxhash64(id_col), c_blocks).cast("int")).withColumn("qb", dealt(q_blocks))
+                 .select("cell", "cb", "qb", none(qtype).alias("qid"), F.col(id_col).alias("id"), F.col(vec).alias("v"), F.lit(False).alias("asks")))
+    right = (wanted.withColumn("qb", F.pmod(F.xxhash64("qid"), q_blocks).cast("int")).withColumn("cb", dealt(c_blocks))
+                   .select("cell", "cb", "qb", "qid", none(itype).alias("id"), F.col("qvec").alias("v"), F.lit(True).alias("asks")))
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf["asks"].to_numpy()
+        mine, theirs = pdf[asks], pdf[~asks]
+        if not len(mine) or not len(theirs):
+            return pd.DataFrame({"qid": mine["qid"][:0], id_col: theirs["id"][:0], "distance": np.empty(0)})
+        best_d, best_i = _merge(None, None, _matrix(theirs["v"]), theirs["id"].to_numpy(), _matrix(mine["v"]), k, metric)
+        return pd.DataFrame({"qid": np.tile(mine["qid"].to_numpy(), len(best_d)), id_col: best_i.reshape(-1), "distance": best_d.reshape(-1)})
+
+    found = left.unionByName(right).groupBy("cell", "cb", "qb").applyInPandas(block, f"qid {qtype}, {id_col} {itype}, distance double")
     w = Window.partitionBy("qid").orderBy(F.col("distance"), F.col(id_col))
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def best_match(questions: DataFrame, matches: DataFrame, texts: DataFrame, id_col: str = "id",

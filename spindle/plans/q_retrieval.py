@@ -1,13 +1,14 @@
 """Registered retrieval queries (V1-V6, O2, J1, J2) on B-EMB (+ B-DOC texts).
 
-Queries are derived from the corpus itself: the global centroid (V1) and the
-ten per-label centroids (V2-V6), so the work grows with the whole embeddings
-table. Texts: documents linked by ``doc_id = vec_id``; the searchable corpus
+Queries are derived from the corpus itself: the global centroid (V1), the ten
+per-label centroids (V2-V6), and every vector whose id is divisible by 50 (the
+``_join`` queries), so the work grows with the whole embeddings table. Texts: documents linked by ``doc_id = vec_id``; the searchable corpus
 is the vectors that have a document (J1).
 """
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindle.operators import retrieval as R
@@ -124,6 +125,76 @@ def v6(spark, sf):
     return R.prompts(m, texts(spark, sf), questions)
 
 
+# ------------------------------------------------------------------ every id divisible by 50 as a query
+
+ASKED = f"SELECT vec_id AS qid, i, v AS cv FROM ({EXPL}) x WHERE vec_id % 50 = 0"
+BEST_JOIN_SQL = f"""SELECT q.qid AS qid, coalesce(t.text, 'No match found') AS context, coalesce(r.distance, 99.0) AS distance
+FROM (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 50 = 0) q
+LEFT JOIN ({ranked_sql(ASKED, SEARCH_FILTER + " AND e.vec_id <> c.qid")}) r ON q.qid = r.qid AND r.rank = 1
+LEFT JOIN documents t ON t.doc_id = r.id"""
+
+
+def asked(spark, sf):
+    return corpus(spark, sf).filter(F.col("id") % 50 == 0).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), "label")
+
+
+def others(spark, sf, k):
+    """The k nearest of each query's other vectors that have a text: itself is one more."""
+    m = R.knn(asked(spark, sf).select("qid", "qvec"), searchable(spark, sf), k + 1).filter(F.col("id") != F.col("qid"))
+    w = Window.partitionBy("qid").orderBy("rank")  # k + 1 rows
+    return m.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _best_join(spark, sf):
+    return R.best_match(asked(spark, sf), others(spark, sf, 1), texts(spark, sf))
+
+
+@register("v2_knn_join", f"""SELECT qid, id, round(distance, 4) AS distance, CAST(rank AS INTEGER) AS rank FROM ({ranked_sql(ASKED)}) r
+WHERE rank <= {K}""")
+def v2j(spark, sf):
+    m = R.knn(asked(spark, sf).select("qid", "qvec"), corpus(spark, sf), K)
+    return m.select("qid", "id", r4("distance").alias("distance"), "rank")
+
+
+@register("v3_best_match_join", f"SELECT qid, context, round(distance, 4) AS distance FROM ({BEST_JOIN_SQL}) x")
+def v3j(spark, sf):
+    return _best_join(spark, sf).select("qid", "context", r4("distance").alias("distance"))
+
+
+@register("v4_grade_join", f"""SELECT qid, round(distance, 4) AS distance, {GRADE_SQL} AS grade
+FROM (SELECT *, 0 AS retries FROM ({BEST_JOIN_SQL}) x) y""")
+def v4j(spark, sf):
+    return R.grade(_best_join(spark, sf)).select("qid", r4("distance").alias("distance"), "grade")
+
+
+@register("v5_retry_and_route_join", f"""WITH first AS (SELECT *, 0 AS retries, {GRADE_SQL} AS grade FROM (SELECT *, 0 AS retries
+  FROM ({BEST_JOIN_SQL}) x) y),
+again AS (SELECT f.qid AS qid, e.label AS label FROM first f JOIN embeddings e ON e.vec_id = f.qid WHERE grade = 'not_useful'),
+rw AS (SELECT a.qid AS qid, i, cv FROM again a JOIN ({TEXT_CENTROIDS}) c ON c.qid = a.label),
+second AS (SELECT a.qid, coalesce(t.text, 'No match found') AS context, coalesce(r.distance, 99.0) AS distance, 1 AS retries
+  FROM again a LEFT JOIN ({ranked_sql('SELECT * FROM rw', SEARCH_FILTER)}) r ON a.qid = r.qid AND r.rank = 1
+  LEFT JOIN documents t ON t.doc_id = r.id),
+routed AS (SELECT qid, context, distance, retries FROM first WHERE grade <> 'not_useful' UNION ALL SELECT * FROM second)
+SELECT qid, round(distance, 4) AS distance, retries, {GRADE_SQL} AS grade FROM routed""")
+def v5j(spark, sf):
+    """A question without a useful match is asked again as the centroid of its label."""
+    g = R.grade(_best_join(spark, sf))
+    of = label_queries(spark, sf, base=searchable(spark, sf)).select(F.col("qid").alias("label"), "qvec")
+    rewrites = asked(spark, sf).select("qid", "label").join(of, "label").select("qid", "qvec")
+    out = R.retry(g.select("qid", "context", "distance", "grade"), rewrites, searchable(spark, sf), texts(spark, sf))
+    return out.select("qid", r4("distance").alias("distance"), "retries", "grade")
+
+
+@register("v6_prompts_join", f"""WITH r AS (SELECT * FROM ({ranked_sql(ASKED, SEARCH_FILTER + " AND e.vec_id <> c.qid")}) x WHERE rank <= {K}),
+ctx AS (SELECT r.qid, string_agg(t.text, chr(10) || chr(10) ORDER BY r.rank) AS context
+        FROM r JOIN documents t ON t.doc_id = r.id GROUP BY r.qid)
+SELECT qid, context, 'Context: ' || context || chr(10) || chr(10) || 'Question: ' || 'documents like ' || CAST(qid AS VARCHAR) AS prompt FROM ctx""")
+def v6j(spark, sf):
+    questions = asked(spark, sf).select("qid", F.concat(F.lit("documents like "), F.col("qid").cast("string")).alias("question"))
+    p = R.prompts(others(spark, sf, K), texts(spark, sf), questions)
+    return p.filter(F.col("context") != "")
+
+
 @register("j1_vectors_join_text", """SELECT e.vec_id AS id, d.lang AS lang, d.n_chars AS n_chars
 FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id""")
 def j1(spark, sf):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shapes import edges_df
 from spindle.operators.graph import algebra as GA
+from spindle.operators.graph import components as GK
 from spindle.operators.graph import cycles as GC
 from spindle.operators.graph import edges as E
 from spindle.operators.graph import paths as GP
@@ -221,3 +222,95 @@ def test_bitmask_bfs_equals_row_bfs(spark):
     rows = {tuple(r) for r in bfs(e, starts, parents=True, prepared=True).select("start", "node", "level").collect()}
     bits = {tuple(r) for r in ms_bfs(e, starts, width=8).collect()}
     assert rows == bits and len(rows) > 92
+
+
+def plain_components(pairs):
+    """Strongly connected components by mutual reachability."""
+    nodes = sorted({x for p in pairs for x in p})
+    after = {n: {d for s, d in pairs if s == n} for n in nodes}
+    reach = {}
+    for n in nodes:
+        seen, todo = {n}, [n]
+        while todo:
+            for d in after[todo.pop()]:
+                if d not in seen:
+                    seen.add(d)
+                    todo.append(d)
+        reach[n] = seen
+    of = {n: [m for m in nodes if m in reach[n] and n in reach[m]] for n in nodes}
+    return {n: (min(c), len(c)) for n, c in of.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_strong_components_against_mutual_reachability(spark, seed):
+    import random
+    rng = random.Random(seed)
+    n = 40
+    pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.choice([30, 45, 60]))]
+    pairs += [(100 + i, 100 + (i + 1) % 7) for i in range(7)] + [(200, 100), (103, 201), (5, 200), (201, 202), (202, 203), (203, 5), (7, 7)]
+    e = edges_df(spark, [*pairs, pairs[0]])
+    want = plain_components(pairs)
+    assert {r["node"]: (r["component"], r["size"]) for r in GK.strong_components(e).collect()} == want
+    cyclic = {x for x, (_, k) in want.items() if k > 1} | {s for s, d in pairs if s == d}
+    core, left = set(pairs), None
+    while core != left:
+        left = core
+        core = {(s, d) for s, d in left if any(y == s for _, y in left) and any(x == d for x, _ in left)}
+    assert {tuple(r) for r in GC.cycle_core(e).collect()} == core and cyclic <= {x for p in core for x in p}
+
+
+def test_long_chains_and_rings_take_few_rounds(spark, monkeypatch):
+    calls = []
+    real = GK.store
+    monkeypatch.setattr(GK, "store", lambda df: calls.append(1) or real(df))
+    n = 5000
+    pairs = [(i, i + 1) for i in range(n)] + [(n, n - 2)] + [(n + 1 + i, n + 2 + i) for i in range(n)] + [(n, n + 1)]
+    e = edges_df(spark, pairs)  # a ring of three with a chain into it and a chain out of it
+    assert {tuple(r) for r in GC.cycle_core(e).collect()} == {(n - 2, n - 1), (n - 1, n), (n, n - 2)}
+    assert len(calls) < 60
+    ring = edges_df(spark, [(i, (i + 1) % n) for i in range(n)])
+    assert {(r["component"], r["size"]) for r in GK.strong_components(ring).collect()} == {(0, n)}
+    assert not GC.has_cycle(edges_df(spark, chain(300))) and GC.strong_components(edges_df(spark, chain(3))).count() == 4
+
+
+def test_connected_components(spark):
+    import random
+    rng = random.Random(8)
+    pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(60)] + [(500, 500)]
+    lone = spark.createDataFrame([(900,), (901,), (None,)], "node int")
+    both = pairs + [(b, a) for a, b in pairs]
+    want = {n: c for n, c in plain_components(both).items()} | {900: (900, 1), 901: (901, 1)}
+    assert {r["node"]: (r["component"], r["size"]) for r in GK.connected_components(edges_df(spark, pairs), lone).collect()} == want
+    cut = [p for p in both if 330 not in p]
+    want = plain_components([*cut, *[(n, n) for n in want if n != 330]])
+    got = GK.connected_components(edges_df(spark, pairs), lone, ignore=spark.createDataFrame([(330,)], "node int"))
+    assert {r["node"]: (r["component"], r["size"]) for r in got.collect()} == want
+
+
+def test_cycles_with_a_long_dead_end(spark):
+    # many ways lead on from the ring, none of them back
+    ring = [(0, 1), (1, 2), (2, 0), (2, 1)]
+    tail = [(2, 10)] + [(10 * i + a, 10 * (i + 1) + b) for i in range(1, 12) for a in range(3) for b in range(3)] + [(10, 11), (10, 12)]
+    e = edges_df(spark, ring + tail)
+    assert sorted(r["cycle"] for r in GC.simple_cycles(e).collect()) == ["0 -> 1 -> 2 -> 0", "1 -> 2 -> 1"]
+    # inside a component: nodes above the start that cannot come back to it are not walked
+    e = edges_df(spark, [(0, 5), (5, 6), (6, 0), (5, 7), (7, 8), (8, 0), (8, 7)])
+    assert sorted(r["cycle"] for r in GC.simple_cycles(e).collect()) == ["0 -> 5 -> 6 -> 0", "0 -> 5 -> 7 -> 8 -> 0", "7 -> 8 -> 7"]
+
+
+def test_path_counts_of_all_nodes(spark):
+    pairs = [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (3, 5), (9, 4)]
+    got = {r["start"]: (int(r["walks"]), int(r["leaf_paths"])) for r in GP.path_counts(edges_df(spark, pairs)).collect()}
+    assert got == {0: (9, 4), 1: (4, 2), 2: (4, 2), 3: (3, 2), 4: (1, 1), 5: (1, 1), 9: (2, 1)}
+    cyclic = edges_df(spark, [*pairs, (20, 21), (21, 20), (21, 0)])
+    assert int(GP.path_counts(cyclic, [0]).first()["walks"]) == 9  # the cycle lies above the start
+    assert int(GP.path_counts(cyclic, [20], max_level=2).first()["walks"]) == 4
+
+
+def test_paths_are_numbered_anew_where_digits_run_out(spark, monkeypatch):
+    monkeypatch.setattr(GS, "BITS", 24)
+    pairs = [(i, (i * 5 + 2) % 60) for i in range(60)] + [(i, (i * 11 + 7) % 60) for i in range(60)] + [(i, 100 + k % 3) for k, i in enumerate(range(0, 60, 9))]
+    e = edges_df(spark, pairs)
+    forward = {tuple(r) for r in GS.shortest_paths(e, [0, 5, 17]).collect()}
+    assert forward == {tuple(r) for r in GS.shortest_paths_to(e, [0, 5, 17], E.leaves(e)).collect()} and len(forward) >= 3
+    assert GS.shortest_paths(e, [0], to="all").count() == GR.reach(e, [0], include_start=False).count()

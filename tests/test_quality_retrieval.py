@@ -121,3 +121,23 @@ def test_knn_cosine_matches_numpy(spark):
     d = 1.0 - (X @ q) / (np.linalg.norm(X, axis=1) * np.linalg.norm(q))
     ref = [int(pdf["id"][i]) for i in sorted(range(len(d)), key=lambda i: (d[i], pdf["id"][i]))[:3]]
     assert got == ref
+
+
+def test_knn_join_visits_few_cells_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(R, "CELL_ROWS", 50)  # several blocks a cell
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 3)) * 50
+    X = np.concatenate([c + rng.normal(size=(80, 3)) for c in centres] + [np.repeat(centres[:1], 150, axis=0)])  # and many equal ones
+    corpus = spark.createDataFrame([(i, x.tolist(), i % 3) for i, x in enumerate(X)] + [(5000, None, 0)], "id long, vec array<double>, qid int")
+    queries = spark.createDataFrame([(f"q{i}", X[i].tolist()) for i in range(0, len(X), 50)] + [("none", None)], "qid string, qvec array<double>")
+    got = {}
+    for r in R.knn(queries, corpus, k=5, max_query_bytes=400).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["id"], round(r["distance"], 9)))
+    for i in range(0, len(X), 50):
+        d = np.sqrt(((X - X[i]) ** 2).sum(axis=1))
+        assert got[f"q{i}"] == [(j, round(d[j], 9)) for j in sorted(range(len(X)), key=lambda j: (d[j], j))[:5]]
+    assert "none" not in got
+    seen = R.cells_visited(queries, corpus, k=5).collect()
+    assert all(r["visited"] < 0.5 * r["cells"] and r["vectors"] < 0.5 * len(X) for r in seen) and len(seen) == len(got)
+    assert R.knn(queries, corpus.limit(0), 2).collect() == [] and R.knn(queries.limit(0), corpus, 2).collect() == []
+    assert R.knn(queries, corpus.limit(3), 9).filter("qid = 'q0'").count() == 3
