@@ -40,6 +40,34 @@ def fit_forest(train: DataFrame, target: str, num_trees: int = 100, seed: int =
     return rf.fit(train.na.drop())
 
 
+def tree_table(model, path: str) -> DataFrame:
+    """The fitted forest as a node table ``tree, node, feature, threshold, left, right, stats``
+    (class weights; children of a leaf are null), written to ``path``."""
+    model.write().overwrite().save(path)
+    from pyspark.sql import SparkSession
+    n = SparkSession.getActiveSession().read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
+    inner = F.col("leftChild") >= 0
+    return n.select("tree", F.col("id").alias("node"), F.when(inner, F.col("split.featureIndex")).alias("feature"),
+                    F.when(inner, F.get("split.leftCategoriesOrThreshold", F.lit(0))).alias("threshold"),
+                    F.when(inner, F.col("leftChild")).alias("left"), F.when(inner, F.col("rightChild")).alias("right"), F.col("impurityStats").alias("stats"))
+
+
+def score_by_joins(data: DataFrame, nodes: DataFrame, depth: int, id_col: str = "id", array_col: str = "vec") -> DataFrame:
+    """``id, prediction`` from a node table alone: every row goes down every tree by one join a
+    level, the class shares of the leaves are added up, the largest (lowest of equal ones) wins."""
+    trees = nodes.select("tree").distinct()
+    n = trees.count()  # the forest's size
+    at = data.select(id_col, F.col(array_col).cast("array<double>").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("tree")).withColumn("node", F.lit(0))
+    for _ in range(depth):
+        down = F.when(F.col("feature").isNull(), F.col("node")).when(F.get("x", F.col("feature")) <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
+        at = at.join(nodes.drop("stats"), ["tree", "node"]).select(id_col, "x", "tree", down.alias("node"))
+    votes = at.join(nodes.select("tree", "node", "stats"), ["tree", "node"]).select(
+        id_col, F.posexplode(F.transform("stats", lambda v: v / F.aggregate("stats", F.lit(0.0), lambda a, x: a + x))).alias("class", "share"))
+    total = votes.groupBy(id_col, "class").agg(F.sum("share").alias("share"))
+    best = total.groupBy(id_col).agg(F.max(F.struct(F.round("share", 9).alias("share"), (-F.col("class")).alias("minus"))).alias("b"))
+    return best.select(id_col, (-F.col("b.minus")).cast("double").alias("prediction"))
+
+
 def accuracy(pred: DataFrame, target: str, prediction: str = "prediction") -> float:
     """M3: accuracy."""
     ev = MulticlassClassificationEvaluator(labelCol=target, predictionCol=prediction, metricName="accuracy")

@@ -214,6 +214,17 @@ def distinct_counts(df: DataFrame, subsets: Mapping[str, Sequence[str]]) -> Data
     return counts.agg(*[F.max(F.when(F.col("label") == label, F.col("n"))).alias(label) for label in subsets])
 
 
+def distinct_sketches(df: DataFrame, col: str, by: Sequence[str | Column], bits: int = 12) -> DataFrame:
+    """A6 stored form: one HyperLogLog sketch of ``col`` per group (a day and a tag), to be kept
+    as a column and united at read; ``2^bits`` registers, standard error 1.04 / 2^(bits / 2)."""
+    return df.groupBy(*by).agg(F.hll_sketch_agg(F.col(col), bits).alias("sketch"))
+
+
+def distinct_of_sketches(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Estimated distinct count over the sketches of each group, ``estimate``."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+
+
 def null_counts(df: DataFrame, prefix: str) -> DataFrame:
     """Null and non-null cell totals over the columns starting with ``prefix``."""
     cols = [c for c in df.columns if c.startswith(prefix)]

@@ -14,12 +14,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindle.operators.graph import algebra as GA
+from spindle.operators.graph import components as GK
 from spindle.operators.graph import cycles as GC
 from spindle.operators.graph import edges as E
 from spindle.operators.graph import paths as GP
 from spindle.operators.graph import reach as GR
 from spindle.operators.graph import shortest as GS
-from spindle.operators.graph.frontier import path_text
+from spindle.operators.graph.frontier import path_text, walk_paths
 from spindle.plans import bindings as b
 from spindle.plans.registry import r4, register
 from spindle.session import cut_lineage
@@ -191,6 +192,16 @@ def g8p(spark, sf):
     return GR.reach(part(spark, sf), part_starts(spark, sf), per_start=False)
 
 
+FIFTIETH_SQL = "SELECT p_partkey AS node FROM part WHERE p_partkey % 50 = 0"
+
+
+@register("g8_part_pairs", bfs_sql(b.PART_SQL, FIFTIETH_SQL) + " SELECT start, node, level FROM bfs")
+def g8q(spark, sf):
+    """Every part whose key is divisible by 50 against all parts."""
+    starts = b.table(spark, sf, "part").filter(F.col("p_partkey") % 50 == 0).select(F.col("p_partkey").alias("node"))
+    return GR.reach(part(spark, sf), starts).select("start", "node", "level")
+
+
 @register("g9_reach_with_degrees", bfs_sql(DAG, roots_sql(DAG)) + """,
 o AS (SELECT src AS node, count(*) AS od FROM e GROUP BY 1), i AS (SELECT dst AS node, count(*) AS idg FROM e GROUP BY 1)
 SELECT start, bfs.node AS node, level, coalesce(idg, 0) AS in_degree, coalesce(od, 0) AS out_degree
@@ -236,6 +247,16 @@ def g11(spark, sf):
     return GR.hub_descendants(part(spark, sf), part_starts(spark, sf), 10, per_start=False)
 
 
+@register("g11_lineage_hub_descendants", bfs_sql(DAG, roots_sql(DAG)) + """,
+od AS (SELECT src AS node, count(*) AS out_degree FROM e GROUP BY 1)
+SELECT start, bfs.node AS node, od.out_degree AS out_degree FROM bfs JOIN od ON bfs.node = od.node
+WHERE level > 0 AND od.out_degree > 10""")
+def g11l(spark, sf):
+    """Hubs below every root of the whole lineage."""
+    e = dag(spark, sf)
+    return GR.hub_descendants(e, E.roots(e), 10).select("start", "node", "out_degree")
+
+
 @register("g12_bfs_levels_to_target", bfs_sql(DAG, roots_sql(DAG)) + f""",
 t AS ({leaves_sql(DAG)}),
 stop AS (SELECT start, min(level) AS lv FROM bfs WHERE node IN (SELECT node FROM t) GROUP BY start),
@@ -283,6 +304,23 @@ def g14(spark, sf):
     return GR.reach(E.undirected(e), E.roots(e), ignore=ig).select("start", "node")
 
 
+@register("g14_components_skipping", f"""WITH RECURSIVE e0 AS ({DAG}), ig AS ({SKIP_SQL}),
+n AS (SELECT node FROM ({nodes_sql(DAG)}) z WHERE node NOT IN (SELECT node FROM ig)),
+e AS (SELECT src, dst FROM (SELECT src, dst FROM e0 UNION SELECT dst, src FROM e0) u
+      WHERE src NOT IN (SELECT node FROM ig) AND dst NOT IN (SELECT node FROM ig)),
+cc(node, component) USING KEY (node) AS (
+  SELECT node, node FROM n
+  UNION
+  SELECT e.dst, min(cc.component) FROM cc JOIN e ON cc.node = e.src JOIN recurring.cc v ON v.node = e.dst
+  WHERE cc.component < v.component GROUP BY e.dst)
+SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM cc""")
+def g14c(spark, sf):
+    """Component membership without the skipped nodes: a row a node."""
+    ig = b.table(spark, sf, "nation").filter(F.col("n_regionkey") == 2) \
+          .select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
+    return GK.connected_components(dag(spark, sf), ignore=ig)
+
+
 @register("g15_lineage_edges_from_suffix", f"""WITH RECURSIVE e AS ({DAG}),
 first AS (SELECT min(node) AS node FROM ({nodes_sql(DAG)}) n WHERE CAST(node AS VARCHAR) LIKE '%3'),
 r(node) AS (SELECT node FROM first WHERE node IS NOT NULL UNION SELECT e.dst FROM r JOIN e ON r.node = e.src)
@@ -415,6 +453,14 @@ def g34(spark, sf):
     return c.select("start", F.col("walks").cast("long").alias("walks"), F.col("leaf_paths").cast("long").alias("leaf_paths"))
 
 
+@register("g34_path_counts_all_nodes", walks_sql(DAG, nodes_sql(DAG)) + """
+SELECT start, count(*) AS walks, count(*) FILTER (WHERE last NOT IN (SELECT src FROM e)) AS leaf_paths
+FROM w GROUP BY start""")
+def g34a(spark, sf):
+    c = GP.path_counts(dag(spark, sf))
+    return c.select("start", F.col("walks").cast("long").alias("walks"), F.col("leaf_paths").cast("long").alias("leaf_paths"))
+
+
 # ------------------------------------------------------------------ shortest
 
 @register("g23_shortest_paths", bfs_sql(DAG, roots_sql(DAG)) +
@@ -503,6 +549,25 @@ def g26w(spark, sf):
     return GC.one_cycle(cyc(spark, sf))
 
 
+def strong_sql(e: str) -> str:
+    """Mutual reachability."""
+    return f"""WITH RECURSIVE e AS ({e}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+r(s, t) AS (SELECT node, node FROM n UNION SELECT r.s, e.dst FROM r JOIN e ON r.t = e.src),
+m AS (SELECT a.s AS node, a.t AS other FROM r a JOIN r z ON a.s = z.t AND a.t = z.s)
+SELECT node, min(other) AS component, count(*) AS size FROM m GROUP BY node"""
+
+
+@register("g26_strong_components", strong_sql(CYC))
+def g26s(spark, sf):
+    return GK.strong_components(cyc(spark, sf))
+
+
+@register("g26_part_strong_components", strong_sql(b.PARTB_SQL))
+def g26p(spark, sf):
+    """Parts and brands of the whole part graph."""
+    return GK.strong_components(cut_lineage(b.part_brand_edges(spark, sf)))
+
+
 @register("g28_has_cycle", """SELECT 'lineage' AS graph, false AS has_cycle UNION ALL SELECT 'events', """
           f"""(SELECT count(*) > 0 FROM ({CORE_SQL} SELECT * FROM core) c)""")
 def g28(spark, sf):
@@ -585,3 +650,12 @@ def j3(spark, sf):
           WHERE NOT array_contains(w.path, e.dst))
         SELECT start, array_join(transform(path, x -> CAST(x AS STRING)), ' -> ') AS path_text,
                size(path) - 1 AS depth FROM w""")
+
+
+@register("j3_walks_to_fixpoint", walks_sql(CYC, roots_sql(CYC)) +
+          f" SELECT start, {ptext('path')} AS path_text, CAST(len(path) - 1 AS INTEGER) AS depth FROM w")
+def j3f(spark, sf):
+    """J3 as a DataFrame loop to its fixpoint: no bound on levels or rows."""
+    e = cyc(spark, sf)
+    w = walk_paths(e, E.roots(e), guard="path", emit="all")
+    return w.select("start", path_text("path").alias("path_text"), F.col("levels").alias("depth"))

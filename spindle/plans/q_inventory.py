@@ -8,6 +8,7 @@ from spindle.functions import paths as P
 from spindle.operators import inventory as inv
 from spindle.plans import bindings as b
 from spindle.plans.registry import register, ts_text
+from spindle.session import store
 
 W = b.web_files_sql()
 # DuckDB: ancestors of every record, the same rule as functions.paths.ancestors
@@ -202,6 +203,16 @@ def a7(spark, sf):
                                     "all_columns": li.columns})
 
 
+@register("a6_sketches_united_at_read", """SELECT event_type AS tag, count(DISTINCT user_id) AS exact, true AS within_5_percent FROM events GROUP BY 1""")
+def a6s(spark, sf):
+    """Sketches stored per day and tag, united over the days; held against the exact count."""
+    ev = b.table(spark, sf, "events").select(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day"), F.col("event_type").alias("tag"), "user_id")
+    stored = store(inv.distinct_sketches(ev, "user_id", ["day", "tag"]))
+    exact = ev.groupBy("tag").agg(F.count_distinct("user_id").alias("exact"))
+    return inv.distinct_of_sketches(stored, ["tag"]).join(exact, "tag").select(
+        "tag", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.05 * F.col("exact")).alias("within_5_percent"))
+
+
 @register("j7_directory_entries", f"SELECT dir, path, size FROM ({ANC}) a")
 def j7(spark, sf):
     return inv.directory_entries(b.web_files(spark, sf)).select("dir", "path", "size")

@@ -18,6 +18,7 @@ from spindle.operators.timeseries import downsample, shard_bucket
 from spindle.plans import bindings as b
 from spindle.plans.q_graph import DAG, roots_sql, walks_sql
 from spindle.plans.registry import r4, register, ts_text
+from spindle.session import store
 from spindle.session import cut_lineage
 from spindle.sources import files as IO
 from spindle.sources import line_protocol as LP
@@ -318,6 +319,46 @@ def m5(spark, sf):
     return M.confusion(b.table(spark, sf, "labels"), "quality", "toxic")
 
 
+TEST_ROWS = "SELECT vec_id AS id, label FROM embeddings WHERE ('0x' || substr(md5('42:' || vec_id), 1, 8))::BIGINT % 1000 >= 700"
+
+
+def _both_predictions(spark, sf):
+    """The library's predictions and those of the node table, on the held-out rows."""
+    train, test = M.split(_forest_data(spark, sf), "id")
+    model = M.fit_forest(train, "label", 20, 42)
+    nodes = M.tree_table(model, IO.scratch_dir(spark, "forest"))
+    held = M.split(b.vectors(spark, sf), "id")[1]
+    mine = M.score_by_joins(held, nodes, model.getOrDefault("maxDepth"))
+    return model.transform(test).select("id", "label", "prediction").join(mine.withColumnRenamed("prediction", "mine"), "id")
+
+
+@register("m2_tree_table_agrees", f"SELECT id, CAST(label AS DOUBLE) AS label, true AS agrees FROM ({TEST_ROWS}) t")
+def m2t(spark, sf):
+    """Scoring the node table by joins gives the library's prediction for every held-out row."""
+    return _both_predictions(spark, sf).select("id", "label", (F.col("mine") == F.col("prediction")).alias("agrees"))
+
+
+@register("m3_accuracy_of_tree_table", f"SELECT count(*) AS n, true AS same_accuracy FROM ({TEST_ROWS}) t")
+def m3t(spark, sf):
+    p = store(_both_predictions(spark, sf))
+    a, c = M.accuracy_df(p, "label"), M.accuracy_df(p, "label", "mine").select(F.col("accuracy").alias("mine"), F.col("n").alias("m"))
+    return a.join(c, F.col("n") == F.col("m")).select("n", (F.abs(F.col("accuracy") - F.col("mine")) < 1e-12).alias("same_accuracy"))
+
+
+@register("m4_report_of_forest", f"SELECT CAST(label AS DOUBLE) AS cls, count(*) AS support FROM ({TEST_ROWS}) t GROUP BY 1")
+def m4f(spark, sf):
+    """Report over the forest's own predictions; classes and support are those of the held-out rows."""
+    rep = M.classification_report(_both_predictions(spark, sf), "label", "mine")
+    fine = F.col("precision").between(0, 1) & F.col("recall").between(0, 1) & F.col("f1").between(0, 1)
+    return rep.filter(fine & (F.col("support") > 0)).select("cls", "support")
+
+
+@register("m5_confusion_of_forest", f"SELECT CAST(label AS DOUBLE) AS label, count(*) AS n FROM ({TEST_ROWS}) t GROUP BY 1")
+def m5f(spark, sf):
+    """Row sums of the confusion matrix of the forest's own predictions."""
+    return M.confusion(_both_predictions(spark, sf), "label", "mine").groupBy("label").agg(F.sum("n").alias("n"))
+
+
 # ------------------------------------------------------------------ G35, G36
 
 def _quoted(df, col):
@@ -400,3 +441,19 @@ def s13e(spark, sf):
     """S13 error-class split of every text line (``find``/``stat`` style messages)."""
     lines = b.table(spark, sf, "documents").select(F.explode(F.split("text", "\n", -1)).alias("line"))
     return lines.groupBy(IO.error_class("line").alias("error_class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# fixed values: the two message texts that the error classes go by
+MESSAGES = ("stat: cannot statx '%s': No such file or directory", "find: '%s': Permission denied", "stat: '%s': Input/output error")
+
+
+@register("s13_message_classes", f"""SELECT CASE file_id % 3 WHEN 0 THEN 'missing' WHEN 1 THEN 'denied' ELSE 'other' END AS error_class,
+  count(*) AS n, CAST(sum(length(path)) AS BIGINT) AS path_chars FROM ({W}) w GROUP BY 1""")
+def s13m(spark, sf):
+    """S13 over one message per file, of all three classes; the path is read back out of the message."""
+    f = b.web_files(spark, sf).select("file_id", "path")
+    kind = F.pmod(F.col("file_id"), F.lit(3))
+    msg = F.when(kind == 0, F.format_string(MESSAGES[0], "path")).when(kind == 1, F.format_string(MESSAGES[1], "path")).otherwise(F.format_string(MESSAGES[2], "path"))
+    m = f.select(msg.alias("msg"))
+    return m.groupBy(IO.error_class("msg").alias("error_class")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length(F.regexp_extract("msg", "'([^']*)'", 1))).cast("long").alias("path_chars"))

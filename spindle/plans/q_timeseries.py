@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spindle.operators import timeseries as ts
 from spindle.plans import bindings as b
 from spindle.plans.registry import r4, register, ts_text
+from spindle.session import store
 
 # Fixed as-of instant for relative-time rules (the data covers January 2024).
 ASOF = "2024-01-31 00:00:00"
@@ -80,3 +81,38 @@ def a8(spark, sf):
     ev = b.event_points(spark, sf)
     return ev.groupBy("tag").agg(r4(F.avg("value")).alias("mean_value"), r4(F.min("value")).alias("min_value"),
                                  r4(F.max("value")).alias("max_value"), F.count(F.lit(1)).alias("n"))
+
+
+BY_TAG = """SELECT strftime(time_bucket(INTERVAL '{w}', ts), '%Y-%m-%d %H:%M:%S') AS bucket, event_type AS tag, round(sum(value), 2) AS sum_value,
+       round(min(value), 4) AS min_value, round(max(value), 4) AS max_value, count(value) AS n FROM events GROUP BY 1, 2"""
+
+
+def _told(states):
+    m = ts.mean_of(states).filter(F.abs(F.col("mean") * F.col("count") - F.col("sum")) < 1e-6)
+    return m.select(ts_text("bucket").alias("bucket"), "tag", F.round("sum", 2).alias("sum_value"), r4("min").alias("min_value"),
+                    r4("max").alias("max_value"), F.col("count").alias("n"))
+
+
+@register("t3_hourly_from_10m_states", BY_TAG.format(w="1 hour"))
+def t3_cascade(spark, sf):
+    """The hourly class merged from stored states of the 10-minute class."""
+    fine = store(ts.rollup_states(b.event_points(spark, sf), "ts", "10 minutes", ["tag"]))
+    return _told(ts.merge_states(fine, ["tag"], "1 hour"))
+
+
+@register("t3_late_points", BY_TAG.format(w="10 minutes"))
+def t3_late(spark, sf):
+    """Every tenth event comes late: its buckets are merged anew, the stored others stay."""
+    ev = b.table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("tag"), "value")
+    stored = store(ts.rollup_states(ev.filter("event_id % 10 <> 0"), "ts", "10 minutes", ["tag"]))
+    return _told(ts.add_late(stored, ev.filter("event_id % 10 = 0"), "ts", "10 minutes", ["tag"]))
+
+
+@register("t5_retention_altered", f"""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM events
+WHERE ts >= TIMESTAMP '{ASOF}' - CASE WHEN event_type IN ('purchase', 'signup') THEN INTERVAL 14 DAY ELSE INTERVAL 7 DAY END""")
+def t5_altered(spark, sf):
+    """Two policies of 7 days; one is altered to 14 before the points are filtered by theirs."""
+    policies = spark.createDataFrame([("short", 7), ("long", 7)], "name string, days int")
+    ev = b.table(spark, sf, "events").select("event_id", "ts", F.when(F.col("event_type").isin("purchase", "signup"), "long").otherwise("short").alias("policy"))
+    kept = ts.retained(ev, "ts", ts.set_policy(policies, "long", 14), ASOF, policy_col="policy")
+    return kept.select("event_id", ts_text("ts").alias("ts"))
