@@ -151,7 +151,8 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     both = placed.select(F.explode(F.when(F.col("g").isNull(), F.array(F.struct("b", F.lit(False).alias("ghost")))).otherwise(
         F.array(F.struct("b", F.lit(False).alias("ghost")), F.struct(F.col("g").alias("b"), F.lit(True).alias("ghost"))))).alias("p"),
         "id", "text").select("p.b", "p.ghost", "id", "text")
-    return both.repartition(n, "b").sortWithinPartitions("b", "ghost", F.col("id").desc_nulls_last(), "text")
+    # range b is partition b + 1 (0: no id): hashing the numbers would put several ranges into one task
+    return both.repartitionById(n + 1, (F.col("b") + 1).cast("int")).sortWithinPartitions("b", "ghost", F.col("id").desc_nulls_last(), "text")
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
