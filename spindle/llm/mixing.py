@@ -10,7 +10,7 @@ Selection is then a filter on the hash; no row is sorted or ranked. Thresholds
 nest: a larger budget takes a superset.
 
 The driver holds one row per source (its totals and its threshold); that table,
-and nothing else, is broadcast.
+and nothing else, is broadcast, as long as it has no more than ``FEW`` rows.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BITS, LEVEL = 60, 12
 EPOCHS = 3
 CYCLE = (5, 2, 1)
+FEW = 50_000             # sources whose rows (about 150 bytes each) are broadcast
 
 
 def n_words(text: str | Column) -> Column:
@@ -60,6 +61,11 @@ def targets(sizes: dict[str | None, int], weights: dict[str | None, float], epoc
     return out
 
 
+def _sized(per_source: DataFrame, rows: int) -> DataFrame:
+    """Broadcast up to ``FEW`` rows; beyond, Spark joins by shuffle and splits hot sources."""
+    return F.broadcast(per_source) if rows <= FEW else per_source
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: Callable[[Sequence[str | None]], dict[str | None, float]] = cycled_weights,
         carry: list[str] | None = None) -> DataFrame:
@@ -87,7 +93,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
             break
         state = spark.createDataFrame([(s, plan[s]["prefix"], plan[s]["rest"] - plan[s]["below"]) for s in open_],
                                       "s string, prefix long, budget double")
-        h = thin.select("__source", "__h", "size").join(F.broadcast(state), F.col("__source").eqNullSafe(F.col("s")))
+        h = thin.select("__source", "__h", "size").join(_sized(state, len(open_)), F.col("__source").eqNullSafe(F.col("s")))
         if shift < BITS - LEVEL:  # the boundary bucket alone
             h = h.filter(F.shiftright("__h", shift + LEVEL) == F.col("prefix"))
         hist = h.groupBy("s", F.shiftright("__h", shift).alias("b")).agg(
@@ -111,7 +117,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         [(s, p["source_size"], p["target"], p["q"], p["lo"], p["hi"], p["rest"] - p["below"], float(p["cell"] or 1))
          for s, p in plan.items()],
         "s string, source_size long, target double, q long, lo long, hi long, part double, cell double")
-    j = thin.join(F.broadcast(bounds), F.col("__source").eqNullSafe(F.col("s")))
+    j = thin.join(_sized(bounds, len(plan)), F.col("__source").eqNullSafe(F.col("s")))
     once, edge = F.col("__h") < F.col("lo"), (F.col("__h") >= F.col("lo")) & (F.col("__h") < F.col("hi"))
     share = F.col("part") * (F.col("size") / F.col("cell"))
     return j.select(
