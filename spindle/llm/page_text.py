@@ -228,12 +228,13 @@ def blocks(html: str) -> tuple[list[tuple[str, list[int], list[int], list[int],
     runs: list[tuple[tuple, list[str]]] = []  # text by the digests around it, in page order
 
     def add(around: tuple, text: str) -> None:
-        if not runs or runs[-1][0] != around:
+        if not runs or runs[-1][0] is not around:
             runs.append((around, []))
         runs[-1][1].append(text)
 
     bare = not root.holds_main
-    todo: list[tuple] = [(root, bare, ((), (), (), False))]
+    # digests around an element as links (digest, the links around it): shared by all that lies inside
+    todo: list[tuple] = [(root, bare, (None, None, None, False))]
     while todo:
         x, inside, around = todo.pop()
         if isinstance(x, str):
@@ -246,7 +247,7 @@ def blocks(html: str) -> tuple[list[tuple[str, list[int], list[int], list[int],
             # known by its name, not by its words: its shape may change from page to page
             role, inside, d = True, False, digest("role", x.tag, " ".join(sorted(x.words())))
             counted.add((d, False))
-            out = (*out, d)
+            out = (d, out)
             around = (out, ins, prose, role)
         if x.tag not in INLINE:
             add(around, " ")
@@ -255,17 +256,26 @@ def blocks(html: str) -> tuple[list[tuple[str, list[int], list[int], list[int],
                 if not inside or not x.prose:
                     d = subtree(x, inside, done)
                     counted.add((d, inside))
-                    around = (out, (*ins, d), prose, role) if inside else ((*out, d), ins, prose, role)
+                    around = (out, (d, ins), prose, role) if inside else ((d, out), ins, prose, role)
                 elif bare and not kept:
                     d = subtree(x, True, done)
                     counted.add((d, True))
-                    around = (out, ins, (*prose, d), role)
+                    around = (out, ins, (d, prose), role)
         if not invisible(x):
             todo.extend((c, inside, around) for c in reversed(x.children))
-    units = [(t, *map(list, around[:3]), around[3]) for around, parts in runs if (t := " ".join("".join(parts).split()))]
+    units = [(t, *map(_chain, around[:3]), around[3]) for around, parts in runs if (t := " ".join("".join(parts).split()))]
     return units, counted
 
 
+def _chain(link: tuple | None) -> list[int]:
+    """Distinct digests of a chain of links, the outermost first."""
+    out: dict[int, None] = {}
+    while link is not None:
+        out[link[0]] = None
+        link = link[1]
+    return list(out)[::-1]
+
+
 def parsed(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Stored table of parsed pages: ``page_id, url, host, units, digests``."""
     src = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
