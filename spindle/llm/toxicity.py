@@ -7,9 +7,11 @@ class a feature occurs; the log-count ratio ``r`` of the smoothed counts scales
 the feature, and a logistic regression is fitted on the scaled features. The
 fit uses at most ``PER_CLASS`` labelled rows a class (those of the smallest
 identifier hash; the intercept is then moved by the log odds of the share taken
-of either class, so that scores keep the rate of all labelled rows) and the ``SELECTED`` features of the highest likelihood-ratio
-statistic; both bounds are parameters. Scoring reads every whole text in one
-pass without a shuffle.
+of either class, so that scores keep the rate of all labelled rows) and every feature
+whose ratio differs from chance: its likelihood-ratio statistic is beyond what one
+of all counted features would reach by chance (``CHANCE`` of them expected). There is
+no bound on their number. Scoring reads every whole text in one pass without a
+shuffle.
 
 Empty or null texts score the intercept. Without labelled rows of both classes
 there is nothing to tell them apart by and every score is 0.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ from spindle.llm.common import stash, whole_text
 SIZES = (3, 4, 5, 6)       # n of the n-grams
 BITS = 20                  # hashed features: 2^BITS
 PER_CLASS = 8_000          # labelled rows fitted on, of each class at most
-SELECTED = 512             # features the regression may use
+CHANCE = 1.0               # features expected to be taken by chance alone
 SMOOTH = 1.0
 RIDGE = 1e-3
 FOLDS = 5
@@ -89,7 +92,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        per_class: int = PER_CLASS, selected: int = SELECTED, bits: int = BITS) -> Model:
+        per_class: int = PER_CLASS, chance: float = CHANCE, bits: int = BITS) -> Model:
+    """The model of the labelled rows outside the held-out fold.
+
+    Rows that repeat an identifier are trained on each; a label given twice is toxic if one is.
+    An empty table, or labels of one class only, give a model that scores 0.
+    """
     rows = training_rows(docs, labels, id_col, text_col, label_col, per_class)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,13 +123,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
         return Model(np.empty(0, np.uint32), np.empty(0), -np.inf)
-    c = table.mapInArrow(counts, "f long, clean long, toxic long").groupBy("f").agg(
-        F.sum("clean").alias("c"), F.sum("toxic").alias("t"))  # at most 2^bits features
+    c = stash(table.mapInArrow(counts, "f long, clean long, toxic long").groupBy("f").agg(
+        F.sum("clean").alias("c"), F.sum("toxic").alias("t")), "toxicity-counts")  # at most 2^bits features
+    limit = NormalDist().inv_cdf(1 - min(0.5, chance / (2 * max(c.count(), 1)))) ** 2 / 2  # 2 g is chi-squared, 1 degree
     p, q = (F.col("t") + SMOOTH) / (n1 + 2 * SMOOTH), (F.col("c") + SMOOTH) / (n0 + 2 * SMOOTH)
     both = (F.col("t") + F.col("c") + 2 * SMOOTH) / (n0 + n1 + 4 * SMOOTH)
     bits_of = lambda k, m, a: k * F.log(a / both) + (m - k) * F.log((1 - a) / (1 - both))
     top = (c.select("f", F.log(p / q).alias("r"), (bits_of(F.col("t"), n1, p) + bits_of(F.col("c"), n0, q)).alias("g"))
-            .orderBy(F.col("g").desc(), "f").limit(selected).toPandas().sort_values("f"))
+            .filter(F.col("g") >= limit).select("f", "r").toPandas().sort_values("f"))
     feats, ratio = top["f"].to_numpy(np.uint32), top["r"].to_numpy(float)
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     sample = table.mapInArrow(narrow, "y int, ids binary").toPandas()  # at most 2 * per_class rows
     weights, intercept = regression([np.frombuffer(x, "<u4") for x in sample["ids"]], sample["y"].to_numpy(float), ratio)
-    of = {r["y"]: r["n"] for r in training_labels(labels, id_col, label_col).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    intercept += float(np.log(max(1, of[1] / per_class)) - np.log(max(1, of[0] / per_class)))
+    # the rate of all labelled rows that have a document, not of those fitted on
+    known = training_labels(labels, id_col, label_col).join(docs.select(F.col(id_col).alias("__id")), "__id")
+    of = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    intercept += float(np.log(of[1] / n1) - np.log(of[0] / n0))
     return Model(feats, weights, intercept)
 
 

@@ -45,6 +45,54 @@ def test_pages_by_role_and_by_template(spark):
     assert page_text.main_text(one.filter("page_id < 0")).collect() == []
 
 
+def test_thirty_thousand_nested_elements(spark):
+    deep = "<div>" * 30_000 + "<p>the text</p>" + "</div>" * 30_000
+    df = spark.createDataFrame([(i, f"https://deep.example/{i}", f"<body><nav>menu</nav>{deep}<p>{i} own words</p></body>") for i in range(3)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in page_text.main_text(df, min_pages=4).collect()}
+    assert got == {i: f"the text {i} own words" for i in range(3)}
+
+
+def test_ranges_of_successors_do_not_share_tasks(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    sizes = [r["count"] for r in merkle.with_next(df).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_toxicity_against_a_plain_fit(spark):
+    """Counts, ratios, choice of features and gradient steps written out again."""
+    import math
+    from statistics import NormalDist
+
+    import numpy as np
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.fit(big, labels, bits=14)
+    known = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    rows = [({int(x) for x in toxicity.grams(r.text or "", 14)}, known[r.doc_id]) for r in big.collect() if r.doc_id in known]
+    n1 = sum(y for _, y in rows)
+    n0 = len(rows) - n1
+    counted = sorted(set().union(*[f for f, _ in rows]))
+    limit = NormalDist().inv_cdf(1 - 1 / (2 * len(counted))) ** 2 / 2
+    ratio = {}
+    for f in counted:
+        t, c = sum(f in x for x, y in rows if y), sum(f in x for x, y in rows if not y)
+        p, q, both = (t + 1) / (n1 + 2), (c + 1) / (n0 + 2), (t + c + 2) / (n0 + n1 + 4)
+        gain = sum(k * math.log(a / both) + (m - k) * math.log((1 - a) / (1 - both)) for k, m, a in ((t, n1, p), (c, n0, q)))
+        if gain >= limit:
+            ratio[f] = math.log(p / q)
+    assert sorted(ratio) == model.features.tolist() and len(ratio) >= 5
+    x = np.array([[r * (f in fs) for f, r in sorted(ratio.items())] for fs, _ in rows])
+    y = np.array([y for _, y in rows], float)
+    w, b, m, v, mb, vb = np.zeros(x.shape[1]), 0.0, 0.0, 0.0, 0.0, 0.0
+    for t in range(1, 201):
+        e = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        g, gb = x.T @ e + toxicity.RIDGE * w / len(w), e.sum()
+        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+        rate = 0.05 / (1 - 0.9 ** t) * math.sqrt(1 - 0.99 ** t)
+        w, b = w - rate * m / (np.sqrt(v) + 1e-8), b - rate * mb / (math.sqrt(vb) + 1e-8)
+    assert np.abs(w * np.array([r for _, r in sorted(ratio.items())]) - model.weights).max() < 1e-3 and abs(b - model.intercept) < 1e-3
+
+
 def test_pages_role_words_spare_the_article_and_prose_is_counted(spark):
     body = "<p>%s</p><p>more of the text of this page</p>"
     rows = [(1, "https://a.example/", "<div class=menu>m</div><div class='content has-sidebar'><article class='post tag-social'><p>Body</p></article><aside>s</aside></div>"),
