@@ -48,7 +48,7 @@ def delete_tables(spark: SparkSession, paths: list[str]) -> None:
         fs.delete(at, True)
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage: what follows reads committed files that every executor
@@ -56,7 +56,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     goes when the driver ends, or earlier by :func:`delete_tables`.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)  # the session's codec unless one is named
     fs, at = _file_system(df.sparkSession, path)
     fs.deleteOnExit(at)
     if (made := _WORKING.get()) is not None:

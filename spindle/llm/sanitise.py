@@ -34,6 +34,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"[\p{L}\p{N}]{2,}+"
 KINDS = ("email", "ip", "card", "phone")
+PLAIN = "uncompressed"          # tables of many short rows: codecs' buffers outlast the tasks
 SMOOTH = 1.0                    # documents of the prior in p(c|t)
 REMOVE, GENERALISE = 0.9, 0.75
 
@@ -81,7 +82,7 @@ def occurrences(found: DataFrame, rows: DataFrame) -> DataFrame:
     blank = replaced(F.col("text"), F.col("base"), lambda s, n: F.repeat(F.lit(" "), n))
     words = (found.join(rows, "row", "left_semi").select("row", blank.alias("text"))
                   .select("row", F.explode(find_spans(F.col("text"), TERM)).alias("w")))
-    return stash(words.select("row", F.lower("w.value").alias("term"), "w.start", "w.end", "w.value"), "pii-terms")
+    return stash(words.select("row", F.lower("w.value").alias("term"), "w.start", "w.end", "w.value"), "pii-terms", PLAIN)
 
 
 def disclosing(df: DataFrame, classes: DataFrame, words: DataFrame, n: int, text_col: str = "text",
@@ -95,10 +96,10 @@ def disclosing(df: DataFrame, classes: DataFrame, words: DataFrame, n: int, text
     # counted before any join, so that frequent terms travel as one row a task
     counts = (df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole_text(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
                 .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).filter((F.col("n_t") > 1) & (F.col("n_t") <= F.lit(top or 0.0))))
-    own = stash(words.select("row", "term").distinct().join(counts, "term"), "pii-own")
+    own = stash(words.select("row", "term").distinct().join(counts, "term"), "pii-own", PLAIN)
     of = own.groupBy("term").agg(*_signature()).select("term", F.struct("h1", "h2").alias("t"))
-    own = stash(own.join(of, "term"), "pii-classes")
-    pairs = stash(classes.join(own.select("row", "t", "n_t").distinct(), "row").filter(F.col("n_t") <= most), "pii-pairs")
+    own = stash(own.join(of, "term"), "pii-classes", PLAIN)
+    pairs = stash(classes.join(own.select("row", "t", "n_t").distinct(), "row").filter(F.col("n_t") <= most), "pii-pairs", PLAIN)
     given = (F.col("n_ct") - 1 + smooth * p) / (F.col("n_t") - 1 + smooth)
     joint = (pairs.groupBy("c", "t", "n_c", "n_t").agg(F.count(F.lit(1)).alias("n_ct")).filter((F.col("n_ct") > 1) & (F.col("n_c") < n))
                   .select("c", "t", "n_t", (F.log(given / p) / F.log(1 / p)).alias("share")).filter(F.col("share") >= least))
