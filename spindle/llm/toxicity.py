@@ -37,6 +37,7 @@ CHANCE = 1.0               # features expected to be taken by chance alone
 SMOOTH = 1.0
 RIDGE = 1e-3
 FOLDS = 5
+BLOCK = 500_000            # features of rows that a step of the fit holds at once
 
 
 @dataclass
@@ -139,8 +140,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                    for x in b["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["y"], pa.array(ids, pa.binary())], names=["y", "ids"])
 
-    sample = table.mapInArrow(narrow, "y int, ids binary").toPandas()  # at most 2 * per_class rows
-    weights, intercept = regression([np.frombuffer(x, "<u4") for x in sample["ids"]], sample["y"].to_numpy(float), ratio)
+    # at most 2 * per_class rows, fetched a partition at a time
+    ys, ids = [], []
+    for r in table.mapInArrow(narrow, "y int, ids binary").toLocalIterator(prefetchPartitions=False):
+        ys.append(r["y"])
+        ids.append(np.frombuffer(bytes(r["ids"]), "<u4"))
+    weights, intercept = regression(ids, np.array(ys, float), ratio)
     # the rate of all labelled rows that have a document, not of those fitted on
     known = training_labels(labels, id_col, label_col).join(docs.select(F.col(id_col).alias("__id")), "__id")
     of = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -149,16 +154,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def regression(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on ``ratio``-scaled binary features (Adam, full batch)."""
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    col = np.concatenate(rows) if len(row) else np.empty(0, np.int64)
+    """Ridge logistic regression on ``ratio``-scaled binary features (Adam, full batch); a
+    block of rows at a time, so that only the features' numbers are held for all of them."""
+    size = np.array([len(x) for x in rows], np.int64)
+    edges = np.concatenate([[0], np.cumsum(size)])
+    col = np.concatenate(rows) if len(rows) else np.empty(0, np.uint32)
+    rows.clear()
+    cut = np.unique(np.concatenate([np.searchsorted(edges, np.arange(0, edges[-1], BLOCK), side="left"), [len(size)]]))
+    blocks = [(a, e) for a, e in zip([0, *cut.tolist()], cut.tolist()) if e > a]
     w, b = np.zeros(len(ratio)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(row, (w * ratio)[col], minlength=len(y)) + b
-        err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-        g = np.bincount(col, err[row], minlength=len(w)) * ratio + RIDGE * w / len(w)
-        gb = err.sum()
+        g, gb, scaled = np.zeros_like(w), 0.0, w * ratio
+        for lo, hi in blocks:
+            c = col[edges[lo]:edges[hi]]
+            row = np.repeat(np.arange(hi - lo), size[lo:hi])
+            z = np.bincount(row, scaled[c], minlength=hi - lo) + b
+            err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[lo:hi]) / len(y)
+            g += np.bincount(c, err[row], minlength=len(w))
+            gb += err.sum()
+        g = g * ratio + RIDGE * w / max(len(w), 1)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.05 / (1 - 0.9 ** t) * np.sqrt(1 - 0.99 ** t)
