@@ -16,7 +16,7 @@ import struct
 from functools import lru_cache
 
 END_ID = 1
-MEMO = 16 << 20     # bytes kept per table, in one task: the first words, so the frequent ones
+MEMO = 48 << 20     # bytes kept per table, in one task: the first words, so the frequent ones
 ENTRY = 200         # bytes of an entry besides its characters
 INNER, UNCUT = re.compile(r" \s"), re.compile(r"\s \s")
 PUNCTUATION = ".,;:!?*%$&#)|"
