@@ -17,6 +17,7 @@ queue ends. Only ``sources x partitions`` sums are shuffled.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ from spindle.llm.common import stash, tidy, whole_text
 from spindle.llm.tokens import encoder, id_type
 
 LENGTH = 2048
+CELLS = 1 << 20  # entries (rounds x sources) of the table that a task computes at once
 
 
 class RoundRobin:
@@ -103,22 +105,39 @@ class RoundRobin:
         out[x == self.total] = self.totals
         return out
 
-    def span(self, s: int, token: int, n: int) -> tuple[int, np.ndarray]:
-        """First round, and ``after`` from that round on, in which source ``s``
-        sends its ``n`` tokens from number ``token`` on."""
-        lo, hi = (int(v) // self.round for v in np.interp((token, token + n), self.sent[:, s], self.at))
-        lo, hi = max(0, lo - 2), hi + 3
-        while True:
-            state = self.after(np.arange(lo, hi + 1))
-            mine = state[:, s]
-            if lo > 0 and mine[0] > token:
-                lo = max(0, lo - 4)
-            elif mine[-1] < token + n:
-                hi += 4
-            else:
-                i = int(np.searchsorted(mine, token, side="right")) - 1
-                j = int(np.searchsorted(mine, token + n, side="left"))
-                return lo + i, state[i:j + 1]
+    def spans(self, s: np.ndarray, token: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, list[int], list[int]]]:
+        """For each entry: the first round, and from it on the tokens sent by source ``s`` and
+        by the sources before it, up to where ``s`` has sent its ``n`` tokens from number ``token`` on."""
+        lo, hi = np.empty(len(s), np.int64), np.empty(len(s), np.int64)
+        for u in np.unique(s):
+            own = s == u
+            lo[own] = np.interp(token[own], self.sent[:, u], self.at) // self.round
+            hi[own] = np.interp((token + n)[own], self.sent[:, u], self.at) // self.round
+        lo, hi = np.maximum(lo - 2, 0), hi + 4
+        cells, at = np.cumsum((hi - lo) * len(self.totals)), 0
+        while at < len(s):
+            end = max(at + 1, int(np.searchsorted(cells, (cells[at - 1] if at else 0) + CELLS, side="right")))
+            states = self._states(s[at:end], lo[at:end], hi[at:end])
+            for i, (mine, ahead) in zip(range(at, end), states, strict=True):
+                first, until = int(token[i]), int(token[i] + n[i])
+                while (lo[i] > 0 and mine[0] > first) or mine[-1] < until:  # the estimate was short
+                    lo[i], hi[i] = max(0, lo[i] - 4), hi[i] + 4
+                    (mine, ahead), = self._states(s[i:i + 1], lo[i:i + 1], hi[i:i + 1])
+                a, e = bisect_right(mine, first) - 1, bisect_left(mine, until) + 1
+                yield int(lo[i]) + a, mine[a:e], ahead[a:e]
+            at = end
+
+    def _states(self, s: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[list[int], list[int]]]:
+        """For each entry, after the rounds ``lo`` to ``hi`` (exclusive): sent by source ``s``, by those before it."""
+        rows = hi - lo
+        ends = np.cumsum(rows)
+        state = self.after(np.arange(ends[-1]) + np.repeat(lo - (ends - rows), rows))
+        row, col = np.arange(len(state)), np.repeat(s, rows)
+        mine = state[row, col]
+        ahead = (np.cumsum(state, 1)[row, col] - mine).tolist()
+        mine = mine.tolist()
+        for start, end in zip((ends - rows).tolist(), ends.tolist(), strict=True):
+            yield mine[start:end], ahead[start:end]
 
 
 def tokenised(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
@@ -183,11 +202,12 @@ def pack(df: DataFrame, tokenizer: str, weights: dict[str | None, float] | None
 
 def _pieces(b: pa.RecordBatch, rr: RoundRobin, index: dict, length: int) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
-    for doc, source, queue, n, raw in zip(*(b[c].to_pylist() for c in ("__id", "__source", "queue", "n", "ids")), strict=True):
-        s = index[source]
+    docs, sources, raws = (b[c].to_pylist() for c in ("__id", "__source", "ids"))
+    queues, sizes = (b[c].to_numpy() for c in ("queue", "n"))
+    spans = rr.spans(np.fromiter(map(index.__getitem__, sources), np.int64, len(sources)), queues, sizes)
+    for doc, source, queue, n, raw, (first, ends, ahead) in zip(
+            docs, sources, queues.tolist(), sizes.tolist(), raws, spans, strict=True):
         ids = memoryview(np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4").tobytes())
-        first, state = rr.span(s, queue, n)
-        ends, ahead = state[:, s].tolist(), state[:, :s].sum(1).tolist()
         for k in range(len(ends) - 1):
             a, e = max(queue, ends[k]), min(queue + n, ends[k + 1])
             place = (first + k) * rr.round + ahead[k + 1] - ahead[k] + a - ends[k]  # in the packed stream

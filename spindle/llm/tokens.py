@@ -16,14 +16,15 @@ import struct
 from functools import lru_cache
 
 END_ID = 1
-MEMO = 48 << 20     # bytes kept per table, in one task: the first words, so the frequent ones
-ENTRY = 200         # bytes of an entry besides its characters
+MEMO = 96 << 20     # bytes kept in all tables, in one task: the first words, so the frequent ones
+ENTRY = 170         # bytes of an entry besides its characters and ids
 INNER, UNCUT = re.compile(r" \s"), re.compile(r"\s \s")
+PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 PUNCTUATION = ".,;:!?*%$&#)|"
 
 
 def as_bytes(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)
@@ -48,33 +49,33 @@ class Encoder:
         self.alphabet = {b: b for b in keep} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*keep}))}
         self.space = chr(self.alphabet[32])
         self.model = self.tok.model
-        self.pieces: dict[str, bytes] = {}
-        self.held = 0  # bytes of ``pieces``
+        self.held = 0  # bytes of the three tables
         self.line_end = self.whole("\n") if self.spaced else b""
         self.first, self.rest = _Words(self, ""), _Words(self, " " if self.spaced else "")
+        self.marked: dict[str, bytes] = {}  # runs of punctuation
 
     def whole(self, text: str) -> bytes:
         return as_bytes(self.tok.encode(text, add_special_tokens=False).ids)
 
-    def piece(self, text: str) -> bytes:
+    def piece(self, text: str, space: str = "") -> bytes:
         """A run of letters (with its space) or of punctuation: one call of the model."""
-        if (ids := self.pieces.get(text)) is None:
-            if text.isascii():  # printable but for the space in front
-                mapped = self.space + text[1:] if text[0] == " " else text
-            else:
-                mapped = text.encode().decode("latin-1").translate(self.alphabet)
-            ids = as_bytes([t.id for t in self.model.tokenize(mapped)])
+        if not text.isascii():  # ASCII stands for itself
+            text = text.encode().decode("latin-1").translate(self.alphabet)
+        return as_bytes([t.id for t in self.model.tokenize(space + text)])
+
+    def punctuation(self, text: str) -> bytes:
+        if (ids := self.marked.get(text)) is None:
+            ids = self.piece(text)
             if self.held < MEMO:
-                self.pieces[text] = ids
+                self.marked[text] = ids
                 self.held += ENTRY + 2 * len(text) + len(ids)
         return ids
 
     def forget(self) -> None:
         """Empties the memos, as at the end of a task."""
-        self.pieces, self.held = {}, 0
-        for w in (self.first, self.rest):
-            w.clear()
-            w.held = 0
+        for table in (self.first, self.rest, self.marked):
+            table.clear()
+        self.held = 0
 
     def encode(self, text: str) -> bytes:
         # a space between two white spaces is no boundary where spaces are tokens
@@ -89,25 +90,32 @@ class Encoder:
 
 
 class _Words(dict):
+    """Ids of words, those with punctuation behind them included."""
+
     def __init__(self, enc: Encoder, space: str):
         super().__init__()
-        self.enc, self.space, self.held = enc, space, 0
+        self.enc, self.space = enc, space
+        self.mapped, self.tokenize = enc.space if space else "", enc.model.tokenize
 
     def __missing__(self, chunk: str) -> bytes:
         enc = self.enc
-        word = chunk.rstrip(PUNCTUATION)
-        if word.isalpha() and (word.isascii() or max(word) <= "ÿ"):
-            ids = enc.piece(self.space + (word.lower() if enc.lower else word))
-            if len(word) < len(chunk):
-                ids += enc.piece(chunk[len(word):])
-        elif "\n" in chunk and all(p and not p[0].isspace() and not p[-1].isspace() for p in chunk.split("\n")):
-            lines = chunk.split("\n")
-            ids = enc.line_end.join([self[lines[0]], *map(enc.first.__getitem__, lines[1:])])
+        if chunk.isascii() and chunk.isalpha():  # most words
+            ids = as_bytes([t.id for t in self.tokenize(self.mapped + (chunk.lower() if enc.lower else chunk))])
         else:
-            ids = enc.whole(self.space + chunk)
-        if self.held < MEMO:
+            word = chunk.rstrip(PUNCTUATION)
+            if word.isalpha() and (word.isascii() or max(word) <= "ÿ"):
+                if len(word) < len(chunk):
+                    ids = self[word] + enc.punctuation(chunk[len(word):])
+                else:
+                    ids = enc.piece(word.lower() if enc.lower else word, self.mapped)
+            elif "\n" in chunk and all(p and not p[0].isspace() and not p[-1].isspace() for p in chunk.split("\n")):
+                head, *lines = chunk.split("\n")  # pairs of words seldom recur: only the words are kept
+                return enc.line_end.join([self[head], *map(enc.first.__getitem__, lines)])
+            else:
+                ids = enc.whole(self.space + chunk)
+        if enc.held < MEMO:
             self[chunk] = ids
-            self.held += ENTRY + 2 * len(chunk) + len(ids)
+            enc.held += ENTRY + 2 * len(chunk) + len(ids)
         return ids
 
 

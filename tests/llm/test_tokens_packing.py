@@ -178,6 +178,24 @@ def test_memos_are_bounded_by_bytes_and_emptied(monkeypatch):
     enc, tok = Encoder(BYTE), library(BYTE)
     text = " ".join(f"word{'x' * (i % 50)}q{chr(97 + i % 26)}" for i in range(3000))
     assert list(np.frombuffer(enc.encode(text), "<u4")) == tok.encode(text, add_special_tokens=False).ids
-    assert enc.rest.held <= 4000 + 400 and enc.held <= 4000 + 400 and len(enc.rest) < 30
+    assert enc.held <= 4000 + 400 and len(enc.rest) < 30
     enc.forget()
-    assert not enc.rest and not enc.pieces and enc.rest.held == enc.held == 0
+    assert not enc.rest and not enc.first and not enc.marked and enc.held == 0
+
+
+@pytest.mark.parametrize("n", [1, 3, 20, 120])
+@pytest.mark.parametrize("cells", [1, 5000, packing.CELLS])
+def test_spans_are_cut_from_the_whole_table_of_rounds(n, cells, monkeypatch):
+    monkeypatch.setattr(packing, "CELLS", cells)
+    rng = np.random.default_rng(n)
+    totals = rng.integers(1, 90_000, n)
+    rr = packing.RoundRobin(totals.tolist())
+    state = rr.after(np.arange(rr.rounds + 8))
+    s = rng.integers(0, n, 40)
+    token = rng.integers(0, totals[s])
+    size = np.minimum(np.where(np.arange(40) % 9 == 0, 40_000, 700), totals[s] - token)
+    for i, (first, mine, ahead) in enumerate(rr.spans(s, token, size)):
+        col = state[:, s[i]]
+        a, e = np.searchsorted(col, token[i], "right") - 1, np.searchsorted(col, token[i] + size[i])
+        assert (first, mine) == (a, col[a:e + 1].tolist())
+        assert ahead == state[a:e + 1, :s[i]].sum(1).tolist()
