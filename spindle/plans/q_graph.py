@@ -19,6 +19,7 @@ from spindle.operators.graph import cycles as GC
 from spindle.operators.graph import edges as E
 from spindle.operators.graph import paths as GP
 from spindle.operators.graph import reach as GR
+from spindle.operators.graph import reach_index as GI
 from spindle.operators.graph import shortest as GS
 from spindle.operators.graph.frontier import path_text, walk_paths
 from spindle.plans import bindings as b
@@ -202,6 +203,20 @@ def g8q(spark, sf):
     return GR.reach(part(spark, sf), starts).select("start", "node", "level")
 
 
+# The oracle needs no search: an order lies below its customer's nation and below no other.
+@register("g8_supplier_nation_reaches_order", """SELECT DISTINCT 'n' || s_nationkey AS start, 'o' || o_orderkey AS node,
+  s_nationkey = c_nationkey AS reachable
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey""")
+def g8i(spark, sf):
+    """Every (nation of a line's supplier, order) pair, asked of the index of the whole lineage graph."""
+    li = b.table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
+    s = b.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    pairs = li.join(s, li.l_suppkey == s.s_suppkey).select(
+        F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("start"),
+        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("node")).distinct()
+    return GI.reach_pairs(GI.reach_index(dag(spark, sf)), pairs)
+
+
 @register("g9_reach_with_degrees", bfs_sql(DAG, roots_sql(DAG)) + """,
 o AS (SELECT src AS node, count(*) AS od FROM e GROUP BY 1), i AS (SELECT dst AS node, count(*) AS idg FROM e GROUP BY 1)
 SELECT start, bfs.node AS node, level, coalesce(idg, 0) AS in_degree, coalesce(od, 0) AS out_degree
