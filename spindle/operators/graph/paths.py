@@ -17,17 +17,36 @@ from spindle.operators.graph.frontier import ARROW, Rounds, as_nodes, path_text,
 from spindle.session import cut_lineage, store
 
 
-def leaf_paths(edges: DataFrame, starts, max_levels: int | None = None, emit_truncated: bool = False) -> DataFrame:
-    """All simple paths from each start to a node without successors.
+def leaf_paths(edges: DataFrame, starts=None, max_levels: int | None = None, emit_truncated: bool = False) -> DataFrame:
+    """All simple paths from each start (default: every node) to a node without successors.
+
+    From every node, the paths grow backwards from the leaves: each path of a round is a
+    result and is written once, where a walk from the nodes also carries every open prefix.
 
     Paths that stop only because every successor is already on the path are
     dropped (Q9) unless ``emit_truncated`` (then flagged ``truncated``). With
     ``max_levels`` the paths that are open at the bound are flagged as well.
     """
+    if starts is None and (max_levels is not None or emit_truncated):
+        starts = E.nodes_of(edges)
+    if starts is None:
+        return _paths_into_leaves(edges)
     return walk_paths(edges, starts, max_levels=max_levels, guard="path", emit="leaf",
                       emit_truncated=emit_truncated)
 
 
+def _paths_into_leaves(edges: DataFrame) -> DataFrame:
+    e = prepared_edges(edges)
+    back = prepared_edges(E.reverse(e))
+    front = store(E.leaves(e).select(F.col("node").alias("start"), F.array("node").alias("path")))
+    out = []
+    while not front.isEmpty():
+        out.append(front)
+        step = front.withColumnRenamed("start", "at").join(back, F.col("at") == back["src"]).filter(~F.array_contains("path", F.col("dst")))
+        front = store(step.select(F.col("dst").alias("start"), F.array_prepend("path", F.col("dst")).alias("path")))
+    return _union_counts(out or [front]).withColumn("levels", (F.size("path") - 1).cast("int"))
+
+
 def paths_between(edges: DataFrame, starts, ends, max_levels: int | None = None) -> DataFrame:
     """All simple paths from each start to each end node (a path stops at its end)."""
     spark = edges.sparkSession
