@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindle.operators.graph import edges as E
@@ -83,31 +83,37 @@ def path_details(paths: DataFrame, id_col: str, details: DataFrame | None = None
     """Per path, the node details of every level and ``a -> b`` attribute text
     of every hop, as arrays in path order.
 
-    One explode of the paths, equi joins to the details (deduplicated per node,
-    unknown node -> null, Q20) and one regroup by path id. Never a driver loop
-    over levels.
+    Paths are numbered and written once. One explode of the paths meets the details and one the
+    edge attributes (one row a node or edge, unknown node -> null, Q20); only the levels that
+    found something are regrouped, by the path's number, and never a path's text. Never a
+    driver loop over levels.
     """
-    x = paths.select(id_col, F.posexplode(path_col).alias("pos", "node"))
-    x = x.withColumn("next", F.lead("node").over(Window.partitionBy(id_col).orderBy("pos")))
-    cols = []
+    p = store(paths.select(id_col, F.col(path_col).alias("__path"), F.monotonically_increasing_id().alias("__id")))
+    x = p.select("__id", "__path", F.posexplode("__path").alias("pos", "node"))
+    found = []
     if details is not None:
         # one whole detail row a node: the smallest
-        d = details.groupBy("node").agg(F.min(F.struct(*detail_cols)).alias("__d"))
-        x = x.join(d.select("node", "__d.*"), "node", "left")
-        cols += [F.col(c) for c in detail_cols]
+        d = store(details.groupBy("node").agg(F.min(F.struct(*detail_cols)).alias("d")))
+        found.append(x.select("__id", "pos", "node").join(d, "node").groupBy("__id").agg(
+            F.map_from_entries(F.collect_list(F.struct("pos", "d"))).alias("__d")))
     if edge_attrs is not None and attr is not None:
-        ea = edge_attrs.groupBy(F.col("src").alias("node"), F.col("dst").alias("next")).agg(F.min(attr).alias(attr))
-        x = x.join(ea, ["node", "next"], "left")
-        cols.append(F.col(attr))
-    g = x.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(F.col("pos"), *cols))).alias("__lv"))
+        ea = store(edge_attrs.groupBy(F.col("src").alias("node"), F.col("dst").alias("next")).agg(F.min(attr).alias("h")).filter("h IS NOT NULL"))
+        hops = x.select("__id", "pos", "node", F.get("__path", F.col("pos") + 1).alias("next")).filter("next IS NOT NULL")
+        found.append(hops.join(ea, ["node", "next"]).groupBy("__id").agg(
+            F.map_from_entries(F.collect_list(F.struct("pos", "h"))).alias("__h")))
+    g = p
+    for f in found:
+        g = g.join(f, "__id", "left")
     out = [F.col(id_col)]
+    at = F.sequence(F.lit(0), F.size("__path") - 1)
+
     def field(name):
-        return lambda s: s[name].cast("string")
+        return lambda i: F.try_element_at("__d", i)[name].cast("string")
     for c in detail_cols:
-        out.append(F.transform("__lv", field(c)).alias(f"{c}_levels"))
+        out.append(F.transform(at, field(c)).alias(f"{c}_levels"))
     if edge_attrs is not None and attr is not None:
         # hop i belongs to level i: a hop without an attribute keeps its place, empty
-        hops = F.transform(F.slice("__lv", 1, F.size("__lv") - 1), lambda s: F.coalesce(s[attr].cast("string"), F.lit("")))
+        hops = F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda i: F.coalesce(F.try_element_at("__h", i).cast("string"), F.lit("")))
         out.append(F.array_join(hops, ARROW).alias(f"{attr}_hops"))
     return g.select(*out)
 
