@@ -6,6 +6,7 @@ from shapes import edges_df
 from spindle.operators.graph import components as GK
 from spindle.operators.graph import edges as E
 from spindle.operators.graph import paths as GP
+from spindle.operators.graph import frontier as GF
 from spindle.operators.graph import shortest as GS
 from spindle.operators.graph.frontier import path_text, prepared_edges, task_parts
 
@@ -61,3 +62,22 @@ def test_a_star_s_component(spark):
     e = edges_df(spark, [(0, i) for i in range(1, 2000)] + [(5000, 5001)])
     sizes = {tuple(r) for r in GK.connected_components(e).select("component", "size").distinct().collect()}
     assert sizes == {(0, 2000), (5000, 2)}
+
+
+def test_starts_of_a_component_share_a_row_a_node(spark, monkeypatch):
+    """150 starts on a ring with a tail: one row of masks a node and level, right levels on every word."""
+    pairs = [(i, (i + 1) % 160) for i in range(160)] + [(0, i) for i in range(10, 160, 10)] + [(7, 500)]
+    written = []
+    monkeypatch.setattr(GF, "store", lambda df, own=GF.store: written.append(own(df)) or written[-1])
+    got = {(r.start, r.node): r.level for r in GF.bfs(edges_df(spark, pairs), list(range(150)), max_level=4).collect()}
+    want = {}
+    for s in range(150):
+        front, level = {s}, 0
+        while front and level <= 4:
+            for x in front:
+                want[s, x] = level
+            front = {d for a, d in pairs if a in front} - {x for t, x in want if t == s}
+            level += 1
+    assert got == want
+    fronts = [f for f in written if {"batch", "node"} <= set(f.columns)]
+    assert fronts and all(f.count() == f.select("node").distinct().count() for f in fronts)
