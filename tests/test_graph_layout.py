@@ -24,6 +24,15 @@ def test_edges_are_laid_out_once_and_not_moved_by_a_round(spark):
     assert plan(front).split("InMemoryRelation")[0].count("Exchange hashpartitioning") == 1  # the frontier's
 
 
+def test_edges_are_made_distinct_by_the_sort_of_their_layout(spark):
+    pairs = [(str(i), str(i + 1)) for i in range(1000)]
+    e = prepared_edges(edges_df(spark, [*pairs, (None, "1"), *pairs, ("2", None)], "string"))
+    assert sorted(tuple(r) for r in e.collect()) == sorted(pairs)
+    assert "Exchange hashpartitioning" in plan(e) and "Aggregate" not in plan(e)
+    assert sorted(tuple(r) for r in prepared_edges(edges_df(spark, [(1, 2), (1, 2), (1, 3)])).collect()) == [(1, 2), (1, 3)]  # a hub's
+    assert prepared_edges(edges_df(spark, [(1, 2), (1, 2)]), collapse=False).count() == 2
+
+
 def test_partitions_follow_the_rows(spark):
     assert task_parts(spark, 10) == 8 and task_parts(spark, 100, most=4) == 25
 
