@@ -90,3 +90,28 @@ def test_starts_of_a_component_share_a_row_a_node(spark, monkeypatch):
     assert got == want
     fronts = [f for f in written if {"batch", "node"} <= set(f.columns)]
     assert fronts and all(f.count() == f.select("node").distinct().count() for f in fronts)
+
+
+def test_paths_to_targets_move_no_path_of_another_node(spark, monkeypatch):
+    """70 targets behind a ring: smallest of the equally short texts, and a row of masks a node in the search."""
+    pairs = [(f"a{i}", f"a{(i + 1) % 9}") for i in range(9)] + [(f"a{i}", f"b{i % 3}") for i in range(9)] + [("a1", "a12"), ("a12", "b2")]
+    pairs += [(f"b{i}", f"t{k}") for i in range(3) for k in range(70) if k % 3 != i]
+    written = []
+    monkeypatch.setattr(GF, "store", lambda df, own=GF.store: written.append(own(df)) or written[-1])
+    starts, targets = ["a0", "a1", "a4", "t3", "zz"], [f"t{k}" for k in range(70)]
+    for bound in (None, 2):
+        got = {(r.start, r.leaf_node): (r.path_length, r.path) for r in GS.shortest_paths_to(edges_df(spark, pairs, "string"), starts, targets, bound).collect()}
+        want = {}
+        for s in starts:
+            front, seen, level = {s: s}, {s}, 0
+            while front and (bound is None or level < bound):
+                level, new = level + 1, {}
+                for x, path in front.items():
+                    for a, d in pairs:
+                        if a == x and d not in seen:
+                            new[d] = min(new.get(d, "~"), f"{path} -> {d}")
+                front, seen = new, seen | set(new)
+                want.update({(s, d): (level, p) for d, p in new.items() if d in targets})
+        assert got == want and got
+    masks = [f for f in written if "m0" in f.columns]
+    assert masks and all(f.count() == f.select("batch", "node").distinct().count() for f in masks)
