@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.operators.graph.frontier import is_prepared, prepared_edges
+from spindle.operators.graph.frontier import both_ways, is_prepared, undirected_edges
 
 
 def build_edges(df: DataFrame, src: str | Sequence[str] = "src", dst: str | Sequence[str] = "dst",
@@ -74,6 +74,12 @@ def node_profile(edges: DataFrame, multigraph: bool = False) -> DataFrame:
                  .unionByName(pairs.select(F.col("dst").alias("node"), F.col("n").alias("in_degree"), z.alias("out_degree"),
                                            one.alias("distinct_in_degree"), z.alias("distinct_out_degree"))))
     counts = ("in_degree", "out_degree", "distinct_in_degree", "distinct_out_degree")
+    back = None if multigraph else both_ways(edges)
+    if back is not None:  # both ends lie by node already: counted where they are
+        ins = back.select(F.col("src").alias("node"), one.alias("in_degree"), z.alias("out_degree"),
+                         one.alias("distinct_in_degree"), z.alias("distinct_out_degree"))
+        ends = edges.select(F.col("src").alias("node"), z.alias("in_degree"), one.alias("out_degree"),
+                            z.alias("distinct_in_degree"), one.alias("distinct_out_degree")).unionByName(ins)
     prof = ends.groupBy("node").agg(*[F.sum(c).alias(c) for c in counts])
     pos = (F.when(F.col("in_degree") == 0, "Start").when(F.col("out_degree") == 0, "End")
             .otherwise("Intermediate"))
@@ -92,7 +98,12 @@ def leaves(edges: DataFrame) -> DataFrame:
 
 def _only(edges: DataFrame, at: str, never: str) -> DataFrame:
     """Nodes at one end of the edges and never at the other: distinct ends on both sides, so
-    a hub is one row, and no sort of them."""
+    a hub is one row, and no sort of them. Edges that lie by both their ends are merged as they lie."""
+    back = both_ways(edges)
+    if back is not None:
+        here, there = (edges, back) if at == "src" else (back, edges)
+        return (here.select(F.col("src").alias("node"))
+                    .join(there.select(F.col("src").alias("node")), "node", "left_anti").distinct())
     return (edges.select(F.col(at).alias("node")).distinct()
                  .join(edges.select(F.col(never).alias("node")).distinct().hint("shuffle_hash"), "node", "left_anti"))
 
@@ -103,8 +114,7 @@ def out_degrees(edges: DataFrame) -> DataFrame:
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Symmetric edge table (each edge in both directions, collapsed)."""
-    e = edges.select("src", "dst")
-    return prepared_edges(e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    return undirected_edges(edges)
 
 
 def reverse(edges: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import re
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindle.operators.graph import edges as E
-from spindle.operators.graph.frontier import ARROW, Rounds, as_nodes, path_text, prepared_edges, walk_paths
+from spindle.operators.graph.frontier import ARROW, Rounds, as_nodes, path_text, prepared_edges, reversed_edges, walk_paths
 from spindle.session import cut_lineage, store
 
 
@@ -37,7 +38,7 @@ def leaf_paths(edges: DataFrame, starts=None, max_levels: int | None = None, emi
 
 def _paths_into_leaves(edges: DataFrame) -> DataFrame:
     e = prepared_edges(edges)
-    back = prepared_edges(E.reverse(e))
+    back = reversed_edges(e)
     front = store(E.leaves(e).select(F.col("node").alias("start"), F.array("node").alias("path")))
     out = []
     while not front.isEmpty():
@@ -132,26 +133,35 @@ def path_counts(edges: DataFrame, starts=None, max_level: int | None = None) ->
         return _bounded_counts(edges, starts, max_level)
     number = "decimal(38,0)"
     e = prepared_edges(edges)
-    every = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    s = every if starts is None else as_nodes(edges.sparkSession, starts, dict(edges.dtypes)["src"])
-    need = store(e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("need")))
+    back = reversed_edges(e)
+    s = None if starts is None else store(as_nodes(edges.sparkSession, starts, dict(edges.dtypes)["src"]))
+    need = e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("need")).persist(StorageLevel.MEMORY_AND_DISK)
+    ended = E.leaves(e)
+    if s is not None:  # a start may be no node of the edges
+        ended = ended.union(s.join(need, "node", "left_anti")).distinct()
     one = F.lit(1).cast(number)
-    front = store(every.union(s).distinct().join(need, "node", "left_anti").select("node", one.alias("walks"), one.alias("leaf_paths")))
-    out, waiting = [front], None
+    front = store(ended.select("node", one.alias("walks"), one.alias("leaf_paths")))
+    out, waiting, done = [front], None, 0
     while True:
-        sums = (e.join(front.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"))
-                 .agg(F.count(F.lit(1)).alias("got"), F.sum("walks").cast(number).alias("walks"), F.sum("leaf_paths").cast(number).alias("leaf_paths")))
+        # the edges lie by their ends: what moves is a sum per node that an edge leads from
+        step = back.join(front.withColumnRenamed("node", "src"), "src").select(
+            F.col("dst").alias("node"), F.lit(1).cast("long").alias("got"), "walks", "leaf_paths")
         if waiting is not None:  # nodes some of whose successors were done before
-            sums = sums.unionByName(waiting).groupBy("node").agg(
-                F.sum("got").alias("got"), *[F.sum(c).cast(number).alias(c) for c in ("walks", "leaf_paths")])
-        sums = store(sums.join(need, "node"))
+            step = step.unionByName(waiting)
+        sums = step.groupBy("node").agg(F.sum("got").alias("got"), *[F.sum(c).cast(number).alias(c) for c in ("walks", "leaf_paths")])
+        sums = store(sums.hint("shuffle_hash").join(need, "node"))
         waiting = sums.filter("got < need").drop("need")
         front = sums.filter("got = need").select("node", (F.col("walks") + 1).cast(number).alias("walks"), "leaf_paths")
-        if front.isEmpty():
+        n = front.count()
+        if n == 0:
             break  # what is left lies on cycles or leads to them
+        done += n
         out.append(front)
-    res = cut_lineage(s.select("node").join(_union_counts(out), "node", "left"))
-    if not res.filter("walks IS NULL").isEmpty():
+    res, inner = _union_counts(out), need.count()
+    need.unpersist()
+    if s is not None:
+        res = store(res.join(s, "node"))
+    if done < inner and (s is None or res.count() < s.count()):
         raise ValueError("path_counts: the graph below the starts has a cycle")
     return res.select(F.col("node").alias("start"), "walks", "leaf_paths")
 

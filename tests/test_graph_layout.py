@@ -1,5 +1,6 @@
 """How the graph operators lay out and read their tables: what is shuffled, and how often."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from shapes import edges_df
@@ -33,6 +34,10 @@ def test_edges_are_made_distinct_by_the_sort_of_their_layout(spark):
     assert prepared_edges(edges_df(spark, [(1, 2), (1, 2)]), collapse=False).count() == 2
 
 
+def test_the_layout_sorts_once(spark):
+    assert plan(prepared_edges(edges_df(spark, [(i, i + 1) for i in range(1000)]))).split("Initial Plan")[0].count("Sort [") == 1
+
+
 def test_partitions_follow_the_rows(spark):
     assert task_parts(spark, 10) == 8 and task_parts(spark, 100, most=4) == 25
 
@@ -115,3 +120,39 @@ def test_paths_to_targets_move_no_path_of_another_node(spark, monkeypatch):
         assert got == want and got
     masks = [f for f in written if "m0" in f.columns]
     assert masks and all(f.count() == f.select("batch", "node").distinct().count() for f in masks)
+
+
+def moved(df):
+    """The shuffles of a plan, those of the layout of its cached edges not counted."""
+    return sum("Exchange hashpartitioning" in x and "ENSURE_REQUIREMENTS" in x for x in plan(df).splitlines())
+
+
+def test_edges_laid_out_by_both_ends_are_not_moved_for_either(spark):
+    e = prepared_edges(edges_df(spark, [(i, i + 1) for i in range(1000)]))
+    before = E.roots(e)
+    back = GF.reversed_edges(e)
+    assert GF.reversed_edges(e) is back and GF.reversed_edges(back) is e and moved(before) > 0
+    for df in (E.roots(e), E.leaves(e), E.node_profile(e)):
+        assert moved(df) == 0
+    assert [tuple(r) for r in E.roots(e).collect()] == [(0,)] and [tuple(r) for r in E.leaves(e).collect()] == [(1000,)]
+    assert E.node_profile(e).filter("in_degree = 1 AND out_degree = 1").count() == 999
+
+
+def test_path_counts_move_no_edges_in_a_round(spark, monkeypatch):
+    """A ladder: the sums of a round come from edges that lie by their ends."""
+    pairs = [(i, i + 1) for i in range(8)] + [(0, 2), (4, 6)]
+    written = []
+    monkeypatch.setattr(GP, "store", lambda df, own=GP.store: written.append(df) or own(df))
+    monkeypatch.setattr(GF, "HUB_SHARE", 100)
+    got = GP.path_counts(prepared_edges(edges_df(spark, pairs)), [0, 4, 77]).collect()
+    assert {(r.start, int(r.walks), int(r.leaf_paths)) for r in got} == {(0, 22, 4), (4, 8, 2), (77, 1, 1)}
+    rounds = [f for f in written if "need" in f.columns]
+    assert [moved(f) for f in rounds] == [1] * 9
+
+
+@pytest.mark.parametrize("share", [2, 100])
+def test_undirected_edges_of_a_prepared_table(spark, monkeypatch, share):
+    monkeypatch.setattr(GF, "HUB_SHARE", share)
+    pairs = [(i, i + 1) for i in range(50)] + [(1, 0), (7, 7)]
+    e = prepared_edges(edges_df(spark, pairs))
+    assert sorted(tuple(r) for r in E.undirected(e).collect()) == sorted({*pairs, *((d, a) for a, d in pairs)})
