@@ -7,6 +7,7 @@ from shapes import edges_df
 from spindle.operators.graph import components as GK
 from spindle.operators.graph import edges as E
 from spindle.operators.graph import paths as GP
+from spindle.operators.graph import reach as GR
 from spindle.operators.graph import frontier as GF
 from spindle.operators.graph import shortest as GS
 from spindle.operators.graph.frontier import path_text, prepared_edges, task_parts
@@ -156,3 +157,23 @@ def test_undirected_edges_of_a_prepared_table(spark, monkeypatch, share):
     pairs = [(i, i + 1) for i in range(50)] + [(1, 0), (7, 7)]
     e = prepared_edges(edges_df(spark, pairs))
     assert sorted(tuple(r) for r in E.undirected(e).collect()) == sorted({*pairs, *((d, a) for a, d in pairs)})
+
+
+@pytest.mark.parametrize("starts", [[0, 3, 40], list(range(80))])
+@pytest.mark.parametrize("per_start", [True, False])
+def test_skipped_nodes_are_looked_up_in_no_edge(spark, monkeypatch, starts, per_start):
+    """Skipped nodes are seen from the beginning: a round reads the edges as they were laid out."""
+    pairs = [(i, i + 1) for i in range(90)] + [(3, 60), (60, 3), (8, 5)]
+    skip = spark.createDataFrame([(5,), (40,), (62,), (None,), (999,)], "node int")
+    used = []
+    monkeypatch.setattr(GF, "mask_levels", lambda e, *a, own=GF.mask_levels: used.append(e) or own(e, *a))
+    e = prepared_edges(edges_df(spark, pairs))
+    got = {(r["start"] if per_start else None, r["node"], r["level"]) for r in GR.reach(e, starts, ignore=skip, per_start=per_start).collect()}
+    want, groups = set(), [[s] for s in starts] if per_start else [starts]
+    for g in groups:
+        front, seen, level = {s for s in g} - {5, 40, 62}, {5, 40, 62}, 0
+        while front:
+            want |= {(g[0] if per_start else None, x, level) for x in front}
+            seen |= front
+            front, level = {d for a, d in pairs if a in front} - seen, level + 1
+    assert got == want and all(x is e for x in used) and bool(used) == per_start
