@@ -74,12 +74,6 @@ def node_profile(edges: DataFrame, multigraph: bool = False) -> DataFrame:
                  .unionByName(pairs.select(F.col("dst").alias("node"), F.col("n").alias("in_degree"), z.alias("out_degree"),
                                            one.alias("distinct_in_degree"), z.alias("distinct_out_degree"))))
     counts = ("in_degree", "out_degree", "distinct_in_degree", "distinct_out_degree")
-    back = None if multigraph else both_ways(edges)
-    if back is not None:  # both ends lie by node already: counted where they are
-        ins = back.select(F.col("src").alias("node"), one.alias("in_degree"), z.alias("out_degree"),
-                         one.alias("distinct_in_degree"), z.alias("distinct_out_degree"))
-        ends = edges.select(F.col("src").alias("node"), z.alias("in_degree"), one.alias("out_degree"),
-                            z.alias("distinct_in_degree"), one.alias("distinct_out_degree")).unionByName(ins)
     prof = ends.groupBy("node").agg(*[F.sum(c).alias(c) for c in counts])
     pos = (F.when(F.col("in_degree") == 0, "Start").when(F.col("out_degree") == 0, "End")
             .otherwise("Intermediate"))
