@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindle.operators.graph import edges as E
-from spindle.operators.graph.frontier import ARROW, Rounds, as_nodes, path_text, prepared_edges, reversed_edges, walk_paths
+from spindle.operators.graph.frontier import ARROW, Rounds, as_nodes, is_prepared, path_text, prepared_edges, reversed_edges, walk_paths
 from spindle.session import cut_lineage, store
 
 
-def leaf_paths(edges: DataFrame, starts=None, max_levels: int | None = None, emit_truncated: bool = False) -> DataFrame:
+def leaf_paths(edges: DataFrame, starts=None, max_levels: int | None = None, emit_truncated: bool = False,
+               notes: DataFrame | None = None, hop_notes: DataFrame | None = None) -> DataFrame:
     """All simple paths from each start (default: every node) to a node without successors.
 
     From every node, the paths grow backwards from the leaves: each path of a round is a
@@ -26,26 +27,27 @@ def leaf_paths(edges: DataFrame, starts=None, max_levels: int | None = None, emi
 
     Paths that stop only because every successor is already on the path are
     dropped (Q9) unless ``emit_truncated`` (then flagged ``truncated``). With
-    ``max_levels`` the paths that are open at the bound are flagged as well.
+    ``max_levels`` the paths that are open at the bound are flagged as well. ``notes`` and
+    ``hop_notes``: what :func:`walk_paths` takes along of the nodes and edges of whole paths.
     """
-    if starts is None and (max_levels is not None or emit_truncated):
+    if starts is None and (max_levels is not None or emit_truncated or notes is not None or hop_notes is not None):
         starts = E.nodes_of(edges)
     if starts is None:
         return _paths_into_leaves(edges)
     return walk_paths(edges, starts, max_levels=max_levels, guard="path", emit="leaf",
-                      emit_truncated=emit_truncated)
+                      emit_truncated=emit_truncated, notes=notes, hop_notes=hop_notes)
 
 
 def _paths_into_leaves(edges: DataFrame) -> DataFrame:
-    e = prepared_edges(edges)
-    back = reversed_edges(e)
-    front = store(E.leaves(e).select(F.col("node").alias("start"), F.array("node").alias("path")))
+    # edges that lie in no layout yet are laid out by their ends alone
+    back = reversed_edges(edges) if is_prepared(edges) else prepared_edges(E.reverse(edges.select("src", "dst")))
+    front = store(E.roots(back).select(F.array("node").alias("path")))
     out = []
     while not front.isEmpty():
         out.append(front)
-        step = front.withColumnRenamed("start", "at").join(back, F.col("at") == back["src"]).filter(~F.array_contains("path", F.col("dst")))
-        front = store(step.select(F.col("dst").alias("start"), F.array_prepend("path", F.col("dst")).alias("path")))
-    return _union_counts(out or [front]).withColumn("levels", (F.size("path") - 1).cast("int"))
+        step = front.withColumn("at", F.element_at("path", 1)).join(back, F.col("at") == back["src"]).filter(~F.array_contains("path", F.col("dst")))
+        front = store(step.select(F.array_prepend("path", F.col("dst")).alias("path")))
+    return _union_counts(out or [front]).select(F.element_at("path", 1).alias("start"), "path").withColumn("levels", (F.size("path") - 1).cast("int"))
 
 
 def paths_between(edges: DataFrame, starts, ends, max_levels: int | None = None) -> DataFrame:
@@ -87,18 +89,29 @@ def path_details(paths: DataFrame, id_col: str, details: DataFrame | None = None
     Paths are numbered and written once. One explode of the paths meets the details and one the
     edge attributes (one row a node or edge, unknown node -> null, Q20); only the levels that
     found something are regrouped, by the path's number, and never a path's text. Never a
-    driver loop over levels.
+    driver loop over levels. Paths that took their ``notes`` or ``hop_notes`` along
+    (:func:`node_notes`, :func:`hop_notes`, :func:`leaf_paths`) are not moved at all.
     """
+    taken = [c for c in ("notes", "hop_notes") if c in paths.columns]
+    if taken:
+        if details is not None or edge_attrs is not None:
+            raise ValueError("paths with notes need no details")
+        def noted(name):
+            return lambda x: x[name].cast("string")
+        out = [F.col(id_col), *[F.transform("notes", noted(c)).alias(f"{c}_levels") for c in detail_cols]]
+        if attr is not None:
+            out.append(F.array_join(F.transform("hop_notes", lambda x: F.coalesce(x.cast("string"), F.lit(""))), ARROW).alias(f"{attr}_hops"))
+        return paths.select(*out)
     p = store(paths.select(id_col, F.col(path_col).alias("__path"), F.monotonically_increasing_id().alias("__id")))
     x = p.select("__id", "__path", F.posexplode("__path").alias("pos", "node"))
     found = []
     if details is not None:
         # one whole detail row a node: the smallest
-        d = store(details.groupBy("node").agg(F.min(F.struct(*detail_cols)).alias("d")))
+        d = store(node_notes(details, detail_cols)).withColumnRenamed("note", "d")
         found.append(x.select("__id", "pos", "node").join(d, "node").groupBy("__id").agg(
             F.map_from_entries(F.collect_list(F.struct("pos", "d"))).alias("__d")))
     if edge_attrs is not None and attr is not None:
-        ea = store(edge_attrs.groupBy(F.col("src").alias("node"), F.col("dst").alias("next")).agg(F.min(attr).alias("h")).filter("h IS NOT NULL"))
+        ea = store(hop_notes(edge_attrs, attr).select(F.col("src").alias("node"), F.col("dst").alias("next"), F.col("note").alias("h")))
         hops = x.select("__id", "pos", "node", F.get("__path", F.col("pos") + 1).alias("next")).filter("next IS NOT NULL")
         found.append(hops.join(ea, ["node", "next"]).groupBy("__id").agg(
             F.map_from_entries(F.collect_list(F.struct("pos", "h"))).alias("__h")))
@@ -119,6 +132,16 @@ def path_details(paths: DataFrame, id_col: str, details: DataFrame | None = None
     return g.select(*out)
 
 
+def node_notes(details: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+    """``node, note``: one whole detail row a node, the smallest."""
+    return details.groupBy("node").agg(F.min(F.struct(*cols)).alias("note"))
+
+
+def hop_notes(edge_attrs: DataFrame, attr: str) -> DataFrame:
+    """``src, dst, note``: the smallest attribute of an edge that has one."""
+    return edge_attrs.groupBy("src", "dst").agg(F.min(attr).alias("note")).filter("note IS NOT NULL")
+
+
 def path_counts(edges: DataFrame, starts=None, max_level: int | None = None) -> DataFrame:
     """On an acyclic graph, per start (default: every node) the number of walks and of
     paths ending in a leaf -- no path is built, and no row per (start, node).
