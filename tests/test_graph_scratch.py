@@ -109,3 +109,41 @@ def test_paths_of_every_node_need_one_layout(spark, monkeypatch):
     assert len(made) == 1
     nodes = sorted({x for p in LADDER for x in p})
     assert got == sorted(" -> ".join(p) for s in nodes for p in simple_paths(LADDER, s, lambda p: p[-1] == "f"))
+
+
+def test_a_round_of_many_batches_is_made_some_at_a_time(spark, monkeypatch):
+    """80 starts in batches of 4: no shuffle of a round gets more rows than a slice, and the levels are right."""
+    pairs = [(i, (i + 1) % 90) for i in range(90)] + [(i, (i * 7 + 3) % 90) for i in range(90)] + [(5, 200)]
+    e, starts = edges_df(spark, pairs), spark.range(80).select(F.col("id").cast("int").alias("node"))
+    monkeypatch.setattr(GF, "SLICE_ROWS", 100)
+    written = []
+    monkeypatch.setattr(GF, "store", lambda df, own=GF.store: written.append(own(df)) or written[-1])
+    levels, ids, masks = GF.mask_levels(prepared_edges(e), store(starts), 3, width=4, words=1)
+    fronts = [f for f in written if "m0" in f.columns]
+    assert len(fronts) > 1 + 3 * 2  # of a level several
+    got = {(r.start, r.node): i for i, x in enumerate(levels) for r in GF.with_bits(x, ids, masks).select("start", "node").collect()}
+    want = {}
+    for s in range(80):
+        front, seen = {s}, set()
+        for level in range(4):
+            want |= {(s, x): level for x in front}
+            seen |= front
+            front = {d for a, d in pairs if a in front} - seen
+    assert got == want
+
+
+def test_labels_of_nodes_that_left_the_graph_prune_nothing(spark, monkeypatch):
+    """Only labels of nodes still in the graph are joined: below a first batch of parts no list is followed."""
+    from spindle.operators.graph import reach_index as RI
+    monkeypatch.setattr(RI, "FIRST", 11)
+    met = []
+    monkeypatch.setattr(RI, "_not_met", lambda *a, own=RI._not_met: met.append(1) or own(*a))
+    written = []
+    monkeypatch.setattr(RI, "store", lambda df, own=RI.store: written.append(df.columns) or own(df))
+    pairs = [("n", f"c{c}") for c in range(6)] + [(f"c{c}", f"o{c}-{p}") for c in range(6) for p in range(4)]
+    pairs += [(f"o{c}-{p}", f"p{p}") for c in range(6) for p in range(4)] + [(f"x{i}", f"p{p}") for p in range(4) for i in range(9)]
+    index = RI.reach_index(edges_df(spark, pairs, "string"))
+    batches = written.count(["src", "dst"]) - 1
+    assert not met and written.count(["hub", "via"]) < 2 * batches  # not for every search
+    asked = spark.createDataFrame([("n", "p0"), ("c1", "o1-2"), ("c1", "o2-2"), ("o3-1", "p1"), ("x2", "p3"), ("p1", "n")], "start string, node string")
+    assert {(r.start, r.node) for r in RI.reach_pairs(index, asked).collect() if r.reachable} == {("n", "p0"), ("c1", "o1-2"), ("o3-1", "p1"), ("x2", "p3")}
